@@ -1,0 +1 @@
+"""A Spark-native document retrieval and event analytics engine."""
