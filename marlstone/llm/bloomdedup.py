@@ -54,6 +54,20 @@ def repeated_filter(digests: DataFrame, sha: str, blocks: int) -> DataFrame:
     return twice.groupBy("__blk").agg(F.bitmap_construct_agg(F.col("__bit").cast("long")).alias("__bm"))
 
 
+def member_filter(ids: DataFrame, id_col: str, blocks: int) -> DataFrame:
+    """(block, bitmap) of all the ids' bits; at most ``blocks`` rows of 4 KB."""
+    block, one, two = _bits(F.col(id_col), blocks)
+    hit = ids.select(block.alias("__blk"), F.explode(F.array(one, two)).alias("__bit"))
+    return hit.groupBy("__blk").agg(F.bitmap_construct_agg(F.col("__bit").cast("long")).alias("__bm"))
+
+
+def split_by_members(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``df``'s rows that may be among ``ids`` (a written table), and those that aren't for sure; no row is shuffled."""
+    blocks = _blocks(ids.count())
+    tested = maybe_repeated(df, col, written(member_filter(ids, id_col, blocks), "members"), blocks)
+    return tested.filter("__maybe").drop("__maybe"), tested.filter(~F.col("__maybe")).drop("__maybe")
+
+
 def maybe_repeated(df: DataFrame, sha: str, bloom: DataFrame, blocks: int) -> DataFrame:
     """``df`` with boolean ``__maybe``: false only for rows whose digest no other row has."""
     block, one, two = _bits(F.col(sha), blocks)
