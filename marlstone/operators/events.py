@@ -6,9 +6,10 @@ joins on keys (and a day bucket for overlaps)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 DAY_US = 86_400_000_000
@@ -132,65 +133,69 @@ def session_gaps(df: DataFrame, *, keys: list[str], gap_us: int, time: str = "us
     return s.groupBy(*keys, "session").agg(F.min(time).alias("start_us"), F.max(time).alias("end_us"), F.count(F.lit(1)).alias("n"))
 
 
-def anchored_rate_limit(df: DataFrame, *, key: str, limit: int, window_us: int, time: str = "us") -> DataFrame:
-    """``admitted`` of each call: windows start at a user's first call after the last window's end."""
-    import pandas as pd
+def ordered_scan(df: DataFrame, *, keys: list[str], order: list[str], schema: str, start: Callable, step: Callable) -> DataFrame:
+    """Rows with what ``step(state, row)`` returns for them, in order within a key. ``start()`` makes a key's state.
 
-    schema = T.StructType([*df.select(key, "event_id", time).schema.fields, T.StructField("admitted", T.BooleanType())])
+    ``schema`` names the added columns; ``step`` returns their values. Ties in ``order`` have no fixed order: name a unique column last.
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, "event_id"])
-        out, start, n = [], None, 0
-        for t in pdf[time]:
-            if start is None or t - start >= window_us:
-                start, n = t, 0
-            n += 1
-            out.append(n <= limit)
-        return pdf.assign(admitted=out)
+    A task holds the state of one key and one Arrow batch, never all of a key's rows. Rows whose keys are null are one key's.
+    """
+    added = [x.split()[0] for x in schema.split(",")]
+    full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), schema])
 
-    return df.select(key, "event_id", time).groupBy(key).applyInPandas(scan, schema)
+    def run(batches):
+        key, state = object(), None
+        for pdf in batches:
+            out = []
+            for row, k in zip(pdf.to_dict("records"), pdf[keys].astype(object).where(pdf[keys].notna(), None).itertuples(index=False, name=None), strict=True):
+                if k != key:
+                    key, state = k, start()
+                out.append(step(state, row))
+            yield pdf.assign(**{a: [o[i] for o in out] for i, a in enumerate(added)}) if out else pdf.assign(**{a: [] for a in added})
 
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, full)
 
-def breaker_states(df: DataFrame, failed: Column, *, key: str, failures: int = 3, cool_us: int = 60_000_000, time: str = "us") -> DataFrame:
-    """Circuit state seen by each call: open after ``failures`` in a row, half-open after ``cool_us``; a half-open call closes or reopens it."""
-    import pandas as pd
 
-    rows = df.select(key, "event_id", time, failed.alias("failed"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("state", T.StringType())])
+def anchored_rate_limit(df: DataFrame, *, key: str, limit: int, window_us: int, time: str = "us") -> DataFrame:
+    """``admitted`` of each call: windows start at a user's first call after the last window's end."""
+
+    def step(s: dict, row: dict) -> tuple:
+        t = row[time]
+        if not s or t - s["start"] >= window_us:
+            s |= {"start": t, "n": 0}
+        s["n"] += 1
+        return (s["n"] <= limit,)
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, "event_id"])
-        out, state, n, since = [], "closed", 0, 0
-        for t, bad in zip(pdf[time], pdf["failed"], strict=True):
-            if state == "open" and t - since >= cool_us:
-                state = "half_open"
-            out.append(state)
-            if state == "open":
-                continue
-            n = n + 1 if bad else 0
-            if bad and (state == "half_open" or n >= failures):
-                state, since = "open", t
+    return ordered_scan(df.select(key, "event_id", time), keys=[key], order=[time, "event_id"], schema="admitted boolean", start=dict, step=step)
+
+
+def breaker_states(df: DataFrame, failed: Column, *, key: str, failures: int = 3, cool_us: int = 60_000_000, time: str = "us") -> DataFrame:
+    """Circuit state seen by each call: open after ``failures`` in a row, half-open after ``cool_us``; a half-open call closes or reopens it. An unknown outcome is no failure."""
+    rows = df.select(key, "event_id", time, F.coalesce(failed, F.lit(False)).alias("failed"))
+
+    def step(s: dict, row: dict) -> tuple:
+        if s["state"] == "open" and row[time] - s["since"] >= cool_us:
+            s["state"] = "half_open"
+        seen = s["state"]
+        if seen != "open":
+            bad = row["failed"]
+            s["n"] = s["n"] + 1 if bad else 0
+            if bad and (seen == "half_open" or s["n"] >= failures):
+                s |= {"state": "open", "since": row[time]}
             elif not bad:
-                state = "closed"
-        return pdf.assign(state=out)
+                s["state"] = "closed"
+        return (seen,)
 
-    return rows.groupBy(key).applyInPandas(scan, schema)
+    return ordered_scan(rows, keys=[key], order=[time, "event_id"], schema="state string", start=lambda: {"state": "closed", "n": 0, "since": 0}, step=step)
 
 
 def budget_admission(df: DataFrame, cost: Column, *, key: str, ceiling: float, time: str = "us") -> DataFrame:
-    """Greedy admission: a call is admitted if what was admitted before and its cost stay within the ceiling."""
-    import pandas as pd
+    """Greedy admission: a call is admitted if what was admitted before and its cost stay within the ceiling. A null cost isn't admitted."""
 
-    rows = df.select(key, "event_id", time, cost.alias("cost"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("admitted", T.BooleanType())])
+    def step(s: dict, row: dict) -> tuple:
+        c = row["cost"]
+        ok = c is not None and s["used"] + c <= ceiling
+        s["used"] += c if ok else 0
+        return (bool(ok),)
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, "event_id"])
-        out, used = [], 0.0
-        for c in pdf["cost"]:
-            ok = used + c <= ceiling
-            used += c if ok else 0
-            out.append(ok)
-        return pdf.assign(admitted=out)
-
-    return rows.groupBy(key).applyInPandas(scan, schema)
+    return ordered_scan(df.select(key, "event_id", time, cost.alias("cost")), keys=[key], order=[time, "event_id"], schema="admitted boolean", start=lambda: {"used": 0.0}, step=step)

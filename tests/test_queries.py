@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone import dialog_queries  # noqa: F401  registers its queries
 from marlstone import queries
 from marlstone.functions import text as T
 from marlstone.functions import units
