@@ -15,11 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) a local one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    Only where the session names none (tests) a local one is made, once a session:
+    a running session refuses to change that setting, so another one holds it."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("marlstone.shared.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.conf.set("marlstone.shared.dir", path)
     return path.rstrip("/")
 
 

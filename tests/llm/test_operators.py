@@ -534,3 +534,16 @@ def test_pipeline(spark):
     assert len(stage1) > 0.98 * len(texts)
     classes = brute_classes([(i, texts[i]) for i in stage1])
     assert {c for c, _ in classes.values()} == kept
+
+
+def test_shared_dir_without_a_setting():
+    from types import SimpleNamespace
+
+    from marlstone.llm.common import shared_dir
+
+    held = {}
+    spark = SimpleNamespace(conf=SimpleNamespace(get=held.get, set=held.__setitem__))
+    first = shared_dir(spark)
+    assert shared_dir(spark) == first and "spark.checkpoint.dir" not in held
+    held["spark.checkpoint.dir"] = "s3a://shared/folder/"
+    assert shared_dir(spark) == "s3a://shared/folder"
