@@ -203,6 +203,35 @@ def test_pfair_mix(spark):
     assert ordered.columns == df.columns and ordered.count() == len(rows)
 
 
+@pytest.mark.parametrize("counts", [{"hot": 150_000} | {f"s{i:02}": 15_800 for i in range(19)}, {"hot": 100_000} | {f"s{i:04}": 20 + i % 7 for i in range(1200)}])
+def test_pfair_keeps_to_the_target_weights(counts):
+    target = pfair.tempered(counts, 0.5)
+    blocks = {s: -(-n // 16) for s, n in counts.items()}
+    plan = pfair.schedule(blocks, target)
+    assert {s: len(x) for s, x in plan.items()} == blocks
+    assert sorted(itertools.chain(*plan.values())) == list(range(sum(blocks.values())))
+    end = min(x[-1] for x in plan.values())
+    whole = math.fsum(target.values())
+    # before a block runs and after it are a source's least and greatest deviations
+    assert max(max(abs(i - t * target[s] / whole), abs(i + 1 - (t + 1) * target[s] / whole)) for s, x in plan.items() for i, t in enumerate(x) if t <= end) < 1 + 1e-6
+
+
+def test_pfair_weights_below_a_thousandth(spark):
+    assert list(pfair.schedule({"a": 5000, "b": 2}, {"a": 1.0, "b": 0.0004})["b"])[0] > 2000
+    assert pfair.schedule({"a": 3, "b": 2, "c": 1}, {"a": 1, "b": 0, "c": 0})["a"].tolist() == [0, 1, 2]
+    with pytest.raises(ValueError):
+        pfair.schedule({"a": 1}, {"a": -1.0})
+    rows = [(i, "t", "en", "ab"[i % 5 == 0], 1, "x", 2) for i in range(6000)]
+    near = pfair.mix(spark.createDataFrame(rows, DOCS), {"a": 5, "b": 3}, block_rows=2)
+    assert len({r["mix_position"] for r in near.collect()}) == 6000
+    limit, pfair.BROADCAST_BLOCKS = pfair.BROADCAST_BLOCKS, 0
+    try:
+        far = pfair.mix(spark.createDataFrame(rows, DOCS), {"a": 5, "b": 3}, block_rows=2)
+        assert sorted(far.collect()) == sorted(near.collect())
+    finally:
+        pfair.BROADCAST_BLOCKS = limit
+
+
 # --- top-k
 
 
