@@ -318,6 +318,30 @@ def test_chosen_path_large_groups(spark, monkeypatch):
     assert out == brute_classes(rows)
 
 
+@pytest.mark.parametrize("taken", [4, 1])
+def test_chosen_path_finds_pairs_of_frequent_passages(spark, taken):
+    passages = [" ".join(f"p{i}w{j}" for j in range(240 // taken)) for i in range(3 * taken)]
+    some = list(itertools.combinations(range(3 * taken), taken))
+    rows = []
+    for i in range(1200):
+        own = 20 if i % 3 else 200  # those with much of their own share the passages' keys but aren't alike
+        text = " ".join(passages[p] for p in some[i * 7 % 400 % len(some)])
+        rows.append((i, text + " " + " ".join(f"u{i}x{j}" for j in range(own))))
+    want = {i: n for i, (_, n) in brute_classes(rows).items()}
+    got = {r["doc_id"]: r["n_links"] for r in chosenpath.similar(docs(spark, rows)).collect()}
+    assert all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.999 * sum(want.values()) > 0
+
+
+def test_chosen_path_runs_hold_at_every_depth():
+    rng = np.random.default_rng(0)
+    runs = chosenpath.runs_for()
+    keys = rng.poisson(chosenpath.BRANCH * runs, 200_000)
+    for _ in range(chosenpath.DEPTH - 1):
+        keys = rng.poisson(chosenpath.BRANCH * keys)
+    assert (keys == 0).mean() < 1 - chosenpath.RECALL
+
+
 def test_chosen_path_cases(spark):
     df = docs(spark, [(2, "a b c d e f g"), (1, "A b, c d e f g!"), (None, "a b c d e f g"), (3, None), (2, "a b c d e f g")])
     out = sorted((r["doc_id"] or 0, r["class_id"], r["class_size"], r["n_links"]) for r in chosenpath.similar(df).collect())
