@@ -5,9 +5,11 @@ the length of its text and its punctuation are summed and divided by its nodes
 (text to tag-path ratio, punctuation to tag-path ratio). Both ratios are laid out
 in page order, smoothed by a Gaussian window, fused by their product with the
 path's share of link-free text, and thresholded at a share of their deviation:
-paths above it are content. The smallest element that holds nearly all content
-weight is the article; its blocks are returned, headings and short paragraphs
-with them, as these are content by place though not by length.
+paths above it are content. The smallest element that holds all content is the
+article; its blocks are returned, headings and short paragraphs with them, as
+these are content by place though not by length. Where a content node lies in a
+main or article element, it is the outermost of these that has to be held; then
+all such elements are kept.
 
 Elements that never hold an article (menus, forms, scripts, page headers and
 footers, asides, and those whose class, id or role says so) are left out before.
@@ -50,7 +52,6 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 PUNCT = re.compile(r"[.,;:!?…。、！？，；]")
-SHARE = 0.9
 DEVIATIONS = 0.25
 
 
@@ -175,12 +176,12 @@ def main_text(page: str | None) -> str:
     mean = sum(weights) / len(weights)
     dev = math.sqrt(sum((w - mean) ** 2 for w in weights) / len(weights))
     cut = min(DEVIATIONS * dev, max(weights))
-    chosen = [(e, len(t)) for (e, _, t), w in zip(real, weights, strict=True) if w >= cut and (w > 0 or cut == 0)] or [(e, len(t)) for e, _, t in real]
-    named = next((a for e, _ in chosen for a in _ups(e) if a.tag in INSIDE), None)
-    top = named if named is not None else _holder(chosen)
+    chosen = [e for (e, _, _), w in zip(real, weights, strict=True) if w >= cut and (w > 0 or cut == 0)] or [e for e, _, _ in real]
+    top = _holder(chosen)
+    named = any(e.within for e in chosen)
     blocks: dict[int, list[str]] = {}
     for e, b, t in found:
-        if any(a is top or (named is not None and a.tag == named.tag) for a in _ups(e)):
+        if named and e.within or any(a is top for a in _ups(e)):
             blocks.setdefault(b, []).append(t)
     return "\n\n".join(x for x in (" ".join("".join(p).split()) for p in blocks.values()) if x)
 
@@ -191,19 +192,15 @@ def _ups(e: _Element | None):
         e = e.up
 
 
-def _holder(chosen: list[tuple[_Element, int]]) -> _Element:
-    """The smallest block element that holds ``SHARE`` of the chosen text."""
-    mass: dict[int, int] = defaultdict(int)
-    known: dict[int, _Element] = {}
-    depth: dict[int, int] = {}
-    for e, n in chosen:
-        chain = list(_ups(e))
-        for i, a in enumerate(chain):
-            mass[id(a)] += n
-            known[id(a)], depth[id(a)] = a, len(chain) - i
-    total = sum(n for _, n in chosen)
-    ok = [k for k, n in mass.items() if n >= SHARE * total and (known[k].tag in BLOCK and known[k].tag not in ("p", "h1", "h2", "h3", "li") or not known[k].tag)]
-    return known[max(ok, key=lambda k: (depth[k], -k))]
+def _holder(chosen: list[_Element]) -> _Element:
+    """The smallest block element that holds all chosen nodes, and the outermost article or main of each."""
+    shared: list[_Element] | None = None
+    for e in set(chosen):
+        chain = list(_ups(e))[::-1]
+        named = next((i for i, a in enumerate(chain) if a.tag in INSIDE), len(chain) - 1)
+        chain = chain[: named + 1]
+        shared = chain if shared is None else [a for a, b in zip(shared, chain) if a is b]
+    return next(a for a in shared[::-1] if a.tag in BLOCK and a.tag not in ("p", "h1", "h2", "h3", "li") or not a.tag)
 
 
 def extract(df: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

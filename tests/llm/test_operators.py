@@ -413,6 +413,28 @@ def test_main_text(body):
     assert pathratio.main_text(PAGE % body) == WANT
 
 
+INTRO = "The intro, in short, says what is to come."
+REST = "<p>The body, of many words, goes on, and on, for a long time; it says more, and more, of it all.</p>" * 12
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class=story><div class=intro><p>{INTRO}</p></div><div class=text>{REST}</div></div>",
+        f"<div class=story><div class=text>{REST}</div><div class=end><p>{INTRO}</p></div></div>",
+        f"<main><h1>Title</h1><p>{INTRO}</p><article>{REST}</article></main>",
+        f"<main><h1>Title</h1><p>Lead</p><article>{REST}<p>{INTRO}</p></article></main>",
+        f"<div><article>{REST}</article><div><p>{INTRO}</p></div></div>",
+        f"<div><article>{REST}</article></div><div><article><p>{INTRO}</p></article></div>",
+    ],
+)
+def test_main_text_keeps_all_content(body):
+    got = pathratio.main_text(PAGE % body).split("\n\n")
+    assert INTRO in got and len([x for x in got if x.startswith("The body")]) == 12
+    assert ("Title" in got) == ("Title" in body) and ("Lead" in got) == ("Lead" in body)
+    assert not any("cookies" in x or "Write to us" in x for x in got)
+
+
 def test_main_text_cases(spark):
     assert [pathratio.main_text(x) for x in (None, "", "  ", "a &lt; b\n c", "<p>x<p>y", "<article><p>cut &am", "<p>cut <a hre", "<!-- only", "<nav>a</nav>")] == ["", "", "", "a < b c", "x\n\ny", "cut &am", "cut", "", ""]
     assert pathratio.main_text("<div>" * 3000 + "deep, text." + "</div>" * 3000) == "deep, text."
