@@ -399,12 +399,13 @@ def vocabulary(model_file: str = MODEL_FILE) -> Vocabulary:
     return _VOCABULARIES[model_file]
 
 
-def sample_encode(df: DataFrame, *, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, model_file: str = MODEL_FILE, ids: bool = True) -> DataFrame:
+def sample_encode(df: DataFrame, *, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, model_file: str = MODEL_FILE, ids: bool = True, round_trip: bool = False) -> DataFrame:
     """(id, sample, ids, n_pieces, log_prob, perturbed, inclusion, ids_hash): up to ``k`` distinct segmentations of each row, best perturbed first.
 
-    Without ``ids`` only their count and hash are returned. No shuffle. The vocabulary file has to be on each worker, at the same path."""
+    Without ``ids`` only their count and hash are returned. With ``round_trip`` the ids of each
+    sample are decoded again, and a column of that name says whether that gave the text. No shuffle. The vocabulary file has to be on each worker, at the same path."""
     kind = df.schema[id_col].dataType
-    schema = f"`{id_col}` {kind.simpleString()}, sample int, " + "ids array<int>, " * ids + "n_pieces long, log_prob double, perturbed double, inclusion double, ids_hash long"
+    schema = f"`{id_col}` {kind.simpleString()}, sample int, " + "ids array<int>, " * ids + "n_pieces long, log_prob double, perturbed double, inclusion double, ids_hash long" + ", round_trip boolean" * round_trip
 
     def run(batches):
         vocab = vocabulary(model_file)
@@ -418,6 +419,11 @@ def sample_encode(df: DataFrame, *, k: int = 2, id_col: str = "doc_id", text_col
                         cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype("i4")), pa.array(flat)))
                     cols += [pa.array(counts), pa.array(logp), pa.array(value), pa.array(inc), pa.array(_digest(flat, counts))]
                     names = [id_col, "sample", *["ids"] * ids, "n_pieces", "log_prob", "perturbed", "inclusion", "ids_hash"]
+                    if round_trip:
+                        ends = np.cumsum(counts)
+                        same = [vocab.decode(flat[e - n : e]) == (texts[a + d] or "") for d, n, e in zip(docs, counts, ends, strict=True)]
+                        cols.append(pa.array(same, pa.bool_()))
+                        names.append("round_trip")
                     yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(text_col).cast("string").alias("__text"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("__key"))

@@ -48,7 +48,7 @@ def op8_tag_path_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gumbel_pieces.sample_encode(table(spark, sf_dir, "documents"), ids=False)
+    return gumbel_pieces.sample_encode(table(spark, sf_dir, "documents"), round_trip=True)
 
 
 def op10_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

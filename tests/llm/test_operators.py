@@ -519,6 +519,17 @@ def test_encode_decode_round_trip(spark, real):
     assert gumbel_pieces.sample_encode(docs(spark, [])).count() == 0
 
 
+def test_encode_query_returns_and_decodes_ids(spark, real):
+    out = queries.op9_gumbel_pieces(spark, SF).select("doc_id", "sample", "ids", "n_pieces", "round_trip").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in real}
+    assert {r["doc_id"] for r in out} == set(texts)
+    v = gumbel_pieces.vocabulary()
+    for r in out:
+        assert r["round_trip"] and len(r["ids"]) == r["n_pieces"]
+        if r["doc_id"] % 10 == 0:
+            assert v.decode(r["ids"]) == texts[r["doc_id"]]
+
+
 # --- quotes
 
 
