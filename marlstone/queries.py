@@ -418,6 +418,20 @@ def set_digest(spark, d):
     return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
+@query("""with r as (select sha256(concat_ws(':', coalesce('v' || doc_id, 'n'), coalesce('v' || lang, 'n'), coalesce('v' || sha256(text), 'n'))) as x from documents),
+    a as (select substring(x, 1, 4) as p, sha256(string_agg(x, chr(10) order by x)) as h, count(*) as n from r group by 1),
+    b as (select substring(p, 1, 2) as p, sha256(string_agg(p || h, chr(10) order by p)) as h, sum(n) as n from a group by substring(p, 1, 2))
+    select sha256(coalesce(string_agg(p || h, chr(10) order by p), '')) as digest, coalesce(sum(n), 0)::bigint as n from b""")
+def generation_digest(spark, d):
+    """One digest of all documents: sorted row hashes are hashed by range of four digits, these by two, these to one."""
+    part = lambda c: F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n"))
+    row = F.sha2(F.concat_ws(":", part(F.col("doc_id")), part(F.col("lang")), part(F.sha2("text", 256))), 256)
+    node = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    out = read(spark, d, "documents").select(row.alias("x")).groupBy(F.substring("x", 1, 4).alias("p")).agg(node("x").alias("h"), F.count(F.lit(1)).alias("n"))
+    out = out.select(F.substring("p", 1, 2).alias("q"), F.concat("p", "h").alias("x"), "n").groupBy("q").agg(node("x").alias("h"), F.sum("n").alias("n"))
+    return out.select(F.concat("q", "h").alias("x"), "n").agg(node("x").alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 @query("select sha256(text) as content_hash, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
 def dedupe_content_hash(spark, d):
     return read(spark, d, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))

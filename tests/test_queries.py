@@ -198,3 +198,28 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_generation_digest_covers_all_documents(spark, tmp_path):
+    import hashlib
+    import itertools
+
+    from marlstone.queries import generation_digest
+
+    def brute(rows):
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        mark = lambda v: "n" if v is None else f"v{v}"
+        level = sorted(sha(":".join((mark(i), mark(g), mark(None if t is None else sha(t))))) for i, g, t in rows)
+        level = [p + sha("\n".join(x)) for p, x in itertools.groupby(level, lambda x: x[:4])]
+        level = [p + sha("\n".join(x)) for p, x in itertools.groupby(level, lambda x: x[:2])]
+        return sha("\n".join(level))
+
+    rows = [(i, ("en", "de", "fr", None)[i % 4], f"text {i}" if i % 9 else None) for i in range(700)] + [(3, None, "text 3"), (3, None, "text 3")]
+    seen = set()
+    changed = [(i, g, "other" if i == 0 else t) for i, g, t in rows]
+    for k, x in enumerate((rows, changed, rows[::-1], [])):
+        spark.createDataFrame(x, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        r = generation_digest(spark, f"{tmp_path}/{k}").first()
+        assert (r["digest"], r["n"]) == (brute(x), len(x))
+        seen.add(r["digest"])
+    assert len(seen) == 3
