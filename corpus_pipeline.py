@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``.
 
-Each stage takes what its predecessor kept and returns the columns of documents;
-the last returns the encoded samples. ``run`` writes each stage's result to the
+Each stage takes what its predecessor kept and returns the columns of documents,
+from mix on with ``mix_position``; the last returns the encoded samples. ``run`` writes each stage's result to the
 shared folder and reads it again as the next one's input.
 
 1. language_id: words are labelled by a CRF that is fitted on a bounded sample of
@@ -9,9 +9,9 @@ shared folder and reads it again as the next one's input.
    has half of the mean posterior, go.
 2. exact_dedup: of equal texts the smallest doc_id stays.
 3. near_dedup: of each class of near-duplicates the smallest doc_id stays.
-4. mix: sources are interleaved to their target weights; files in order are the
-   mixture. All rows stay.
-5. encode: two distinct sampled segmentations of each text.
+4. mix: sources are interleaved to their target weights; the order of
+   ``mix_position`` is the mixture. All rows stay.
+5. encode: two distinct sampled segmentations of each text, with its source and ``mix_position``.
 """
 
 from __future__ import annotations
@@ -42,11 +42,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pfair.mixed_order(docs)
+    return pfair.mix(docs).drop("mix_slot", "mix_block")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return gumbel_pieces.sample_encode(docs)
+    return gumbel_pieces.sample_encode(docs, keep=("source", "mix_position"))
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]

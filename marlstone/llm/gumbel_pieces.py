@@ -399,13 +399,15 @@ def vocabulary(model_file: str = MODEL_FILE) -> Vocabulary:
     return _VOCABULARIES[model_file]
 
 
-def sample_encode(df: DataFrame, *, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, model_file: str = MODEL_FILE, ids: bool = True, round_trip: bool = False) -> DataFrame:
+def sample_encode(df: DataFrame, *, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, model_file: str = MODEL_FILE, ids: bool = True, round_trip: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, sample, ids, n_pieces, log_prob, perturbed, inclusion, ids_hash): up to ``k`` distinct segmentations of each row, best perturbed first.
 
     Without ``ids`` only their count and hash are returned. With ``round_trip`` the ids of each
-    sample are decoded again, and a column of that name says whether that gave the text. No shuffle. The vocabulary file has to be on each worker, at the same path."""
+    sample are decoded again, and a column of that name says whether that gave the text.
+    The ``keep`` columns are carried along. No shuffle. The vocabulary file has to be on each worker, at the same path."""
     kind = df.schema[id_col].dataType
     schema = f"`{id_col}` {kind.simpleString()}, sample int, " + "ids array<int>, " * ids + "n_pieces long, log_prob double, perturbed double, inclusion double, ids_hash long" + ", round_trip boolean" * round_trip
+    schema += "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         vocab = vocabulary(model_file)
@@ -424,9 +426,11 @@ def sample_encode(df: DataFrame, *, k: int = 2, id_col: str = "doc_id", text_col
                         same = [vocab.decode(flat[e - n : e]) == (texts[a + d] or "") for d, n, e in zip(docs, counts, ends, strict=True)]
                         cols.append(pa.array(same, pa.bool_()))
                         names.append("round_trip")
+                    cols += [batch.column(f"__keep{i}").take(pa.array(docs + a)) for i in range(len(keep))]
+                    names += keep
                     yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(text_col).cast("string").alias("__text"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("__key"))
+    rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(text_col).cast("string").alias("__text"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("__key"), *[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)])
     return rows.mapInArrow(run, schema)
 
 

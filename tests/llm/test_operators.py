@@ -622,6 +622,24 @@ def test_pipeline(spark):
     assert {c for c, _ in classes.values()} == kept
 
 
+def test_pipeline_result_keeps_the_mixture(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"text {i}", "en", "hot" if i % 10 < 7 else f"s{i % 10}", 1, "x", 2) for i in range(3000)]
+    mixed = corpus_pipeline.written(corpus_pipeline.mix(spark, spark.createDataFrame(rows, DOCS), SF), "mix")
+    out = corpus_pipeline.encode(spark, mixed, SF).filter("sample = 1").orderBy("mix_position").collect()
+    assert {(r["doc_id"], r["source"]) for r in out} == {(r[0], r[3]) for r in rows} and len({r["mix_position"] for r in out}) == len(rows)
+    target = pfair.tempered(collections.Counter(r[3] for r in rows), 0.5)
+    blocks = [s for s, _ in itertools.groupby(out, lambda r: (r["mix_position"] // 16, r["source"]))]
+    assert [t for t, _ in blocks] == list(range(len(blocks)))
+    done = collections.Counter()
+    for t, s in blocks:
+        done[s] += 1
+        assert all(abs(done[x] - (t + 1) * w / sum(target.values())) < 1 + 1e-6 for x, w in target.items())
+        if done[s] * 16 >= sum(r[3] == s for r in rows):
+            break  # a source has run out
+
+
 def test_shared_dir_without_a_setting():
     from types import SimpleNamespace
 
