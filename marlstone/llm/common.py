@@ -5,8 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of narrow intermediate tables in a file.
+ROWS_PER_FILE = 65536
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,16 +29,47 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def files_for(df: DataFrame, rows: int, least: int = 1) -> DataFrame:
+    """``df`` in as many partitions as so many rows call for, ``least`` or more; never in more than it has."""
+    return df.coalesce(max(least, -(-rows // ROWS_PER_FILE)))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None, least: int = 1) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
-    Cuts the lineage: a lost executor costs a reread, not a recomputation."""
+    Cuts the lineage: a lost executor costs a reread, not a recomputation. ``rows``, if
+    known, keeps a small table from being written as many tiny files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else files_for(df, rows, least)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> str | list[str]:
+    """Each name, with as many marks before it as keep it apart from the columns (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        out.append(name)
+    return out if len(out) > 1 else out[0]
+
+
+def text_slices(batch, column: str, most: int):
+    """(rows, their texts) of an Arrow batch, of about ``most`` bytes of text at most; a longer text comes alone.
+
+    Texts leave Arrow a slice at a time, so a worker holds one slice's strings, whatever a batch's size."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    start = 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
+        rows = batch.slice(start, stop - start)
+        yield rows, rows.column(column).to_pylist()
+        start = stop
+
+
 def text_chunks(texts, most_chars: int = 1_500_000):
     """Slices (start, end) of a list of texts, each of about ``most_chars`` at most."""
     start, total = 0, 0

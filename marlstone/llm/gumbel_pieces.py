@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import text_slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 RANK_SHIFT = 20.0
@@ -64,7 +64,7 @@ def uniform(key: np.ndarray, *place) -> np.ndarray:
 
 
 class Vocabulary:
-    """Pieces, log-probabilities and a hashed prefix table of a SentencePiece model."""
+    """Pieces, log-probabilities, spellings and a hashed prefix table of a SentencePiece model."""
 
     def __init__(self, model_file: str = MODEL_FILE) -> None:
         import sentencepiece
@@ -72,8 +72,8 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
         self.size = n
-        self.pieces: list[bytes | str | None] = [None] * n
         self.byte_id = np.zeros(256, "i4")
+        self.pieces: list[bytes | str | None] = [None] * n
         rank: dict[int, float] = {}
         for i in range(n):
             piece = sp.id_to_piece(i)
@@ -81,6 +81,8 @@ class Vocabulary:
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.pieces[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+                if MARK in piece.lstrip(MARK):
+                    raise ValueError(f"piece {piece!r} has a blank mark inside; units can't be searched apart")
                 self.pieces[i] = piece
                 rank[i] = min(-sp.get_score(i), n)
         prob = {i: 1 / (r + RANK_SHIFT) for i, r in rank.items()}
@@ -99,119 +101,179 @@ class Vocabulary:
         self.keys = np.array(sorted(table), "u8")
         self.ids = np.array([table[int(h)][0] for h in self.keys], "i4")
         self.logp = np.array([table[int(h)][1] for h in self.keys], "f8")
+        # open addressing, a quarter full
+        self.bits = max(4, (4 * len(self.keys) - 1).bit_length())
+        self.at = np.full(1 << self.bits, -1, "i4")
+        self.held = np.zeros(1 << self.bits, "u8")
+        todo = np.arange(len(self.keys))
+        place = self._place(self.keys)
+        while len(todo):
+            first = np.unique(place, return_index=True)[1]
+            first = first[self.at[place[first]] < 0]
+            self.at[place[first]], self.held[place[first]] = todo[first], self.keys[todo[first]]
+            rest = np.ones(len(todo), bool)
+            rest[first] = False
+            todo, place = todo[rest], (place[rest] + 1) & (1 << self.bits) - 1
+        spelled = [(p if isinstance(p, bytes) else p.replace(MARK, " ").encode()) if p is not None else b"" for p in self.pieces]
+        self.spelling = np.frombuffer(b"".join(spelled), "u1")
+        self.n_bytes = np.fromiter(map(len, spelled), "i8", n)
+        self.spelled_at = np.cumsum(self.n_bytes) - self.n_bytes
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        return ((h * _P) >> np.uint64(64 - self.bits)).astype("i8")
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The index of each hash among ``keys``, or -1."""
+        place = self._place(h)
+        out = self.at[place]
+        other = np.flatnonzero((out >= 0) & (self.held[place] != h))
+        place = place[other]
+        while len(other):
+            place = (place + 1) & (1 << self.bits) - 1
+            got = self.at[place]
+            out[other] = got
+            again = (got >= 0) & (self.held[place] != h[other])
+            other, place = other[again], place[again]
+        return out
+
+    def spell(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all texts' ids, end to end, with a blank for each mark; each text's begin and end among them."""
+        n = np.where((ids >= 0) & (ids < self.size), self.n_bytes[np.clip(ids, 0, self.size - 1)], 0)
+        ends = np.cumsum(n)
+        where = np.repeat(self.spelled_at[np.clip(ids, 0, self.size - 1)] - (ends - n), n)
+        where += np.arange(len(where))
+        sums = np.concatenate([[0], ends])
+        return self.spelling[where].tobytes(), sums[np.concatenate([[0], np.cumsum(counts)])]
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Each text of its ids, laid end to end."""
+        out, cuts = self.spell(np.asarray(ids, "i8"), np.asarray(counts, "i8"))
+        return [out[a:b].decode("utf-8", "replace")[1:] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def decode(self, ids) -> str:
-        out = b"".join(p if isinstance(p, bytes) else p.encode() for p in (self.pieces[i] for i in ids if 0 <= i < self.size) if p is not None)
-        return out.decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return self.decode_all(np.asarray(ids, "i8"), np.array([len(ids)]))[0]
 
 
 class Lattice:
     """The lattices of distinct units, laid end to end by character, with a place for each unit's end.
 
-    A position's edges are packed: piece, length and step probability by slot, in order of length."""
+    The edges that leave a position lie together, in order of length."""
 
     def __init__(self, vocab: Vocabulary, units: list[str]) -> None:
         lens = np.fromiter(map(len, units), "i8", len(units)) + 1
         self.start = np.cumsum(lens) - lens
-        self.code = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le", "surrogatepass"), "u4")
-        n = len(self.code)
-        self.left = left = np.repeat(self.start + lens, lens) - np.arange(n) - 1
+        self.code = c = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le", "surrogatepass"), "u4")
+        n = len(c)
+        self.left = left = (np.repeat(self.start + lens, lens) - np.arange(n) - 1).astype("i4")
         longest = int(left.max())
         at = np.flatnonzero(left > 0)
         h = np.zeros(len(at), "u8")
-        c = self.code
         self.width = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
         found = []
+        count = np.zeros(n, "i4")
         for k in range(min(vocab.longest, longest)):
             if k:
                 on = left[at] > k
                 at, h = at[on], h[on]
             h = h * np.uint64(0x100000001B3) + c[at + k] + np.uint64(1)
-            where = np.minimum(np.searchsorted(vocab.keys, h), len(vocab.keys) - 1)
-            on = vocab.keys[where] == h
-            ids = np.where(on, vocab.ids[where], -1)
+            i = vocab.find(h)
+            on = i >= 0
             if k == 0:  # characters without a piece become bytes
-                found.append((at, ids, np.where(ids >= 0, vocab.logp[where], self.width[at] * vocab.byte_logp)))
-            else:
+                ids = np.where(on, vocab.ids[i], -1)
+                found.append((at, ids, np.where(ids >= 0, vocab.logp[i], self.width[at] * vocab.byte_logp)))
+                count[at] = 1
+            at, h, i = at[on], h[on], i[on]
+            if k:
+                ids = vocab.ids[i]
                 got = ids >= 0
-                found.append((at[got], ids[got], vocab.logp[where[got]]))
-            at, h = at[on], h[on]
-        count = np.zeros(n, "i4")
-        for where, _, _ in found:
-            count[where] += 1
-        m = self.m = int(count.max())
-        self.piece, self.len = np.full((n, m), -2, "i4"), np.zeros((n, m), "i2")
-        w = np.full((n, m), -np.inf)
-        slot = np.zeros(n, "i4")
+                found.append((at[got], ids[got], vocab.logp[i[got]]))
+                count[at[got]] += 1
+        # edges by characters left, so that each round of the sums below takes a slice
+        order = np.argsort(left.astype("u2") if longest < 1 << 16 else left, kind="stable")
+        per = count[order]
+        ends = np.cumsum(per, dtype="i8")
+        begin = ends - per
+        self.first = np.empty(n, "i8")
+        self.first[order] = begin
+        total = int(ends[-1])
+        self.piece, self.src, self.to = np.empty(total, "i4"), np.empty(total, "i4"), np.empty(total, "i4")
+        w = np.empty(total)
+        slot = self.first.copy()
         for k, (where, ids, logp) in enumerate(found):
-            j = slot[where]
-            self.piece[where, j], self.len[where, j], w[where, j] = ids, k + 1, logp
-            slot[where] += 1
-        # backward log-sums, by characters left
+            e = slot[where]
+            self.piece[e], self.src[e], self.to[e], w[e] = ids, where, where + k + 1, logp
+            slot[where] = e + 1
+        self.count = count
+        # backward log-sums, by characters left; the weights become step probabilities
         beta = np.zeros(n)
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(longest + 2))
-        for d in range(1, longest + 1):
-            idx = order[bounds[d] : bounds[d + 1]]
-            x = beta[idx[:, None] + self.len[idx]]
-            x += w[idx]
-            top = x.max(axis=1)
-            x -= top[:, None]
+        bounds = np.cumsum(np.bincount(left, minlength=longest + 1))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            lo, hi = begin[a], ends[b - 1]
+            at, num = begin[a:b] - lo, per[a:b]
+            x = w[lo:hi]
+            x += beta[self.to[lo:hi]]
+            pivot = x[at]
+            x -= np.repeat(pivot, num)
             np.exp(x, out=x)
-            s = x.sum(axis=1)
-            beta[idx] = top + np.log(s)
-            x /= s[:, None]
-            w[idx] = x  # from here on step probabilities
-        w[left == 0] = 0.0
+            s = np.add.reduceat(x, at)
+            beta[order[a:b]] = pivot + np.log(s)
+            x /= np.repeat(s, num)
         self.prob = w
-        self.cum = np.cumsum(w, axis=1)
-        self.total = self.cum[:, -1].copy()
-        self.single = count <= 1
+        self.cum = w.copy()
+        for j in range(1, int(count.max())):
+            e = begin[per > j] + j
+            self.cum[e] += self.cum[e - 1]
+        self.cum[ends[per > 0] - 1] = np.inf  # what is left falls to the last one
+        with np.errstate(divide="ignore"):
+            self.logp = np.log(w)
+            self.log_rest = np.log1p(-np.minimum(w, 1.0))
 
 
 def _draw(lat: Lattice, pos: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The slot of the edge that is taken at each position."""
-    return (lat.cum[pos] <= (u * lat.total[pos])[:, None]).sum(axis=1)
+    """The edge that is taken at each position."""
+    e = lat.first[pos]
+    on = np.flatnonzero(lat.cum[e] <= u)
+    while len(on):
+        e[on] += 1
+        on = on[lat.cum[e[on]] <= u[on]]
+    return e
 
 
-def _walk(lat: Lattice, pos: np.ndarray, key: np.ndarray, salt: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From each position to its unit's end: (walkers, positions, slots) of each round of steps."""
+def _walk(lat: Lattice, pos: np.ndarray, key: np.ndarray, salt: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """From each position to its unit's end: (walkers, edges) of each round of steps."""
     who = np.arange(len(pos))
-    pos = pos.copy()
     out = []
     step = 0
     while len(who):
-        k = _draw(lat, pos, uniform(key, salt + (step << 8)))
-        out.append((who, pos, k))
-        pos = pos + lat.len[pos, k]
-        nxt = lat.left[pos] > 0
+        e = _draw(lat, pos, uniform(key, salt + (step << 8)))
+        out.append((who, e))
+        pos = lat.to[e]
+        nxt = np.flatnonzero(lat.left[pos] > 0)
         who, pos, key = who[nxt], pos[nxt], key[nxt]
         step += 1
     return out
 
 
 class _Path:
-    """One segmentation of each text that has it: steps in order, with the parted rest of the search."""
+    """One segmentation of each text that has it: its steps' edges in order, and the occurrence of a unit that each is in."""
 
-    def __init__(self, doc: np.ndarray, unit: np.ndarray, pos: np.ndarray, k: np.ndarray, n_docs: int) -> None:
-        self.doc, self.unit, self.pos, self.k = doc, unit, pos, k
-        self.begin = np.searchsorted(doc, np.arange(n_docs + 1))
+    def __init__(self, edge: np.ndarray, unit: np.ndarray, count: np.ndarray) -> None:
+        self.edge, self.unit, self.count = edge, unit, count
+        self.begin = np.concatenate([[0], np.cumsum(count)])
+        self.barred = np.zeros(len(edge), "u8")  # edges, by slot, that have left the step's part beside its own
 
 
-def _assemble(first: list, rounds, base: np.ndarray, doc_of: np.ndarray, unit_of: np.ndarray, n_docs: int) -> _Path:
-    """Steps of all units in order. ``base``: each unit's steps before the walk; ``first``: where they go, given the units' offsets, and what they are."""
-    count = base.copy()
-    for who, _, _ in rounds:
+def _assemble(n_steps: int, extra: np.ndarray, rounds, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges and units of all steps, and each unit's begin: ``extra`` steps of a unit come before those that it walks."""
+    count = extra.copy()
+    for who, _ in rounds:
         count[who] += 1
-    offset = np.cumsum(count) - count
-    total = int(count.sum())
-    pos, k = np.empty(total, "i8"), np.empty(total, "i8")
-    for where, p, size in first:
-        pos[where(offset)], k[where(offset)] = p, size
-    at = offset + base
-    for i, (who, p, size) in enumerate(rounds):
-        pos[at[who] + i], k[at[who] + i] = p, size
-    return _Path(np.repeat(doc_of, count), np.repeat(unit_of, count), pos, k, n_docs)
+    begin = np.cumsum(count) - count
+    edge = np.empty(n_steps + sum(len(who) for who, _ in rounds), "i8")
+    at = begin + extra
+    for i, (who, e) in enumerate(rounds):
+        edge[at[who] + i] = e
+    return edge, np.repeat(units, count), begin
 
 
 def _truncated(loc: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -220,17 +282,22 @@ def _truncated(loc: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(loc), -np.inf, loc - np.log(np.exp(loc - most) - np.log(u)))
 
 
+def _runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1 ... ``count[0]`` of them, then those of the next."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - count), count)
+
+
 def search(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int):
     """For each sample: (texts that have it, _Path, log_prob, perturbed value); and the thresholds, -inf if none is left."""
     n = len(texts)
     lists = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
     lens = np.fromiter(map(len, lists), "i8", n)
     flat = [w for ws in lists for w in ws]
+    del lists
     code, words = pd.factorize(np.array(flat, object)) if flat else (np.zeros(0, "i8"), [])
-    code = code.astype("i8")
     lat = Lattice(vocab, list(words)) if flat else None
     doc_of = np.repeat(np.arange(n), lens)
-    unit_of = np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens)
     first_unit = np.cumsum(lens) - lens
     keys = keys.astype("u8")
     samples = []
@@ -238,137 +305,128 @@ def search(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int)
     live = np.arange(n)
     if lat is None:
         return lat, [(live, None, np.zeros(n), g)], np.full(n, -np.inf)
+    unit_of = np.arange(len(code)) - first_unit[doc_of]
     unit_key = _hash(keys[doc_of] + (unit_of.astype("u8") + np.uint64(1)) * _P)
-    path = _assemble([], _walk(lat, lat.start[code], unit_key, 2), np.zeros(len(code), "i8"), doc_of, unit_of, n)
+    begin_at = lat.start[code]
+    edge, unit, _ = _assemble(0, np.zeros(len(code), "i8"), _walk(lat, begin_at, unit_key, 2), np.arange(len(code)))
+    path = _Path(edge, unit, np.bincount(doc_of[unit], minlength=n))
     paths: list[_Path] = []
-    own_from = np.zeros(n, "i8")  # the steps from which a path owns what leaves it
+    own_from = None  # the steps from which a path owns what leaves it
     values = g
     while True:
         # log-probabilities before each step, and the parts that leave at each step
-        with np.errstate(divide="ignore"):
-            prob = lat.prob[path.pos, path.k]
-            logp = np.log(prob)
+        logp = lat.logp[path.edge]
         run = np.cumsum(logp)
         zero = np.concatenate([[0.0], run])
-        before = run - logp - np.repeat(zero[path.begin[:-1]], np.diff(path.begin))
-        path.before = before
-        path.excluded = np.zeros(len(path.pos), "u8")
-        path.excluded |= np.uint64(1) << path.k.astype("u8")
-        rest = lat.total[path.pos] - prob
-        step = np.arange(len(path.pos)) - np.repeat(path.begin[:-1], np.diff(path.begin))
-        path.step = step
-        owned = step >= own_from[path.doc]
-        alone = lat.single[path.pos]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            loc = np.where(owned & ~alone & (rest > 0), before + np.log(np.maximum(rest, 1e-300)), -np.inf)
-        path.g = _truncated(loc, values[path.doc], uniform(keys[path.doc], (step << 10) + (3 + len(paths))))
+        sums = zero[path.begin[1:]] - zero[path.begin[:-1]]
+        run -= logp
+        run -= np.repeat(zero[path.begin[:-1]], path.count)
+        path.before = run
+        loc = run + lat.log_rest[path.edge]
+        step = np.arange(len(loc)) - np.repeat(path.begin[:-1], path.count)
+        if own_from is not None:
+            loc[step < np.repeat(own_from, path.count)] = -np.inf
+        on = np.flatnonzero(loc > -np.inf)
+        doc = doc_of[path.unit[on]]
+        path.g = np.full(len(loc), -np.inf)
+        path.g[on] = _truncated(loc[on], values[doc], uniform(keys[doc], (step[on] << 10) + (3 + len(paths))))
         paths.append(path)
-        samples.append((live, path, zero[path.begin[1:]][live] - zero[path.begin[:-1]][live], values[live]))
+        samples.append((live, path, sums[live], values[live]))
         # the best part of each text over all its paths
         best = np.full(n, -np.inf)
         which = np.zeros(n, "i8")
-        where = np.zeros(n, "i8")
         for i, p in enumerate(paths):
-            has = np.flatnonzero(np.diff(p.begin) > 0)
+            has = np.flatnonzero(p.count > 0)
             if not len(has):
                 continue
             top = np.maximum.reduceat(p.g, p.begin[:-1][has])
-            on = top > best[has]
-            best[has[on]], which[has[on]] = top[on], i
+            better = top > best[has]
+            best[has[better]], which[has[better]] = top[better], i
         if len(samples) == k:
             return lat, samples, best
         live = np.flatnonzero(best > -np.inf)
         if not len(live):
             return lat, samples, best
+        where = np.zeros(n, "i8")
         for i, p in enumerate(paths):
-            mine = live[which[live] == i]
-            if not len(mine):
-                continue
-            hit = np.flatnonzero(p.g == np.where(which[p.doc] == i, best[p.doc], np.nan))
-            d, at = np.unique(p.doc[hit], return_index=True)
-            where[d] = hit[at]
-        path, own_from = _leave(lat, paths, live, which, where, best, keys, code, doc_of, unit_of, first_unit, unit_key, n, len(samples))
+            d = live[which[live] == i]
+            if len(d):
+                steps = _runs(p.begin[d], p.count[d])
+                who = np.repeat(d, p.count[d])
+                hit = np.flatnonzero(p.g[steps] == best[who])
+                first = np.unique(who[hit], return_index=True)[1]
+                where[d] = steps[hit[first]]
+        path, own_from = _leave(lat, paths, live, which, where, best, keys, begin_at, unit_of, first_unit, lens, unit_key, n, len(samples))
         values = best
 
 
-def _leave(lat, paths, live, which, where, best, keys, code, doc_of, unit_of, first_unit, unit_key, n, round_):
+def _leave(lat, paths, live, which, where, best, keys, begin_at, unit_of, first_unit, lens, unit_key, n, round_):
     """The next path of each live text: its parent's steps before the part's step, another piece there, then a fresh walk."""
-    alt = np.zeros(n, "i8")
-    dev_unit, own_from, dev_pos = np.zeros(n, "i8"), np.zeros(n, "i8"), np.zeros(n, "i8")
+    alt, dev_unit, own_from = np.zeros(n, "i8"), np.zeros(n, "i8"), np.zeros(n, "i8")
+    slots = np.arange(int(lat.count.max()))
+    copied = {}
     for i, p in enumerate(paths):
         d = live[which[live] == i]
         if not len(d):
             continue
         s = where[d]
-        probs = lat.prob[p.pos[s]].copy()
-        barred = (p.excluded[s][:, None] >> np.arange(lat.m, dtype="u8")) & np.uint64(1)
-        probs[barred == 1] = 0.0
+        pos = lat.src[p.edge[s]]
+        step = s - p.begin[d]
+        there = slots < lat.count[pos][:, None]
+        probs = np.where(there, lat.prob[np.where(there, lat.first[pos][:, None] + slots, 0)], 0.0)
+        p.barred[s] |= np.uint64(1) << (p.edge[s] - lat.first[pos]).astype("u8")
+        probs[(p.barred[s][:, None] >> slots.astype("u8")) & np.uint64(1) == 1] = 0.0
         cum = np.cumsum(probs, axis=1)
-        u = uniform(keys[d], p.step[s], 101 + round_)
+        u = uniform(keys[d], step, 101 + round_)
         pick = (cum <= (u * cum[:, -1])[:, None]).sum(axis=1)
-        alt[d], dev_unit[d], own_from[d], dev_pos[d] = pick, p.unit[s], p.step[s], p.pos[s]
+        alt[d], dev_unit[d], own_from[d] = lat.first[pos] + pick, p.unit[s], step
         # what is left of the part stays with the parent
-        p.excluded[s] |= np.uint64(1) << pick.astype("u8")
-        left = probs.copy()
-        left[np.arange(len(d)), pick] = 0.0
-        rest = left.sum(axis=1)
+        p.barred[s] |= np.uint64(1) << pick.astype("u8")
+        probs[np.arange(len(d)), pick] = 0.0
+        rest = probs.sum(axis=1)
         with np.errstate(divide="ignore"):
-            loc = np.where((left > 0).any(axis=1), p.before[s] + np.log(np.maximum(rest, 1e-300)), -np.inf)
-        p.g[s] = _truncated(loc, best[d], uniform(keys[d], p.step[s], 201 + round_))
-    on = np.zeros(n, bool)
-    on[live] = True
-    units = np.flatnonzero(on[doc_of])  # of the live texts
-    du, uu = doc_of[units], unit_of[units]
-    new_index = np.full(len(code), -1)
-    new_index[units] = np.arange(len(units))
-    base = np.zeros(len(units), "i8")
-    copied = []
-    for i, p in enumerate(paths):
-        mask = on[p.doc] & (which[p.doc] == i) & (p.step < own_from[p.doc])
-        idx = np.flatnonzero(mask)
-        if not len(idx):
-            continue
-        unit_at = new_index[first_unit[p.doc[idx]] + p.unit[idx]]
-        np.add.at(base, unit_at, 1)
-        nth = _nth(unit_at)
-        copied.append((lambda off, a=unit_at, b=nth: off[a] + b, p.pos[idx], p.k[idx]))
-    dev_at = new_index[first_unit[live] + dev_unit[live]]
-    copied.append((lambda off, a=dev_at, b=base[dev_at].copy(): off[a] + b, dev_pos[live], alt[live]))
-    base[dev_at] += 1
+            loc = np.where((probs > 0).any(axis=1), p.before[s] + np.log(np.maximum(rest, 1e-300)), -np.inf)
+        p.g[s] = _truncated(loc, best[d], uniform(keys[d], step, 201 + round_))
+        copied[i] = d
     # walks: the rest of the unit that is left, and all units after it
-    start = lat.start[code[units]].copy()
-    start[dev_at] = dev_pos[live] + lat.len[dev_pos[live], alt[live]]
-    walk = uu > dev_unit[du]
-    walk[dev_at] = lat.left[start[dev_at]] > 0
-    walkers = np.flatnonzero(walk)
-    rounds = [(walkers[w], p, size) for w, p, size in _walk(lat, start[walkers], unit_key[units][walkers], 7 + 16 * round_)]
-    return _assemble(copied, rounds, base, du, uu, n), own_from + 1  # the part itself stays with its parent
-
-
-def _nth(group: np.ndarray) -> np.ndarray:
-    """Number within each run of equal values."""
-    new = np.concatenate([[True], group[1:] != group[:-1]])
-    begin = np.flatnonzero(new)
-    return np.arange(len(group)) - np.repeat(begin, np.diff(np.append(begin, len(group))))
+    n_units = (first_unit + lens)[live] - dev_unit[live]
+    units = _runs(dev_unit[live], n_units)
+    head = np.cumsum(n_units) - n_units
+    start = begin_at[units]
+    start[head] = lat.to[alt[live]]
+    extra = np.zeros(len(units), "i8")
+    extra[head] = own_from[live] + 1
+    walkers = np.flatnonzero(lat.left[start] > 0)
+    rounds = [(walkers[w], e) for w, e in _walk(lat, start[walkers], unit_key[units[walkers]], 7 + 16 * round_)]
+    edge, unit, begin = _assemble(int(extra.sum()), extra, rounds, units)
+    ends = np.append(begin, len(edge))[np.append(head, len(units))[1:]]
+    count = np.zeros(n, "i8")
+    count[live] = ends - begin[head]
+    at = np.zeros(n, "i8")
+    at[live] = begin[head]
+    for i, d in copied.items():
+        p = paths[i]
+        from_, to = _runs(p.begin[d], own_from[d]), _runs(at[d], own_from[d])
+        edge[to], unit[to] = p.edge[from_], p.unit[from_]
+    edge[at[live] + own_from[live]] = alt[live]
+    return _Path(edge, unit, count), own_from + 1  # the part itself stays with its parent
 
 
 def _ids(vocab: Vocabulary, lat: Lattice, path: _Path) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids of each text) of a path."""
-    ids = lat.piece[path.pos, path.k]
+    ids = lat.piece[path.edge]
     raw = np.flatnonzero(ids < 0)
+    if not len(raw):
+        return ids, path.count
+    pos = lat.src[path.edge[raw]]
     width = np.ones(len(ids), "i8")
-    if len(raw):
-        width[raw] = lat.width[path.pos[raw]]
-        out = np.repeat(ids, width)
-        at = np.cumsum(width) - width
-        spelled = np.frombuffer(lat.code[path.pos[raw]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), "u1")
-        w = width[raw]
-        where = np.repeat(at[raw], w) + np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        out[where] = vocab.byte_id[spelled]
-    else:
-        out = ids
+    width[raw] = w = lat.width[pos]
+    out = np.repeat(ids, width)
+    at = np.cumsum(width) - width
+    spelled = np.frombuffer(lat.code[pos].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), "u1")
+    out[_runs(at[raw], w)] = vocab.byte_id[spelled]
     sums = np.concatenate([[0], np.cumsum(width)])
-    return out.astype("i4"), sums[path.begin[1:]] - sums[path.begin[:-1]]
+    return out, sums[path.begin[1:]] - sums[path.begin[:-1]]
 
 
 def encode_texts(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int):
@@ -412,33 +470,36 @@ def sample_encode(df: DataFrame, *, k: int = 2, id_col: str = "doc_id", text_col
     def run(batches):
         vocab = vocabulary(model_file)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            keys = batch.column("__key").to_numpy(zero_copy_only=False)
-            for a, b in text_chunks(texts, CHUNK_CHARS):
-                for rank, (docs, flat, counts, logp, value, inc) in enumerate(encode_texts(vocab, texts[a:b], keys[a:b], k), 1):
-                    cols = [batch.column("__id").take(pa.array(docs + a)), pa.array(np.full(len(docs), rank, "i4"))]
+            for rows, texts in text_slices(batch, "__text", CHUNK_CHARS):
+                keys = rows.column("__key").to_numpy(zero_copy_only=False)
+                for rank, (docs, flat, counts, logp, value, inc) in enumerate(encode_texts(vocab, texts, keys, k), 1):
+                    own = pa.array(docs)
+                    cols = [rows.column("__id").take(own), pa.array(np.full(len(docs), rank, "i4"))]
                     if ids:
                         cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype("i4")), pa.array(flat)))
                     cols += [pa.array(counts), pa.array(logp), pa.array(value), pa.array(inc), pa.array(_digest(flat, counts))]
                     names = [id_col, "sample", *["ids"] * ids, "n_pieces", "log_prob", "perturbed", "inclusion", "ids_hash"]
                     if round_trip:
-                        ends = np.cumsum(counts)
-                        same = [vocab.decode(flat[e - n : e]) == (texts[a + d] or "") for d, n, e in zip(docs, counts, ends, strict=True)]
-                        cols.append(pa.array(same, pa.bool_()))
+                        out, cuts = vocab.spell(flat, counts)
+                        said = [(" " + texts[d]).encode() if texts[d] else b"" for d in docs]
+                        cols.append(pa.array([out[a:b] == t for t, a, b in zip(said, cuts[:-1], cuts[1:], strict=True)], pa.bool_()))
                         names.append("round_trip")
-                    cols += [batch.column(f"__keep{i}").take(pa.array(docs + a)) for i in range(len(keep))]
+                    cols += [rows.column(f"__keep{i}").take(own) for i in range(len(keep))]
                     names += keep
                     yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(text_col).cast("string").alias("__text"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("__key"), *[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)])
+    rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("__key"), *[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)])
     return rows.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", out_col: str = "decoded", model_file: str = MODEL_FILE) -> DataFrame:
     """``df`` with the text of its ids."""
+
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        v = vocabulary(model_file)
-        return ids.map(lambda x: v.decode(x) if x is not None else "")
+        lists = [x if x is not None else () for x in ids]
+        counts = np.fromiter(map(len, lists), "i8", len(lists))
+        flat = np.concatenate([np.asarray(x, "f8") for x in lists]) if counts.sum() else np.zeros(0)
+        return pd.Series(vocabulary(model_file).decode_all(np.nan_to_num(flat, nan=-1), counts), dtype=object)
 
-    return df.withColumn(out_col, text(F.col(ids_col)))
+    return df.withColumn(out_col, text(F.col(f"`{ids_col}`")))
