@@ -36,7 +36,7 @@ class Predicate:
         simple = {
             "eq": lambda: c == self.value, "ne": lambda: c != self.value, "gt": lambda: c > self.value, "gte": lambda: c >= self.value, "lt": lambda: c < self.value, "lte": lambda: c <= self.value,
             "between": lambda: c.between(*self.value), "in": lambda: c.isin(list(self.value)), "not_in": lambda: ~c.isin(list(self.value)), "contains": lambda: c.contains(self.value),
-            "is_null": lambda: c.isNull(), "is_not_null": lambda: c.isNotNull(),
+            "is_null": lambda: c.isNull(), "is_not_null": lambda: c.isNotNull(), "exists": lambda: c.isNotNull(),
         }
         if self.op not in simple:
             raise PlanError(f"unknown operator {self.op}")
@@ -58,6 +58,33 @@ def disjunction(groups: list[list[Predicate]]):
     return out
 
 
+def negation(condition):
+    """Rows for which a condition doesn't hold, those with nulls in it included."""
+    return ~F.coalesce(condition, F.lit(False))
+
+
+def year_filter(year, op: str, first: int | None = None, last: int | None = None):
+    """lte, lt, gte, gt, between or exact; a null year fails."""
+    says = {
+        "lte": lambda: year <= last, "lt": lambda: year < last, "gte": lambda: year >= first, "gt": lambda: year > first, "between": lambda: year.between(first, last), "exact": lambda: year == first,
+    }
+    if op not in says:
+        raise PlanError(f"unknown operator {op}")
+    return F.coalesce(says[op](), F.lit(False))
+
+
+def any_in_range(columns: list, bounds: dict[str, float]):
+    """Some one of the columns lies within all bounds (gt, gte, lt, lte)."""
+    does = {"gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v}
+    out = F.lit(False)
+    for c in columns:
+        here = F.lit(True)
+        for k, v in bounds.items():
+            here = here & does[k](c, v)
+        out = out | F.coalesce(here, F.lit(False))
+    return out
+
+
 def unsatisfiable(predicates: list[Predicate]) -> bool:
     """True if some field's largest lower bound is at or above its smallest upper bound."""
     low: dict[str, float] = {}

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions import language as L
 from .functions import text as T
 from .functions import units
 from .operators import events as E
 from .operators import retrieval as R
+from .operators import search as S
 from .plans import algebra as P
 from .sources.tables import events, read
 from .streaming import logs
@@ -369,15 +371,15 @@ def text_clean_pdf(spark, d):
 @query()
 def text_pii_mask(spark, d):
     """Look-around has no counterpart in the SQL dialect; tested on fixtures."""
-    return read(spark, d, "documents").select("doc_id", F.md5(T.mask_places(T.mask_pii(F.col("text")))).alias("masked"))
+    return read(spark, d, "documents").select("doc_id", F.md5(L.mask_people(L.mask_places(F.col("text")))).alias("masked"))
 
 
-@query("select doc_id, floor((c + floor((length(text) - c) / 4)) * 11 / 10)::bigint as tokens from (select doc_id, text, length(regexp_replace(text, '[^一-鿿]', '', 'g')) as c from documents)")
+@query("select doc_id, floor((c + floor((length(text) - c) / 4)) * 11 / 10)::bigint as tokens from (select doc_id, text, length(regexp_replace(text, '[^一-鿿　-〿＀-￯]', '', 'g')) as c from documents)")
 def text_token_estimate(spark, d):
     return read(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("select case when length(regexp_replace(text, '[^一-鿿]', '', 'g')) > length(text) * 0.05 then 'zh' else 'en' end as script, count(*) as n from documents group by 1")
+@query("select case when length(regexp_replace(left(text, 5000), '[^一-鿿]', '', 'g')) > length(left(text, 5000)) * 0.05 then 'zh' else 'en' end as script, count(*) as n from documents group by 1")
 def text_script_language(spark, d):
     return read(spark, d, "documents").groupBy(T.language_by_script(F.col("text")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -445,7 +447,7 @@ _BM25 = """w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '
 
 
 def _bm25(spark, d):
-    return R.bm25(read(spark, d, "documents"), sorted(TERMS, key=TERMS.index)).withColumn("score", F.round("score", 9))
+    return S.bm25(S.opened(spark, d), TERMS, boosts={"content": 1.0}).withColumn("score", F.round("score", 9))
 
 
 _BM25 = _BM25.replace(" as score from tf", " as raw from tf").replace("bm as (select doc_id,", "bm0 as (select doc_id,") + ", bm as (select doc_id, round(raw, 9) as score from bm0)"
@@ -480,10 +482,18 @@ def hybrid_rrf(spark, d):
     return R.fuse([a, b], "doc_id", 10).withColumn("rrf", F.round("rrf", 9))
 
 
-@query(f"with {_BM25} select doc_id, round(score, 5) as score from bm semi join (select doc_id from documents where lang = 'en' and n_chars < 3000) using (doc_id) order by bm.score desc, doc_id limit 10")
+@query(f"""with {_BM25}, {_VEC}, ok as (select doc_id from documents where lang = 'en' and n_chars < 3000), a as (select doc_id, row_number() over (order by score desc, doc_id) as rank from bm semi join ok using (doc_id) qualify rank <= 10),
+    n as (select vec_id, score from vs semi join ok on vec_id = doc_id order by vs.score desc, vec_id limit 20), b as (select vec_id as doc_id, row_number() over (order by score desc, vec_id) as rank from n qualify rank <= 10)
+    select doc_id, round(sum(1 / (60 + rank)), 9) as rrf from (select * from a union all select * from b) group by 1 order by sum(1 / (60 + rank)) desc, min(rank), doc_id limit 5""")
 def hybrid_filtered(spark, d):
+    """Attributes first, then words and vectors among what is left, fused; documents and vectors are paired by doc_id = vec_id."""
     allowed = read(spark, d, "documents").filter("lang = 'en' and n_chars < 3000").select("doc_id")
-    return _bm25(spark, d).join(allowed, "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(10).withColumn("score", F.round("score", 5))
+    v = read(spark, d, "embeddings")
+    near = S.near_chunks(v, v.filter("vec_id = 0"), 20, id_col="vec_id", allowed=allowed.withColumnRenamed("doc_id", "vec_id")).withColumn("score", F.round("score", 9))
+    words = _bm25(spark, d).join(F.broadcast(allowed) if allowed.count() <= 100_000 else allowed, "doc_id", "left_semi")
+    both = [S.top(words, "doc_id", 10), S.top(near, "vec_id", 10).withColumnRenamed("vec_id", "doc_id")]
+    ranks = both[0].unionByName(both[1]).groupBy("doc_id").agg(F.sum(1 / (F.lit(R.RRF_K) + F.col("rank"))).alias("rrf"), F.min("rank").alias("best"))
+    return ranks.orderBy(F.desc("rrf"), "best", "doc_id").limit(5).select("doc_id", F.round("rrf", 9).alias("rrf"))
 
 
 @query(f"""with {_VEC}, c as (select label, vec_id % 5 as cluster, max(score) as best from vs join embeddings using (vec_id) where vec_id > 0 group by 1, 2),
