@@ -3,18 +3,27 @@
 Pass one writes a digest per row and counts how often each filter bit is hit;
 bits hit twice or more form a second filter. Pass two tests every row against
 it: a row of which some bit was hit once only is unique and passes straight
-through; only the others ("possibly repeated") shuffle by digest.
-
-The filter is blocked: a row's two bits lie in one block of 32,768 bits, so the
-test is one broadcast join on the block number. The filter has about 16 bits a
-row and ``MAX_LOG2_BITS`` bits at most (32 MB): that is the bound on what is
-broadcast. Beyond about 17 million rows it fills up, more rows count as
+through; only the others ("possibly repeated") shuffle, and as digests. A group's
+members are dealt out by digest and task, so no task gets a whole hot group.
+
+``deduplicate`` then reads the texts again. Unique rows pass straight through. Of
+the possibly repeated ones only those that a third filter, of the keys that stay,
+lets through are shuffled to meet these keys: about one row a group, however many
+copies it has. These joins are inner or outer joins on unique keys, never semi or
+anti joins, which the optimiser would push below the filters.
+
+The filters are blocked: a row's two bits lie in one block of 32,768 bits, so the
+test is one broadcast join on the block number. A filter has about 16 bits a
+row and ``MAX_LOG2_BITS`` bits at most (128 MB): that is the bound on what is
+broadcast. Beyond about 67 million rows it fills up, more rows count as
 possibly repeated and are shuffled, and the result stays exact.
 
 Cases: null text counts as empty; empty texts are equal to each other; a null
 id sorts after all others, so it is kept only if its group has no other id; of
-repeated rows (same id, same text) exactly one is kept; an empty table gives an
-empty result; other columns are carried along untouched, whatever their names.
+repeated rows (same id, same text) exactly one is kept, in ``deduplicate`` that
+whose other columns have the smallest hash; very long texts are read as digests
+but for those that stay; an empty table gives an empty result; other columns are
+carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 BLOCK_BITS = 32768
 BITS_PER_ROW = 16
-MAX_LOG2_BITS = 28
+MAX_LOG2_BITS = 30
 ROWS_PER_SALT = 65536
 
 
@@ -38,7 +47,8 @@ def digest(text: Column) -> Column:
 def _bits(sha: Column, blocks: int) -> tuple[Column, Column, Column]:
     first = F.pmod(F.xxhash64(sha, F.lit(1)), F.lit(BLOCK_BITS)).cast("int")
     step = F.pmod(F.xxhash64(sha, F.lit(2)), F.lit(BLOCK_BITS - 1)).cast("int") + 1
-    return F.pmod(F.xxhash64(sha), F.lit(blocks)), first, F.pmod(first + step, F.lit(BLOCK_BITS))
+    # never null, so that a join on the block asks for no second look at the digest
+    return F.coalesce(F.pmod(F.xxhash64(sha), F.lit(blocks)), F.lit(0)), first, F.pmod(first + step, F.lit(BLOCK_BITS))
 
 
 def _blocks(rows: int) -> int:
@@ -64,30 +74,52 @@ def member_filter(ids: DataFrame, id_col: str, blocks: int) -> DataFrame:
 def split_by_members(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """``df``'s rows that may be among ``ids`` (a written table), and those that aren't for sure; no row is shuffled."""
     blocks = _blocks(ids.count())
-    tested = maybe_repeated(df, col, written(member_filter(ids, id_col, blocks), "members"), blocks)
-    return tested.filter("__maybe").drop("__maybe"), tested.filter(~F.col("__maybe")).drop("__maybe")
+    flag = unused(df.columns, "maybe")
+    tested = maybe_repeated(df, col, written(member_filter(ids, id_col, blocks), "members"), blocks, flag)
+    return tested.filter(F.col(flag)).drop(flag), tested.filter(~F.col(flag)).drop(flag)
 
 
-def maybe_repeated(df: DataFrame, sha: str, bloom: DataFrame, blocks: int) -> DataFrame:
-    """``df`` with boolean ``__maybe``: false only for rows whose digest no other row has."""
-    block, one, two = _bits(F.col(sha), blocks)
+def among(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """``df``'s rows that are among ``ids`` (a written table of distinct values). Only those that a Bloom filter lets through are shuffled."""
+    maybe, _ = split_by_members(df, col, ids, id_col)
+    key = unused(df.columns, "key")
+    return maybe.join(ids.select(F.col(id_col).alias(key)), F.col(f"`{col}`") == F.col(key)).drop(key)
+
+
+def not_among(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """``df``'s rows that aren't among ``ids`` (a written table of distinct values), null ones included.
+
+    Rows that a Bloom filter clears pass straight through. The others are looked up by their
+    ``col`` alone, and only rows that the filter took wrongly are shuffled."""
+    maybe, out = split_by_members(df, col, ids, id_col)
+    key = unused(df.columns, "key")
+    seen = maybe.select(F.col(f"`{col}`").alias(key)).distinct().join(ids.select(F.col(id_col).alias("__there")), F.col(key) == F.col("__there"), "left")
+    wrong = written(seen.filter("__there is null").select(key), "wrong")
+    return out.unionByName(among(maybe, col, wrong, key))
+
+
+def maybe_repeated(df: DataFrame, sha: str, bloom: DataFrame, blocks: int, flag: str = "__maybe") -> DataFrame:
+    """``df`` with boolean ``flag``: false only for rows whose ``sha`` the filter doesn't hold."""
+    block, one, two = _bits(F.col(f"`{sha}`"), blocks)
+    blk, bm = unused([*df.columns, flag], "blk", "bm")
 
     def is_set(bit: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(F.col("__bm"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        byte = F.conv(F.hex(F.substring(F.col(bm), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         return F.call_function("shiftright", byte, F.pmod(bit, F.lit(8))).bitwiseAND(1) == 1
 
-    joined = df.withColumn("__blk", block).join(F.broadcast(bloom), "__blk", "left")
-    return joined.withColumn("__maybe", F.col("__bm").isNotNull() & is_set(one) & is_set(two)).drop("__blk", "__bm")
+    joined = df.withColumn(blk, block).join(F.broadcast(bloom.select(F.col("__blk").alias(blk), F.col("__bm").alias(bm))), blk, "left")
+    return joined.withColumn(flag, F.col(bm).isNotNull() & is_set(one) & is_set(two)).drop(blk, bm)
 
 
 def groups(maybe: DataFrame, id_col: str, sha: str, rows: int) -> DataFrame:
     """(id, keep_id, group_size, kept, sha) of possibly repeated rows.
 
-    A group of any size is dealt out by (digest, salt), so no task gets a whole hot group."""
+    A group of any size, of one id or of null ids too, is dealt out by (digest, salt): a salt is a hash of id and task."""
     salts = max(64, -(-rows // ROWS_PER_SALT))
     member = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
     part = (
-        maybe.groupBy(F.col(sha).alias("__sha"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("__salt"))
+        maybe.withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col), F.spark_partition_id()), F.lit(salts)))
+        .groupBy(F.col(sha).alias("__sha"), "__salt")
         .agg(F.sort_array(F.collect_list(member)).alias("__members"))
         .withColumn("__first", F.element_at("__members", 1))
     )
@@ -102,7 +134,7 @@ def groups(maybe: DataFrame, id_col: str, sha: str, rows: int) -> DataFrame:
 
 
 def _prepared(df: DataFrame, id_col: str, text_col: str):
-    digests = written(df.select(F.col(id_col).alias("__id"), digest(F.col(text_col)).alias("__sha")), "digests")
+    digests = written(df.select(F.col(f"`{id_col}`").alias("__id"), digest(F.col(f"`{text_col}`")).alias("__sha")), "digests")
     n = digests.count()
     blocks = _blocks(n)
     bloom = written(repeated_filter(digests, "__sha", blocks), "bloom")
@@ -120,15 +152,15 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without repeated texts: the row with the smallest id of each text stays.
-
-    Rows whose text is unique by the filter aren't shuffled; the others meet the
-    ids that stay by (id, digest), which are unique in the kept set."""
+    """``df`` without repeated texts: the row with the smallest id of each text stays."""
     digests, n, blocks, bloom = _prepared(df, id_col, text_col)
-    keepers = groups(maybe_repeated(digests, "__sha", bloom, blocks).filter("__maybe"), "__id", "__sha", n).filter("kept").select(F.col("id").alias("__kid"), F.col("sha").alias("__ksha"))
-    tested = maybe_repeated(df.withColumn("__sha", digest(F.col(text_col))), "__sha", bloom, blocks)
-    straight = tested.filter(~F.col("__maybe")).drop("__maybe", "__sha")
-    among = tested.filter("__maybe").join(keepers, F.col(id_col).eqNullSafe(F.col("__kid")) & (F.col("__sha") == F.col("__ksha")), "left_semi")
-    # a row that is there twice with the same id matches twice; all its columns but the text may differ, so one is picked
-    once = among.groupBy("__sha").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).alias("__row"))
-    return straight.unionByName(once.select("__row.*"))
+    key = lambda id_, sha: F.concat_ws(":", F.col(sha), F.col(id_).cast("string"))
+    doubtful = written(maybe_repeated(digests, "__sha", bloom, blocks).filter("__maybe"), "doubtful")
+    stay = written(groups(doubtful, "__id", "__sha", n).filter("kept").select(key("id", "sha").alias("key")), "stay")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(whole.alias("row"), F.col(f"`{id_col}`").alias("id"), digest(F.col(f"`{text_col}`")).alias("sha"))
+    tested = maybe_repeated(rows, "sha", bloom, blocks)
+    straight = tested.filter(~F.col("__maybe")).select("row")
+    met = among(tested.filter("__maybe").select("row", key("id", "sha").alias("key")), "key", stay, "key")
+    once = met.groupBy("key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return straight.unionByName(once.select("row")).select("row.*")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_dir, table_path  # noqa: F401
+
 #: Rows of narrow intermediate tables in a file.
 ROWS_PER_FILE = 65536
 
@@ -17,18 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests) a local one is made, once a session:
-    a running session refuses to change that setting, so another one holds it."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("marlstone.shared.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("marlstone.shared.dir", path)
-    return path.rstrip("/")
-
-
 def files_for(df: DataFrame, rows: int, least: int = 1) -> DataFrame:
     """``df`` in as many partitions as so many rows call for, ``least`` or more; never in more than it has."""
     return df.coalesce(max(least, -(-rows // ROWS_PER_FILE)))
@@ -40,7 +27,7 @@ def written(df: DataFrame, name: str, rows: int | None = None, least: int = 1) -
     Cuts the lineage: a lost executor costs a reread, not a recomputation. ``rows``, if
     known, keeps a small table from being written as many tiny files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     (df if rows is None else files_for(df, rows, least)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

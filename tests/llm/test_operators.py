@@ -75,6 +75,13 @@ def test_language_cases(spark):
     assert lang_crf.identify(df.limit(0), model).count() == 0
     long = "alpha beta " * 50000
     assert lang_crf.predict_texts(model, [long])[0] == ["en"]
+    assert lang_crf.predict_texts(model, ["½ ² ① Ⅷ", "３ 4"]) == (["und", "und"], [0.0, 0.0])
+    # no labelled row: nothing is known
+    bare = lang_crf.train(df.withColumn("lang", F.lit(None).cast("string")))
+    assert {(r["lang_pred"], r["score"]) for r in lang_crf.identify(df, bare).collect()} == {("und", 0.0)}
+    assert lang_crf.identify(df.limit(0), lang_crf.train(df.limit(0))).count() == 0
+    both = lang_crf.identify(df.withColumn("lang_pred", F.lit(1)), model, keep=("doc_id", "lang_pred", "text"), lang_as="x", score_as="y")
+    assert both.columns == ["doc_id", "text", "lang_pred", "x", "y"] and [r["x"] for r in both.collect()][:2] == ["en", "es"]
 
 
 # --- secrets
@@ -135,10 +142,12 @@ def test_pll_adds_up_and_learns(spark, real):
     n, before = pll.score_texts(net, classes, texts)
     bucket, lens = pll.buckets(texts)
     cls = classes.of[bucket]
-    at = pll.masked(bucket, lens, 0)
+    parts = [pll.of_round(bucket, lens, r) for r in range(pll.ROUNDS)]
+    assert sorted(np.concatenate(parts).tolist()) == list(range(len(bucket)))  # every token is a target once
     memory = np.full(len(net.flat), 1.0, "f4")
-    for _ in range(4):
-        net.train(pll.windows(cls, lens)[at], cls[at], memory)
+    rng = np.random.default_rng(0)
+    for at in parts:
+        net.train(pll.windows(cls, lens)[at], cls[at], memory, classes.share, rng)
     _, after = pll.score_texts(net, classes, texts)
     assert after.sum() > before.sum() + n.sum() * 0.3
     assert list(n[-3:-1]) == [0, 0] and list(after[-3:-1]) == [0, 0]
@@ -236,19 +245,42 @@ def test_pfair_weights_below_a_thousandth(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_va_block_is_exact(seed):
+def test_va_bounds_lose_nothing(seed):
     rng = np.random.default_rng(seed)
-    x = rng.integers(-300, 300, (400, 8))
+    x = rng.integers(-300, 300, (400, 8)).astype("f8")
     x[100:200] = x[100]
     ids = rng.permutation(400)
-    q = x[:30]
-    got = vafile.block_topk(ids, x, ids[:30], q, 5, bits=3)
-    want = []
-    for i in range(30):
-        s = x @ q[i]
-        best = sorted((-s[j], ids[j]) for j in range(400) if ids[j] != ids[i])[:5]
-        want += [(ids[i], b, -a) for a, b in best]
-    assert got == want
+    lo, hi = x.min(axis=0), x.max(axis=0)
+    for bits in (3, 8):
+        width = vafile.grid(lo, hi, bits)
+        c = vafile.cells(x, lo, width, bits)
+        mid, half = vafile.bounds(c, x[:30], lo, width)
+        score = x[:30] @ x.T
+        assert (np.abs(mid - score) <= half[:, None]).all()
+        got = vafile.survivors(ids, c, ids[:30], x[:30], lo, width, 5)
+        for i in range(30):
+            best = sorted((-score[i, j], ids[j]) for j in range(400) if ids[j] != ids[i])
+            worst = -best[4][0]
+            assert {j for j in range(400) if ids[j] != ids[i] and score[i, j] >= worst} <= set(got[i][0].tolist())
+            assert bits == 3 or len(got[i][0]) < 200
+
+
+def test_va_matches_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 6)).astype("f4")
+    x[50:80] = x[50]
+    rows = [(int(i), [float(v) for v in x[i]]) for i in range(600)] + [(50, [float(v) for v in x[50]]), (601, [float(v) for v in x[3]]), (601, [float(v) for v in x[3]])]
+    monkeypatch.setattr(vafile, "CANDIDATES_PER_BLOCK", 100)
+    monkeypatch.setattr(vafile, "QUERIES_PER_BLOCK", 5)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in vafile.topk(df, df.filter("vec_id % 50 = 0"), 5).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    e = [(i, np.floor(256 * np.array(v, "f4").astype("f8")).astype("i8")) for i, v in rows]
+    for q in range(0, 600, 50):
+        w = next(v for i, v in e if i == q)
+        best = sorted((-int(v @ w), i) for i, v in e if i != q)[:5]
+        assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
 
 
 def test_va_cases(spark):
@@ -333,6 +365,35 @@ def test_chosen_path_finds_pairs_of_frequent_passages(spark, taken):
     assert sum(got.values()) >= 0.999 * sum(want.values()) > 0
 
 
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(3)
+    for size in (1, 3, 20, 300, 3000):
+        base = rng.choice(2**32, size, replace=False).astype("u4")
+        sets = []
+        for _ in range(20):
+            s = base.copy()
+            s[: rng.integers(0, max(1, size // 5 + 1))] = rng.choice(2**32)
+            sets.append(np.unique(s))
+        sets += [np.unique(rng.choice(2**32, size).astype("u4")) for _ in range(10)]
+        sizes = np.array([len(s) for s in sets])
+        words = chosenpath.sketches(np.concatenate(sets), sizes).copy().view("u8")
+        linked = chosenpath.links_within(sets, 0.8)
+        np.fill_diagonal(linked, False)
+        may = chosenpath.may_link(words, sizes, 0.8)
+        assert (may >= linked.any(axis=1)).all()
+        if size == 300:
+            assert not may[20:].any()
+
+
+def test_chosen_path_very_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60000))
+    rows = [(1, long, 5, 6), (2, long + " end", 5, 6), (3, "short text of its own words here", 5, 6), (4, "", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int, fp int")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosenpath.similar(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    assert [tuple(r) for r in chosenpath.one_of_each(df).orderBy("doc_id").collect()] == [r for r in rows if r[0] != 2]
+
+
 def test_chosen_path_runs_hold_at_every_depth():
     rng = np.random.default_rng(0)
     runs = chosenpath.runs_for()
@@ -377,6 +438,38 @@ def test_bloom_dedup_cases(spark):
     assert bloomdedup.decisions(twice).filter("kept").count() == 2 and bloomdedup.deduplicate(twice).count() == 2
 
 
+def test_bloom_dedup_carries_columns_of_any_name(spark):
+    cols = "doc_id long, text string, __sha int, __blk int, _blk int, __bm int, __maybe int, maybe int, row int, key int, sha int"
+    df = spark.createDataFrame([(i, f"t {i // 2}", *range(9)) for i in range(40)] + [(None, "n", *range(9))] * 30, cols)
+    out = bloomdedup.deduplicate(df)
+    assert out.columns == df.columns and sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in out.collect()) == [-1, *range(0, 40, 2)]
+    assert all(tuple(r)[2:] == tuple(range(9)) for r in out.collect())
+    one = bloomdedup.decisions(df).filter("doc_id is null" if "doc_id" in bloomdedup.decisions(df).columns else "id is null").collect()
+    assert len(one) == 30 and sum(r["kept"] for r in one) == 1 and {r["group_size"] for r in one} == {30}
+
+
+def test_bloom_dedup_shuffles_few_texts(spark):
+    """Texts of unique rows and of copies that go stay out of the shuffles: the joins stand above the filters."""
+    df = spark.createDataFrame([(i, f"text {i} " + "x" * 2000 if i % 10 else "the same " + "y" * 2000) for i in range(3000)], "doc_id long, text string")
+    from marlstone.llm.common import written
+
+    kept = bloomdedup.deduplicate(written(df, "in"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "LeftAnti" not in plan
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    assert "key" in joins[0] and "shiftright" not in joins[0] and all("shiftright" in x for x in joins[1:]) and len(joins) == 3
+    assert kept.count() == 2701
+
+
+def test_not_among(spark):
+    from marlstone.llm.common import written
+
+    df = spark.createDataFrame([(i % 500 if i % 7 else None, i) for i in range(1500)], "id long, key int")
+    gone = written(spark.range(0, 500, 3).select(F.col("id").alias("g")), "gone")
+    got = bloomdedup.not_among(df, "id", gone, "g").collect()
+    assert sorted(r["key"] for r in got) == [i for i in range(1500) if i % 7 == 0 or (i % 500) % 3]
+
+
 def test_bloom_filter_passes_unique_rows(spark):
     df = docs(spark, [(i, f"text {i // 2 if i < 200 else i}") for i in range(4000)])
     digests = df.select(F.col("doc_id").alias("id"), bloomdedup.digest(F.col("text")).alias("sha"))
@@ -435,6 +528,46 @@ def test_main_text_keeps_all_content(body):
     assert not any("cookies" in x or "Write to us" in x for x in got)
 
 
+def test_main_text_weights_overrule_names():
+    body = "<p>The report, in full, says a good deal, and goes on, for some time.</p>" * 10
+    assert pathratio.main_text(f"<html><body><nav><a href=/>Home</a></nav><article><div class='promo-text'>{body}</div></article></body></html>").count("The report") == 10
+    assert pathratio.main_text(f"<html><body><div class='story'>{body}</div><article class='teaser'><p>Read more, soon.</p></article></body></html>").count("The report") == 10
+    deep = pathratio.main_text(f"<html><body><div class='widget'><div class='share'><p>Share this, now.</p></div>{body}</div><footer><p>(c) 2020, all of it.</p></footer></body></html>")
+    assert deep.count("The report") == 10 and "Share" not in deep and "2020" not in deep
+
+
+def test_main_text_takes_time_in_proportion():
+    import time
+
+    body = "<p>Some text, of a page, that goes on.</p>"
+    hard = [
+        "<a " + '"" ' * 40000 + "<b", "<a '" * 40000, "<b>" * 60000 + "text, here." + "</i>" * 60000, "<h1>" * 40000 + body, "<svg>" * 20000 + body, "<!-" * 60000, "</" * 60000 + body, "<i><div>" + "<b></i>" * 40000, "<p><div>" + "<h1>" * 40000,
+        "<div>" * 30000 + body, "<li>" * 40000, "&" * 200000, "<" * 200000, ("<div class='ad'>" + body) * 5000,
+    ]
+    for page in hard:
+        began = time.perf_counter()
+        pathratio.main_text(page)
+        assert time.perf_counter() - began < 5, page[:40]
+
+
+def test_path_weights_match_plain_sums():
+    rng = np.random.default_rng(2)
+    nodes = [(int(rng.integers(0, 9)), int(rng.integers(1, 200)), int(rng.integers(0, 9)), bool(rng.integers(0, 2))) for _ in range(60)]
+    per = collections.defaultdict(list)
+    for p, *x in nodes:
+        per[p].append(x)
+    text = [sum(x[0] for x in per[p]) / len(per[p]) for p, *_ in nodes]
+    marks = [(sum(x[1] for x in per[p]) + 1) / len(per[p]) for p, *_ in nodes]
+
+    def smooth(xs, i):
+        ws = {j: math.exp(-((i - j) ** 2) / 2) for j in range(max(0, i - 2), min(60, i + 3))}
+        return sum(w * xs[j] for j, w in ws.items()) / sum(ws.values())
+
+    for i, ((p, *_), w) in enumerate(zip(nodes, pathratio.path_weights(nodes), strict=True)):
+        free = 1 - sum(x[0] * x[2] for x in per[p]) / sum(x[0] for x in per[p])
+        assert math.isclose(w, smooth(text, i) * smooth(marks, i) * free, rel_tol=1e-9)
+
+
 def test_main_text_cases(spark):
     assert [pathratio.main_text(x) for x in (None, "", "  ", "a &lt; b\n c", "<p>x<p>y", "<article><p>cut &am", "<p>cut <a hre", "<!-- only", "<nav>a</nav>")] == ["", "", "", "a < b c", "x\n\ny", "cut &am", "cut", "", ""]
     assert pathratio.main_text("<div>" * 3000 + "deep, text." + "</div>" * 3000) == "deep, text."
@@ -534,6 +667,7 @@ def test_encode_query_returns_and_decodes_ids(spark, real):
 
 
 def brute_threads(rows):
+    """(reply_to, position) of each message."""
     mark = re.compile(r"^[ \t]*(>[ \t]*)+")
     norm = lambda s: re.sub(r"\s+", " ", mark.sub("", s)).strip().lower()
     lines = {(c, t): re.split(r"\r?\n", x or "") for c, t, x in rows}
@@ -559,32 +693,66 @@ def brute_threads(rows):
                 score[level[s], o] += n
         if score:
             up[c, t] = min(score, key=lambda x: (x[0], -score[x], -x[1]))[1]
-    path = lambda c, t: (path(c, up[c, t]) + "/" if (c, t) in up else "") + str(t).rjust(12, "0")
-    return {(c, t): (up.get((c, t)), path(c, t)) for c, t in lines}
+    path = lambda c, t: (path(c, up[c, t]) if (c, t) in up else []) + [t]
+    place = {}
+    for c in {c for c, _ in lines}:
+        for i, t in enumerate(sorted((t for k, t in lines if k == c), key=lambda t: path(c, t))):
+            place[c, t] = i
+    return {k: (up.get(k), place[k]) for k in lines}
+
+
+QUOTED = [
+    (1, 0, "Hello there\nHow are you?"), (1, 1, "> hello   THERE\nHi, fine."), (1, 2, ">> Hello there\n> Hi, fine.\nGood to hear."), (1, 3, "Something else"),
+    (1, 4, "> Good to hear.\n> Something else\nBoth."), (1, 5, "> Hello there\n> How are you?\nLate."), (1, 6, "> nothing like it\nNo."), (1, 7, "> Both.\r\n  > > x\r\nYes."),
+    (2, 0, "> Hello there\nOther talk."), (2, 1, None), (2, 2, ""), (2, 3, "> Other talk.\n> > Hello there\nok"), (3, 0, "> self\nself"),
+    (4, 1700000000000, "a line"), (4, 1700000000009, "> a line\nnine"), (4, 1700000000001, "> a line\none"), (4, -5, "before all"), (4, 1700000000010, "> one\nten"), (4, 3, "> before all\nafter"),
+]
+TALKS = "conv_id long, turn long, role string, text string, hash string"
 
 
 def test_quote_threads(spark):
-    rows = [
-        (1, 0, "Hello there\nHow are you?"), (1, 1, "> hello   THERE\nHi, fine."), (1, 2, ">> Hello there\n> Hi, fine.\nGood to hear."), (1, 3, "Something else"),
-        (1, 4, "> Good to hear.\n> Something else\nBoth."), (1, 5, "> Hello there\n> How are you?\nLate."), (1, 6, "> nothing like it\nNo."), (1, 7, "> Both.\r\n  > > x\r\nYes."),
-        (2, 0, "> Hello there\nOther talk."), (2, 1, None), (2, 2, ""), (2, 3, "> Other talk.\n> > Hello there\nok"), (3, 0, "> self\nself"),
-    ]
-    df = spark.createDataFrame([(c, t, "user", x, "z") for c, t, x in rows], "conv_id long, turn long, role string, text string, hash string")
+    df = spark.createDataFrame([(c, t, "user", x, "z") for c, t, x in QUOTED], TALKS)
     out = {(r["conv_id"], r["turn"]): r for r in quotes.threads(df).collect()}
-    assert {k: (r["reply_to"], r["thread_path"]) for k, r in out.items()} == brute_threads(rows)
-    assert out[1, 2]["own_text"] == "Good to hear." and out[1, 2]["max_level"] == 2 and out[1, 2]["n_quoted"] == 2
+    assert {k: (r["reply_to"], r["position"]) for k, r in out.items()} == brute_threads(QUOTED)
+    assert out[1, 2]["own_text"] == "Good to hear." and out[1, 2]["max_level"] == 2 and out[1, 2]["n_quoted"] == 2 and out[1, 2]["hash"] == "z"
     assert out[2, 1]["own_text"] == "" and out[1, 2]["reply_to"] == 1
-    order = [k for k in sorted(out, key=lambda k: (k[0], out[k]["thread_path"])) if k[0] == 1]
-    assert order == [(1, 0), (1, 1), (1, 2), (1, 5), (1, 3), (1, 4), (1, 7), (1, 6)]
+    order = [k[1] for k in sorted(out, key=lambda k: (k[0], out[k]["position"])) if k[0] == 1]
+    assert order == [0, 1, 2, 5, 3, 4, 7, 6]
+    assert [k[1] for k in sorted(out, key=lambda k: out[k]["position"]) if k[0] == 4] == [-5, 3, 1700000000000, 1700000000001, 1700000000010, 1700000000009]
     assert quotes.threads(df.limit(0)).count() == 0
 
 
+def test_quote_conversations(spark):
+    df = spark.createDataFrame([(c, t, "user", x, "z") for c, t, x in QUOTED], TALKS)
+    want = brute_threads(QUOTED)
+    built = quotes.conversations(df, page=3).collect()
+    assert all(r["n_messages"] == len(r["messages"]) <= 3 for r in built)
+    for c in (1, 2, 3, 4):
+        got = [m for r in sorted((r for r in built if r["conv_id"] == c), key=lambda r: r["page"]) for m in r["messages"]]
+        assert [m["turn"] for m in got] == sorted((t for k, t in want if k == c), key=lambda t: want[c, t][1])
+        assert not any(line.lstrip().startswith(">") for m in got for line in m["text"].split("\n"))
+    assert quotes.conversations(df.limit(0)).count() == 0
+
+
 def test_quote_long_chain_and_nulls(spark):
-    rows = [(1, t, (f"> line {t - 1}\n" if t else "") + f"line {t}") for t in range(40)] + [(None, 0, "a b"), (None, 1, "> a b\nc"), (4, None, "> line 1")]
-    df = spark.createDataFrame([(c, t, "user", x, "z") for c, t, x in rows], "conv_id long, turn long, role string, text string, own_text string")
+    rows = [(1, t, (f"> line {t - 1}\n" if t else "") + f"line {t}") for t in range(40)] + [(None, 0, "a b"), (None, 1, "> a b\nc"), (4, None, "> line 1"), (5, 2, "twice"), (5, 2, "twice")]
+    df = spark.createDataFrame([(c, t, "user", x, "z", 7) for c, t, x in rows], "conv_id long, turn long, role string, text string, own_text string, position int")
     out = {(r["conv_id"], r["turn"]): r for r in quotes.threads(df).collect()}
-    assert out[1, 39]["thread_path"].count("/") == 39 and out[None, 1]["reply_to"] == 0 and out[4, None]["reply_to"] is None
-    assert len(out) == len(rows)
+    assert out[1, 39]["position"] == 39 == out[1, 39]["reply_rank"] and out[1, 39]["root_turn"] == 0
+    assert out[None, 1]["reply_to"] == 0 and out[None, 1]["position"] == 1 and out[4, None]["reply_to"] is None and out[4, None]["position"] == 0
+    assert quotes.threads(df).count() == len(rows)
+
+
+def test_quote_many_replies_and_random_trees(spark):
+    rng = np.random.default_rng(4)
+    turns = sorted(set((rng.integers(0, 400_000, 300)).tolist()))
+    rows = [(9, turns[0], f"t {turns[0]}")]
+    for i, t in enumerate(turns[1:], 1):
+        q = turns[0] if i % 3 == 0 else turns[int(rng.integers(0, i))]
+        rows.append((9, t, f"> t {q}\nt {t}"))
+    df = spark.createDataFrame([(c, t, "user", x, "z") for c, t, x in rows], TALKS)
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["position"]) for r in quotes.threads(df).collect()}
+    assert got == brute_threads(rows)
 
 
 # --- the registered queries
@@ -646,8 +814,31 @@ def test_shared_dir_without_a_setting():
     from marlstone.llm.common import shared_dir
 
     held = {}
-    spark = SimpleNamespace(conf=SimpleNamespace(get=held.get, set=held.__setitem__))
+    spark = SimpleNamespace(conf=SimpleNamespace(get=held.get, set=held.__setitem__), sparkContext=SimpleNamespace(master="local[2]"))
     first = shared_dir(spark)
     assert shared_dir(spark) == first and "spark.checkpoint.dir" not in held
+    far = SimpleNamespace(conf=SimpleNamespace(get={}.get, set=None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(far)
     held["spark.checkpoint.dir"] = "s3a://shared/folder/"
     assert shared_dir(spark) == "s3a://shared/folder"
+
+
+def test_pipeline_stages_on_hard_rows(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names, an empty table."""
+    import corpus_pipeline
+
+    cols = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, __sha int, __h int, mix_slot int"
+    words = [f"{a}{b}" for a in ("un", "be", "al", "or") for b in ("ta", "mi", "lo", "ne", "ru")]
+    text = lambda i, n=30: " ".join(words[(i * 7 + j * j) % 20] + chr(97 + (i * j) % 26) for j in range(n))
+    rows = [(i, text(i), "en" if i % 2 else "de", "a" if i % 3 else None, 1, 0.5, "x", 1, 2, 3) for i in range(120)]
+    rows += [(200, text(5), None, "b", None, None, None, None, None, None), (201, "", "en", "b", 0, 0.1, "y", 1, 1, 1), (202, None, None, None, None, None, None, None, None, None)]
+    rows += [(None, text(300, 37), "en", "c", 1, 0.2, "z", 1, 1, 1), (7, text(7), "en", "a", 1, 0.5, "x", 1, 2, 3), (203, text(400, 20000), "en", "c", 1, 0.5, "x", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, cols)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        docs = corpus_pipeline.written(stage(spark, docs, SF), name)
+        assert name == "encode" or docs.columns[: len(cols.split(", "))] == [c.split()[0] for c in cols.split(", ")]
+    out = docs.collect()
+    assert {r["doc_id"] for r in out} >= {1, 2, 203, None} and not {r["doc_id"] for r in out} & {200, 201, 202}
+    assert sum(r["doc_id"] == 7 for r in out) == 2
