@@ -45,28 +45,25 @@ def merged(intervals: DataFrame, *, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys, "__run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("__run")
 
 
-def _bucketed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    day = lambda c: F.floor(F.col(c) / DAY_US)
-    return df.select(*keys, F.col("start_us").alias(f"{prefix}s"), F.col("end_us").alias(f"{prefix}e"), F.explode(F.sequence(day("start_us"), day("end_us"))).alias("__day"))
-
-
-def intersection(a: DataFrame, b: DataFrame, *, keys: list[str]) -> DataFrame:
-    """Common parts of the merged sides: an equi join on keys and day, each pair kept in the day where it begins."""
-    j = _bucketed(merged(a, keys=keys), keys, "a").join(_bucketed(merged(b, keys=keys), keys, "b"), [*keys, "__day"])
-    start, end = F.greatest("as", "bs"), F.least("ae", "be")
-    return j.filter((start < end) & (F.floor(start / DAY_US) == F.col("__day"))).select(*keys, start.alias("start_us"), end.alias("end_us"))
-
-
-def difference(a: DataFrame, b: DataFrame, *, keys: list[str]) -> DataFrame:
-    """Parts of ``a`` outside ``b``, by a sweep over both sides' boundaries."""
+def _swept(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start_us, end_us, na, nb): the stretches between boundaries of the merged sides, and how many of each side cover them."""
     edge = lambda df, c, d, side: df.select(*keys, F.col(c).alias("at"), F.lit(d if side == "a" else 0).alias("da"), F.lit(d if side == "b" else 0).alias("db"))
     ma, mb = merged(a, keys=keys), merged(b, keys=keys)
     points = edge(ma, "start_us", 1, "a").unionByName(edge(ma, "end_us", -1, "a")).unionByName(edge(mb, "start_us", 1, "b")).unionByName(edge(mb, "end_us", -1, "b"))
     at = points.groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     w = Window.partitionBy(*keys).orderBy("at")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    swept = at.select(*keys, F.col("at").alias("start_us"), F.lead("at").over(w).alias("end_us"), F.sum("da").over(run).alias("na"), F.sum("db").over(run).alias("nb"))
-    return merged(swept.filter("na > 0 and nb = 0 and end_us is not null").select(*keys, "start_us", "end_us"), keys=keys)
+    return at.select(*keys, F.col("at").alias("start_us"), F.lead("at").over(w).alias("end_us"), F.sum("da").over(run).alias("na"), F.sum("db").over(run).alias("nb")).filter("end_us is not null")
+
+
+def intersection(a: DataFrame, b: DataFrame, *, keys: list[str]) -> DataFrame:
+    """Common parts of the merged sides, by a sweep over both sides' boundaries; a long interval is two rows, however long."""
+    return _swept(a, b, keys).filter("na > 0 and nb > 0").select(*keys, "start_us", "end_us")
+
+
+def difference(a: DataFrame, b: DataFrame, *, keys: list[str]) -> DataFrame:
+    """Parts of ``a`` outside ``b``, by the same sweep."""
+    return merged(_swept(a, b, keys).filter("na > 0 and nb = 0").select(*keys, "start_us", "end_us"), keys=keys)
 
 
 def overlap_ratio(a: DataFrame, b: DataFrame, *, keys: list[str]) -> DataFrame:
@@ -88,26 +85,32 @@ def cumulative_duration(df: DataFrame, match: Column, *, keys: list[str], max_ga
     return split.groupBy(*keys, F.date_add(F.lit("1970-01-01").cast("date"), F.col("__d").cast("int")).alias("local_date")).agg((F.sum(end - begin) / 1e6).alias("seconds"))
 
 
-def sequence_matches(df: DataFrame, steps: list[str], *, keys: list[str], action: str, within_us: int, time: str = "us") -> DataFrame:
-    """Non-overlapping matches of the steps in order, from the earliest first step on; one that isn't whole ``within_us`` after its first step is given up."""
+def sequence_matches(df: DataFrame, steps: list[str], *, keys: list[str], action: str, within_us: int, time: str = "us", tie: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Non-overlapping matches of the steps in order, from the earliest first step on; one that isn't whole ``within_us`` after its first step is given up.
+
+    A task holds one batch and the steps seen so far, never all of a key's rows."""
     import pandas as pd
 
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", start_us long, end_us long"
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable")
-        out, seen = [], []
-        for t, a in zip(pdf[time], pdf[action], strict=True):
-            if seen and t - seen[0] > within_us:
-                seen = []  # too late: this match is given up
-            if a == steps[len(seen)]:
-                seen.append(t)
-                if len(seen) == len(steps):
-                    out.append((seen[0], t))
-                    seen = []
-        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), s, e) for s, e in out], columns=[*keys, "start_us", "end_us"])
-
-    return df.select(*keys, time, action).groupBy(*keys).applyInPandas(scan, schema)
+    def scan(batches):
+        key, seen = object(), []
+        for pdf in batches:
+            out = []
+            for k, t, a in zip(pdf[keys].itertuples(index=False, name=None), pdf[time], pdf[action], strict=True):
+                if k != key:
+                    key, seen = k, []
+                if seen and t - seen[0] > within_us:
+                    seen = []  # too late: this match is given up
+                if a == steps[len(seen)]:
+                    seen.append(t)
+                    if len(seen) == len(steps):
+                        out.append((*k, seen[0], t))
+                        seen = []
+            yield pd.DataFrame(out, columns=[*keys, "start_us", "end_us"])
+
+    order = [*keys, time, *tie]
+    return df.select(*dict.fromkeys([*order, action])).repartition(*keys).sortWithinPartitions(*order).mapInPandas(scan, schema)
 
 
 def ordered_fold(df: DataFrame, delta: Column, *, keys: list[str], initial: float = 0.0, order: tuple[str, ...] = ("us", "event_id")) -> DataFrame:

@@ -14,6 +14,7 @@ from .functions import units
 from .operators import events as E
 from .operators import retrieval as R
 from .operators import search as S
+from .operators.quantiles import quantiles
 from .plans import algebra as P
 from .sources.tables import events, read
 from .streaming import logs
@@ -201,8 +202,8 @@ def scoped_avg_vs_global(spark, d):
 
 @query("select l_returnflag, round(quantile_cont(l_extendedprice, 0.9) - quantile_cont(l_extendedprice, 0.1), 4) as spread from lineitem group by 1")
 def quantile_spread(spark, d):
-    q = lambda p: F.percentile("l_extendedprice", p)
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(q(0.9) - q(0.1), 4).alias("spread"))
+    q = quantiles(read(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"high": 0.9, "low": 0.1})
+    return q.select("l_returnflag", F.round(F.col("high") - F.col("low"), 4).alias("spread"))
 
 
 @query("select p_brand, round(max(l_extendedprice * (1 - l_discount)), 4) as peak, count(*) as n from lineitem join part on l_partkey = p_partkey group by 1 order by peak desc, p_brand limit 5")
@@ -234,7 +235,10 @@ def weekly_grain(spark, d):
 
 @query("select round(corr(l_quantity, l_extendedprice), 6) as correlation, round(covar_samp(l_quantity, l_extendedprice), 3) as covariance, round(median(l_extendedprice), 4) as mid from lineitem")
 def correlation_covariance_median(spark, d):
-    return read(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("correlation"), F.round(F.covar_samp("l_quantity", "l_extendedprice"), 3).alias("covariance"), F.round(F.median("l_extendedprice"), 4).alias("mid"))
+    lines = read(spark, d, "lineitem")
+    both = lines.agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("correlation"), F.round(F.covar_samp("l_quantity", "l_extendedprice"), 3).alias("covariance"))
+    mid = quantiles(lines, [], "l_extendedprice", {"mid": 0.5})
+    return both.crossJoin(F.broadcast(mid.select(F.round("mid", 4).alias("mid"))))  # one row each
 
 
 @query("select l_returnflag, l_linestatus, round(max(l_quantity * l_extendedprice), 2) as largest from lineitem group by 1, 2")
@@ -413,13 +417,6 @@ def context_expand(spark, d):
     return R.neighbours(R.fixed_windows(read(spark, d, "documents")))
 
 
-@query("select sha256(string_agg(x, chr(10) order by x)) as digest, count(*) as n from (select concat_ws(':', doc_id, lang, sha256(text)) as x from documents where lang = 'fr')")
-def set_digest(spark, d):
-    """One digest of an identity set; the set is one string, so this is for sets of bounded size."""
-    rows = read(spark, d, "documents").filter("lang = 'fr'").select(F.concat_ws(":", "doc_id", "lang", F.sha2("text", 256)).alias("x"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
-
-
 @query("""with r as (select sha256(concat_ws(':', coalesce('v' || doc_id, 'n'), coalesce('v' || lang, 'n'), coalesce('v' || sha256(text), 'n'))) as x from documents),
     a as (select substring(x, 1, 4) as p, sha256(string_agg(x, chr(10) order by x)) as h, count(*) as n from r group by 1),
     b as (select substring(p, 1, 2) as p, sha256(string_agg(p || h, chr(10) order by p)) as h, sum(n) as n from a group by substring(p, 1, 2))
@@ -520,7 +517,7 @@ def retrieval_recall_mrr(spark, d):
 @query("select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events group by 1")
 def latency_percentiles(spark, d):
     """Nearest-rank percentiles."""
-    return spark.sql("select event_type, percentile_disc(0.5) within group (order by value) as p50, percentile_disc(0.95) within group (order by value) as p95 from {e} group by event_type", e=read(spark, d, "events"))
+    return quantiles(read(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, method="nearest")
 
 
 @query("""with c as (select event_type, count(*) filter (value > 50) as k, count(*) as n from events group by 1) select event_type,
@@ -605,17 +602,26 @@ def state_transition_audit(spark, d):
     return t.groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(allowed), ["from_state", "to_state"], "left_anti")
 
 
-@query()
+_STEP = "from r join e on e.user_id = r.user_id and e.k = r.k + 1"
+_ROWS = "e as (select event_id, user_id, epoch_us(ts) as us, event_type, value, row_number() over (partition by user_id order by ts, event_id) as k from events)"
+
+
+@query(f"""with recursive {_ROWS}, r as (select event_id, user_id, us, k, us as start, 1 as n from e where k = 1 union all
+    select e.event_id, e.user_id, e.us, e.k, case when e.us - r.start >= {2 * DAY} then e.us else r.start end, case when e.us - r.start >= {2 * DAY} then 1 else r.n + 1 end {_STEP}) select user_id, event_id, us, n <= 3 as admitted from r""")
 def rate_limit_anchored(spark, d):
     return E.anchored_rate_limit(events(spark, d), key="user_id", limit=3, window_us=2 * DAY)
 
 
-@query()
+@query(f"""with recursive {_ROWS}, r as (select event_id, user_id, us, k, event_type = 'error' as failed, 'closed' as seen, case when event_type = 'error' then 1 else 0 end as n, 'closed' as state, 0::bigint as since from e where k = 1 union all
+    select event_id, user_id, us, k, failed, seen, case when seen = 'open' then n when failed then n + 1 else 0 end, case when seen = 'open' then 'open' when failed and (seen = 'half_open' or n + 1 >= 2) then 'open' when failed then seen else 'closed' end,
+    case when seen <> 'open' and failed and (seen = 'half_open' or n + 1 >= 2) then us else since end from (select e.event_id, e.user_id, e.us, e.k, e.event_type = 'error' as failed, case when r.state = 'open' and e.us - r.since >= {DAY} then 'half_open' else r.state end as seen, r.n, r.since {_STEP}))
+    select user_id, event_id, us, failed, seen as state from r""")
 def breaker_states(spark, d):
     return E.breaker_states(events(spark, d), F.col("event_type") == "error", key="user_id", failures=2, cool_us=DAY)
 
 
-@query()
+@query(f"""with recursive {_ROWS}, r as (select event_id, user_id, us, k, value as cost, value <= 500 as admitted, case when value <= 500 then value else 0 end as used from e where k = 1 union all
+    select e.event_id, e.user_id, e.us, e.k, e.value, r.used + e.value <= 500, r.used + case when r.used + e.value <= 500 then e.value else 0 end {_STEP}) select user_id, event_id, us, cost, admitted from r""")
 def budget_admission(spark, d):
     return E.budget_admission(events(spark, d), F.col("value"), key="user_id", ceiling=500.0)
 

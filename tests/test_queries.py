@@ -43,7 +43,7 @@ def test_queries_without_sql(spark):
     d = SF
     n = {t: spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("events", "documents", "conversations")}
     got = {k: queries.QUERIES[k](spark, d).toPandas() for k in sorted(set(queries.QUERIES) - set(queries.SQL))}
-    for k in ("rate_limit_anchored", "breaker_states", "budget_admission", "profile_merge"):
+    for k in ("profile_merge",):
         assert len(got.pop(k)) == n["events"], k
     for k in ("message_entities", "memory_cleaning"):
         assert len(got.pop(k)) == n["conversations"], k
@@ -237,3 +237,29 @@ def test_generation_digest_covers_all_documents(spark, tmp_path):
         assert (r["digest"], r["n"]) == (brute(x), len(x))
         seen.add(r["digest"])
     assert len(seen) == 3
+
+
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+def test_quantiles(spark, method):
+    import math
+
+    from marlstone.operators.quantiles import quantiles
+
+    r = random.Random(2)
+    groups = {"a": [r.gauss(0, 5) for _ in range(501)], "b": [3.0] * 40, "c": [1.0, 2.0], None: [r.choice([1e9, 0.0, 1.0]) for _ in range(99)], "d": [7.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = {"q0": 0.0, "q3": 0.37, "q5": 0.5, "q9": 0.95, "q1": 1.0}
+    got = {x["g"]: [x[k] for k in qs] for x in quantiles(df, ["g"], "v", qs, method=method).collect()}
+
+    def plain(vs, q):
+        vs = sorted(vs)
+        if method == "nearest":
+            return vs[max(math.ceil(q * len(vs)), 1) - 1]
+        at = (len(vs) - 1) * q
+        low = math.floor(at)
+        return vs[low] + (vs[min(low + 1, len(vs) - 1)] - vs[low]) * (at - low)
+
+    assert set(got) == set(groups) and all(math.isclose(a, plain(groups[g], q), rel_tol=1e-12, abs_tol=1e-12) for g, xs in got.items() for a, q in zip(xs, qs.values(), strict=True))
+    assert quantiles(df.filter("g = 'c'"), [], "v", {"m": 0.5}, method=method).first()["m"] == (1.5 if method == "linear" else 1.0)
+    assert quantiles(df.limit(0), ["g"], "v", qs).count() == 0
