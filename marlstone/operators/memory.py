@@ -129,3 +129,50 @@ def best_thresholds(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     hit = ((F.col("score") >= F.col("threshold")) == F.col("expected")).cast("double")
     found = scored.select("score", "expected", each).groupBy("threshold").agg(F.avg(hit).alias("accuracy"))
     return found.orderBy(F.desc("accuracy"), "threshold").limit(1)
+
+
+def synced(routes: DataFrame, examples: DataFrame, *, least: float = 0.8, text: str = "text") -> DataFrame:
+    """Routes that were confirmed and sure, as new examples: each text once, and none that is there already."""
+    good = routes.filter((F.col("feedback") == "correct") & (F.col("confidence") >= least))
+    once = good.groupBy(text).agg(F.max_by("intent", F.struct("confidence", "intent")).alias("intent"))
+    return once.join(examples.select(text).distinct(), text, "left_anti")
+
+
+def sampled_queries(pages: DataFrame, clean: Callable[[Column], Column], *, doc: str, text: str = "text", per_doc: int = 1, shortest: int = 40, longest: int = 120, least: int = 30, seed: int = 42) -> DataFrame:
+    """(query, doc): slices of each document's pages as recall queries, by a seeded hash instead of a random generator."""
+    t = F.trim(F.regexp_replace(F.col(text), r"\s+", " "))
+    long = pages.select(doc, t.alias("t")).filter(F.length("t") >= shortest).withColumn("h", F.xxhash64(doc, "t", F.lit(seed)))
+    pick = long.withColumn("n", F.row_number().over(Window.partitionBy(doc).orderBy("h", "t"))).filter(F.col("n") <= per_doc)
+    room = F.length("t") - shortest
+    start = F.pmod("h", room + 1)
+    size = shortest + F.pmod(F.xxhash64("h"), F.least(F.lit(longest), F.length("t") - start) - shortest + 1)
+    cut = clean(F.trim(F.substring(F.col("t"), (start + 1).cast("int"), size.cast("int"))))
+    return pick.select(cut.alias("query"), doc).filter(F.length("query") >= least)
+
+
+def administered(changes: DataFrame, command: str, *, user: str, now: Column | None = None, fact: str | None = None, value: str | None = None, limit: int = 20) -> DataFrame:
+    """What a memory command answers or appends to the change table: list, get, export and stats answer; delete, fix, clear and archive_stale append.
+
+    ``changes`` holds (event_id, user_id, id, type, value, confidence, retrieval_count, ts, deleted)."""
+    own = current_facts(changes.filter(F.col("user_id") == user))
+    if command in ("list", "export"):
+        return own.orderBy(F.desc("ts"), "id").limit(limit) if command == "list" else own
+    if command == "get":
+        return own.filter(F.col("id") == fact)
+    if command == "stats":
+        return own.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 3).alias("confidence"), F.sum("retrieval_count").alias("retrieved"))
+    gone = {"delete": F.col("id") == fact, "clear": F.lit(True), "fix": F.col("id") == fact}
+    if command == "archive_stale":
+        rows = stale(own, now).filter("archived").drop("archived")
+    elif command in gone:
+        rows = own.filter(gone[command])
+    else:
+        raise ValueError(f"unknown command {command}")
+    if command == "fix":
+        if not (value or "").strip():
+            raise ValueError("a fact needs a value")
+        rows = rows.withColumn("value", F.lit(value.strip()))
+    else:
+        rows = rows.withColumn("deleted", F.lit(True))
+    event = F.concat_ws(":", F.lit(command), "id", F.col("revision").cast("string"))
+    return rows.withColumns({"event_id": event, "ts": now if now is not None else F.col("ts")}).select(*[c for c in changes.columns if c in (*rows.columns, "event_id")])

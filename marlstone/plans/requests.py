@@ -287,3 +287,39 @@ def cloned(spark: SparkSession, source: str, target: str, again: Callable[[DataF
     if old.select(key).exceptAll(new.select(key)).limit(1).count() or new.select(key).exceptAll(old.select(key)).limit(1).count():
         raise PlanError("the new generation has other rows")
     return old.count(), new.count()
+
+
+@dataclass(frozen=True)
+class Signature:
+    """What a function takes and gives: its number of inputs, their kinds, and how the unit follows from theirs."""
+
+    arity: int
+    kinds: tuple[str, ...]
+    unit: str  # preserve, count, ratio, unitless or product
+    column: Callable[..., Any]
+
+
+def signatures() -> dict[str, Signature]:
+    """The ten functions of expressions, each as a typed column factory."""
+    from pyspark.sql import functions as F
+
+    number = ("number",)
+    one = lambda f: Signature(1, number, "preserve", f)
+    return {
+        "identity": Signature(1, ("any",), "preserve", lambda a: a), "avg": one(F.avg), "sum": one(F.sum), "count": Signature(1, ("any",), "count", F.count), "min": one(F.min), "max": one(F.max), "stddev": one(F.stddev),
+        "ratio": Signature(2, number, "ratio", F.try_divide), "correlation": Signature(2, number, "unitless", F.corr), "max_of_product": Signature(2, number, "product", lambda a, b: F.max(a * b)),
+    }
+
+
+def applied(name: str, inputs: list[tuple[Any, str, str | None]]) -> tuple[Any, str | None]:
+    """(column, unit) of a function on inputs (column, kind, unit); what has no meaning is an error."""
+    s = signatures().get(name)
+    if s is None:
+        raise PlanError(f"unknown function {name}")
+    if len(inputs) != s.arity or any(k not in s.kinds for _, k, _ in inputs if "any" not in s.kinds):
+        raise PlanError(f"{name} takes {s.arity} of {s.kinds}")
+    units = [u for *_, u in inputs]
+    if s.unit == "product" and all(units):
+        raise PlanError(f"{name} would multiply {units[0]} by {units[1]}")
+    unit = {"preserve": units[0], "count": None, "unitless": None, "ratio": "ratio", "product": next((u for u in units if u), None)}[s.unit]
+    return s.column(*[c for c, *_ in inputs]), unit

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions import clauses as CL
 from .functions import cleaning as C
 from .functions import expressions as X
 from .functions import intents as I
 from .functions import language as L
 from .functions import structure as S
 from .functions import timeexpr as TE
+from .operators import memory as ME
 from .queries import query
 from .sources.tables import read
 
@@ -256,3 +258,54 @@ def nested_columns(spark, d):
     e = read(spark, d, "events").select("event_id", F.struct(F.col("user_id").alias("id")).alias("who"), F.struct(F.struct(F.col("event_type").alias("name")).alias("kind")).alias("what"))
     flat = X.flattened(e)
     return flat.toDF(*[c.replace(".", "_") for c in flat.columns])
+
+
+COMPOUND = f"case event_id % 5 when 0 then concat({Y}, '年的论文有哪些，还有储层网络的呢') when 1 then concat('储层网络的综述，另外列出', {Y}, '年的文献') when 2 then '不要综述，只要论文' when 3 then concat('帮我看看', {Y}, '年的论文，讲降维的') else '只有一句' end"
+
+
+@query(f"""with q as (select event_id, {COMPOUND} as q from events) select event_id, case when q like '%还有%' or q like '%另外%' then 2 else 1 end as clauses,
+    case when q like '%还有%' then regexp_extract(q, '^(.*哪些)') when q like '%另外%' then regexp_extract(q, '^(.*综述)') when q like '帮我%' then replace(regexp_replace(q, '^帮我看看', ''), '，', '') else replace(q, '，', '') end as first from q""")
+def question_clauses(spark, d):
+    q = _asked(spark, d, COMPOUND).withColumn("c", CL.clause_list(F.col("q")))
+    return q.select("event_id", F.size("c").alias("clauses"), F.get("c", F.lit(0))["text"].alias("first"))
+
+
+ROLES = "case event_id % 6 when 0 then '今天是周五' when 1 then '只要中文的' when 2 then '按年份列出' when 3 then '疫情期间' when 4 then '论文有哪些' else '每年第3个工作日发布' end"
+
+
+@query(f"""with q as (select event_id, user_id, {ROLES} as q from events), r as (select *, case when q like '今天是%' or q like '%期间' then 'time' when q like '只要%' or q like '每年%' then 'constraint' when q like '按%' then 'output' else 'main' end as role from q),
+    g as (select *, sum(coalesce(role = 'time' and prev = 'main', false)::int) over (partition by user_id order by event_id) as grp from (select *, last_value(case when role in ('main', 'time') then role end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as prev from r))
+    select event_id, role, case when role = 'main' then (select count(distinct h.q) from g h where h.user_id = g.user_id and h.grp = g.grp and h.event_id <= g.event_id and h.role = 'time') end::int as times from g""")
+def clause_roles(spark, d):
+    q = read(spark, d, "events").select("event_id", "user_id", F.expr(ROLES).alias("q"))
+    r = q.withColumn("role", CL.role(F.col("q"), F.lit(False), F.lit(False)))
+    out = CL.inherited(r.withColumn("time", F.when(F.col("role") == "time", F.col("q"))), query="user_id", place="event_id")
+    return out.select("event_id", "role", F.when(F.col("role") == "main", F.size("times")).alias("times"))
+
+
+@query("""with p as (select user_id, event_id, event_type as t, value / 50 as sim, lag(event_id) over w is null or event_type = 'error' or value / 50 < 0.5 as cut from events window w as (partition by user_id order by event_id)),
+    r as (select *, sum(cut::int) over (partition by user_id order by event_id rows unbounded preceding) as run from p) select user_id, min(event_id) as event_id, string_agg(case when t = 'error' then '疫情期间' else t end, '，' order by event_id) as text from r group by user_id, run""")
+def clauses_rejoined(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "疫情期间").otherwise(F.col("event_type")).alias("text"), F.lit("mark").alias("edge"), (F.col("value") / 50).alias("similarity"))
+    return CL.rejoined(e, query="user_id", place="event_id")
+
+
+@query("""select event_type as text, arg_max(user_id::varchar, (value, user_id::varchar)) as intent from events where value >= 40 and event_id % 3 = 0 group by 1 having event_type not in ('view')""")
+def feedback_sync(spark, d):
+    r = read(spark, d, "events").select(F.col("event_type").alias("text"), F.col("user_id").cast("string").alias("intent"), (F.col("value")).alias("confidence"), F.when(F.col("event_id") % 3 == 0, "correct").alias("feedback"))
+    return ME.synced(r, spark.createDataFrame([("view",)], "text string"), least=40.0)
+
+
+@query()
+def recall_queries(spark, d):
+    """Slices of documents by hash; tests hold their bounds."""
+    from .functions import text as X
+
+    return ME.sampled_queries(read(spark, d, "documents").select("doc_id", "text"), X.clean_embed, doc="doc_id")
+
+
+@query("""with l as (select user_id, event_type, value, ts, event_id from events where user_id = 7), f as (select event_type as id, arg_max(value, (ts, event_id)) as value, count(*) as revision from l group by 1 having arg_max(event_id % 5, (ts, event_id)) <> 0)
+    select id, value, revision from f""")
+def memory_admin(spark, d):
+    c = read(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("id"), F.lit("fact").alias("type"), "value", (F.col("value") / 50).alias("confidence"), F.lit(0).alias("retrieval_count"), "ts", (F.col("event_id") % 5 == 0).alias("deleted"))
+    return ME.administered(c, "export", user=7).select("id", "value", "revision")

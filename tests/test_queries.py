@@ -52,6 +52,8 @@ def test_queries_without_sql(spark):
     for k, size in (("chunk_structural", 1600), ("chunk_paragraph", 512)):
         c = got.pop(k)
         assert 0 < c["chunk"].str.len().max() <= size and (c.groupby("doc_id")["chunk_index"].max() + 1 == c.groupby("doc_id").size()).all()
+    r = got.pop("recall_queries")
+    assert 0 < len(r) <= n["documents"] and r["query"].str.len().between(30, 120).all()
     s = got.pop("action_sequence")
     assert (s["end_us"] > s["start_us"]).all()
     assert not got
