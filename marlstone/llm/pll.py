@@ -12,16 +12,21 @@ other tokens go by their ending's 64 classes.
 Corpus statistics: the buckets are counted over all documents (every task sends
 its counts, which are summed by bucket; 2**18 sums at most come to the driver).
 
-Training: each task trains on all its documents, masking one token in ``MASK``
-by a hash of its place, in numpy, from shared parameters; the tasks' parameters
-are averaged with their token counts as weights, and the next round starts from
-the average (``ROUNDS`` rounds). The parameters' number is fixed (about 31,000),
-so what is summed, collected and broadcast doesn't grow with the corpus; what is
-read and trained on does.
+Training: in each of ``ROUNDS`` rounds every task trains, in numpy, from shared
+parameters on its documents' tokens of that round; a hash of the place and the token
+deals each token to one round, so each is a target once. The softmax of a step is
+taken over the step's targets and ``NEGATIVES`` classes drawn by their frequency,
+with the usual correction. The tasks' parameters are averaged with their token counts
+as weights, and the next round starts from the average. At most ``TRAIN_TASKS`` tasks
+train, so what is summed has a bound. The parameters' number is fixed (about 31,000),
+so what is collected and broadcast doesn't grow with the corpus; what is read, counted
+and trained on does. Scores use the whole softmax.
 
 Cases: null text counts as empty; a text without tokens has log_prob 0, no tokens
-and a null score; texts are scored whole; repeated rows each give their row; an
-empty table gives an empty result; other columns are ignored.
+and a null score; texts of any length are scored whole; of equally frequent buckets
+those with the smaller number are classes of their own; repeated rows each give their
+row; null ids are ids like others; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, written
+from .common import text_slices, written
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 OWN_BITS, END_BITS = 12, 6
@@ -44,9 +49,10 @@ TOP = 192
 CLASSES = TOP + (1 << END_BITS)
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 24
-MASK = 16
 ROUNDS = 2
-BATCH = 512
+BATCH = 2048
+NEGATIVES = 48
+TRAIN_TASKS = 16384
 RATE = 0.1
 CHUNK_CHARS = 400_000
 
@@ -69,14 +75,14 @@ def tokenised(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for pdf in batches:
-            texts = pdf["__text"].tolist()
-            for a, b in text_chunks(texts, CHUNK_CHARS):
-                flat, lens = buckets(texts[a:b])
-                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].reset_index(drop=True), "b": np.split(flat.astype("i4"), np.cumsum(lens)[:-1])})
+        for batch in batches:
+            for rows, texts in text_slices(batch, "t", CHUNK_CHARS):
+                flat, lens = buckets(texts)
+                ends = np.concatenate([[0], np.cumsum(lens)]).astype("i4")
+                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype("i4")))], ["id", "b"])
 
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    return written(rows.mapInPandas(run, f"id {kind}, b array<int>"), "tokens")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    return written(rows.mapInArrow(run, f"id {kind}, b array<int>"), "tokens")
 
 
 def _chunks(batches, most: int = 80_000):
@@ -119,7 +125,9 @@ class Classes:
         self.of = (TOP + (np.arange(BUCKETS) >> OWN_BITS)).astype("i4")
         self.of[order] = np.arange(TOP)
         seen = counts + 0.5
-        self.log_share = (np.log(seen) - np.log(np.bincount(self.of, seen, CLASSES))[self.of]).astype("f4")
+        total = np.bincount(self.of, seen, CLASSES)
+        self.log_share = (np.log(seen) - np.log(total)[self.of]).astype("f4")
+        self.share = total / total.sum()
 
 
 class Network:
@@ -141,61 +149,87 @@ class Network:
             x += self.embed[j][context[:, j]]
         return np.tanh(x)
 
-    def log_probs(self, context: np.ndarray, target: np.ndarray, batch: int = 8192) -> np.ndarray:
+    def log_probs(self, context: np.ndarray, target: np.ndarray, batch: int = 1024) -> np.ndarray:
         out = np.empty(len(target), "f4")
+        rows = np.arange(batch)
+        # hidden units lie between -1 and 1, so this bounds all logits
+        safe = float((np.abs(self.out).sum(axis=0) + np.abs(self.out_bias)).max()) < 80
         for a in range(0, len(target), batch):
             z = self.hidden(context[a : a + batch]) @ self.out
             z += self.out_bias
-            t = z[np.arange(len(z)), target[a : a + batch]]
-            top = z.max(axis=1, keepdims=True)
-            z -= top
+            t = z[rows[: len(z)], target[a : a + batch]]
+            if not safe:
+                top = z.max(axis=1)
+                z -= top[:, None]
+                t -= top
             np.exp(z, out=z)
-            out[a : a + batch] = t - top[:, 0] - np.log(z.sum(axis=1))
+            out[a : a + batch] = t - np.log(z.sum(axis=1))
         return out
 
-    def train(self, context: np.ndarray, target: np.ndarray, memory: np.ndarray) -> None:
-        """One AdaGrad pass over masked tokens; ``memory`` holds the squared gradients so far."""
-        n_embed = self.embed.size
-        view = memory[:n_embed].reshape(self.embed.shape)
-        m_bias, m_out, m_ob = memory[n_embed : n_embed + WIDTH], memory[n_embed + WIDTH : -CLASSES].reshape(self.out.shape), memory[-CLASSES:]
+    def train(self, context: np.ndarray, target: np.ndarray, memory: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> None:
+        """One AdaGrad pass over the targets; ``memory`` holds the squared gradients so far, ``share`` the classes' frequencies."""
+        edges = np.cumsum(share)
+        log_share = np.log(np.maximum(share, 1e-12)).astype("f4")
+        at = self.embed.size
+        m_embed, m_bias = memory[:at].reshape(self.embed.shape), memory[at : at + WIDTH]
+        m_out, m_ob = memory[at + WIDTH : -CLASSES].reshape(self.out.shape), memory[-CLASSES:]
+        place, where = np.arange(WIDTH), np.full(CLASSES, -1)
         for a in range(0, len(target), BATCH):
             c, y = context[a : a + BATCH], target[a : a + BATCH]
+            drawn, times = np.unique(np.minimum(np.searchsorted(edges, rng.random(NEGATIVES) * edges[-1]), CLASSES - 1), return_counts=True)
+            where[drawn] = np.arange(len(drawn))
             h = self.hidden(c)
-            z = h @ self.out + self.out_bias
-            z -= z.max(axis=1, keepdims=True)
+            own = self.out.T[y]
+            # logits less the log of how often a class is expected among the drawn ones
+            z = h @ self.out[:, drawn]
+            z += self.out_bias[drawn] - log_share[drawn] - np.log(NEGATIVES / times).astype("f4")
+            hit = where[y]
+            known = np.flatnonzero(hit >= 0)
+            z[known, hit[known]] = -np.inf
+            where[drawn] = -1
+            t = np.einsum("ij,ij->i", h, own) + self.out_bias[y] - log_share[y] - np.float32(np.log(NEGATIVES))
+            top = np.maximum(t, z.max(axis=1))
+            z -= top[:, None]
             np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(y)), y] -= 1
-            dh = (z @ self.out.T) * (1 - h * h)
-            for p, g, m in ((self.out, h.T @ z, m_out), (self.out_bias, z.sum(axis=0), m_ob), (self.bias, dh.sum(axis=0), m_bias)):
+            t = np.exp(t - top)
+            whole = t + z.sum(axis=1)
+            z /= whole[:, None]
+            t = t / whole - 1
+            dh = (z @ self.out[:, drawn].T + t[:, None] * own) * (1 - h * h)
+            g_out = np.bincount((y[:, None] * WIDTH + place).ravel(), (t[:, None] * h).ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH).T
+            g_out[:, drawn] += h.T @ z
+            g_ob = np.bincount(y, t, CLASSES)
+            g_ob[drawn] += z.sum(axis=0)
+            for p, g, m in ((self.out, g_out, m_out), (self.out_bias, g_ob, m_ob), (self.bias, dh.sum(axis=0), m_bias)):
                 m += g * g
                 p -= RATE * g / np.sqrt(m)
+            flat = dh.ravel()
             for j in range(len(OFFSETS)):
-                order = np.argsort(c[:, j], kind="stable")
-                rows, first = np.unique(c[order, j], return_index=True)
-                g = np.add.reduceat(dh[order], first, axis=0)
-                view[j][rows] += g * g
-                self.embed[j][rows] -= RATE * g / np.sqrt(view[j][rows])
-
-
-def windows(cls: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """(tokens x offsets) classes of each token's neighbours; ``CLASSES`` beyond the text's ends."""
-    n = len(cls)
-    begin = np.repeat(np.cumsum(lens) - lens, lens)
-    end = begin + np.repeat(lens, lens)
-    out = np.empty((n, len(OFFSETS)), "i4")
+                g = np.bincount((c[:, j : j + 1] * WIDTH + place).ravel(), flat, (CLASSES + 1) * WIDTH).reshape(CLASSES + 1, WIDTH)
+                m_embed[j] += g * g
+                self.embed[j] -= RATE * g / np.sqrt(m_embed[j])
+
+
+def windows(cls: np.ndarray, lens: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """(tokens x offsets) classes of the neighbours of each token, or of those ``of``; ``CLASSES`` beyond the text's ends."""
+    reach = max(map(abs, OFFSETS))
+    # texts laid out with marks between them, so that a neighbour beyond an end is a mark
+    gap = reach * np.arange(1, len(lens) + 1)
+    at = np.arange(len(cls)) + np.repeat(gap, lens)
+    laid = np.full(len(cls) + reach * (len(lens) + 1), CLASSES, "i4")
+    laid[at] = cls
+    at = at if of is None else at[of]
+    out = np.empty((len(at), len(OFFSETS)), "i4")
     for j, d in enumerate(OFFSETS):
-        at = np.arange(n) + d
-        ok = (at >= begin) & (at < end)
-        out[:, j] = np.where(ok, cls[np.clip(at, 0, n - 1)], CLASSES)
+        out[:, j] = laid[at + d]
     return out
 
 
-def masked(bucket: np.ndarray, lens: np.ndarray, round_: int) -> np.ndarray:
-    """Every ``MASK``-th token by a hash of its place and itself."""
+def of_round(bucket: np.ndarray, lens: np.ndarray, round_: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The tokens that are targets in a round: each in one, by a hash of its place and itself."""
     place = (np.arange(len(bucket)) - np.repeat(np.cumsum(lens) - lens, lens)).astype("u8")
-    x = (place * np.uint64(0x9E3779B97F4A7C15) + bucket.astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(round_ + 1)) * np.uint64(0xFF51AFD7ED558CCD)
-    return np.flatnonzero((x >> np.uint64(33)) % np.uint64(MASK) == 0)
+    x = (place * np.uint64(0x9E3779B97F4A7C15) + bucket.astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
+    return np.flatnonzero((x >> np.uint64(33)) % np.uint64(rounds) == round_)
 
 
 def train(tokens: DataFrame, classes: Classes, *, rounds: int = ROUNDS) -> Network:
@@ -203,23 +237,24 @@ def train(tokens: DataFrame, classes: Classes, *, rounds: int = ROUNDS) -> Netwo
     sc = tokens.sparkSession.sparkContext
     net = Network()
     for r in range(rounds):
-        shared = sc.broadcast((net.flat, classes.of))
+        shared = sc.broadcast((net.flat, classes.of, classes.share))
 
         def fit(batches, r=r, shared=shared):
-            flat, of = shared.value
+            flat, of, share = shared.value
             own = Network(flat.copy())
             memory = np.full(len(own.flat), 1.0, "f4")
+            rng = np.random.default_rng(r)
             n = 0
             for _, bucket, lens in _chunks(batches):
                 if len(bucket):
                     cls = of[bucket]
-                    at = masked(bucket, lens, r)
-                    own.train(windows(cls, lens)[at], cls[at], memory)
+                    at = of_round(bucket, lens, r, rounds)
+                    own.train(windows(cls, lens, at), cls[at], memory, share, rng)
                     n += len(at)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own.flat), dtype="i4")), pa.array(own.flat.astype("f8") * n), pa.array(np.full(len(own.flat), float(n)))], ["i", "x", "n"])
 
-        total = tokens.select("b").mapInArrow(fit, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        total = tokens.select("b").coalesce(TRAIN_TASKS).mapInArrow(fit, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         if len(total):
             flat = net.flat.copy()
             flat[total["i"].to_numpy()] = total["x"].to_numpy()
