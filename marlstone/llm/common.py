@@ -10,6 +10,21 @@ from ..sources.shared import shared_dir, table_path  # noqa: F401
 
 #: Rows of narrow intermediate tables in a file.
 ROWS_PER_FILE = 65536
+#: The tables that this process has written and not yet deleted, in order.
+_MADE: list[str] = []
+
+
+def made() -> int:
+    """A mark for ``forget``: what has been written so far."""
+    return len(_MADE)
+
+
+def forget(spark: SparkSession, since: int, keep: tuple[str, ...]) -> None:
+    """Delete the tables written since a mark, but for those of the names that what is returned still reads."""
+    for path in [p for p in _MADE[since:] if p.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _MADE.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +43,7 @@ def written(df: DataFrame, name: str, rows: int | None = None, least: int = 1) -
     known, keeps a small table from being written as many tiny files."""
     spark = df.sparkSession
     path = table_path(spark, name)
+    _MADE.append(path)
     (df if rows is None else files_for(df, rows, least)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,16 +71,3 @@ def text_slices(batch, column: str, most: int):
         rows = batch.slice(start, stop - start)
         yield rows, rows.column(column).to_pylist()
         start = stop
-
-
-def text_chunks(texts, most_chars: int = 1_500_000):
-    """Slices (start, end) of a list of texts, each of about ``most_chars`` at most."""
-    start, total = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
-        if i > start and total + n > most_chars:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(texts):
-        yield start, len(texts)
