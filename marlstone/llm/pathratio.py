@@ -5,18 +5,27 @@ the length of its text and its punctuation are summed and divided by its nodes
 (text to tag-path ratio, punctuation to tag-path ratio). Both ratios are laid out
 in page order, smoothed by a Gaussian window, fused by their product with the
 path's share of link-free text, and thresholded at a share of their deviation:
-paths above it are content. The smallest element that holds all content is the
+nodes above it are content. The smallest element that holds all content is the
 article; its blocks are returned, headings and short paragraphs with them, as
-these are content by place though not by length. Where a content node lies in a
-main or article element, it is the outermost of these that has to be held; then
-all such elements are kept.
+these are content by place though not by length.
 
-Elements that never hold an article (menus, forms, scripts, page headers and
-footers, asides, and those whose class, id or role says so) are left out before.
+Tags and names are priors, and the weights have the last word. Elements that seldom
+hold an article (menus, forms, page headers and footers, asides, and those whose
+class, id or role says so) are left out, unless one that is so by its name only holds
+half of the page's weight (``MOST_CLEARED`` of these, one in another, at most). Main and article elements are taken whole where they hold half of
+the weight that is left; then a content node counts for the outermost of these that
+it lies in. A teaser beside a longer text is so not taken for the page's article.
+
+Reading a page takes time in proportion to its length: tags are matched without
+going back, a path is a number that is given once to each (parent's path, tag), and
+sums go up the tree once.
 
 Cases: null html counts as empty and gives an empty text; unclosed, crossed and
-truncated tags are closed as they can be; pages without any tag are one block;
-repeated rows each give their row; an empty table gives an empty result.
+truncated tags are closed as they can be (an end tag looks for its start among the
+``LOOK_BACK`` innermost elements of its block); a tag that the page's end cuts off
+is dropped; pages without any tag are one block; very long and deeply nested pages
+are read whole; of equal weights all are kept; repeated rows each give their row;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +35,12 @@ import math
 import re
 from collections import defaultdict
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import text_slices
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,26 +60,49 @@ MARKED = frozenset(
 #: First parts that only say what is elsewhere on the page, as in has-sidebar.
 ABOUT = frozenset("has with no without is show hide".split())
 INSIDE = frozenset("article main".split())
+BY_TAG = NEVER | {"header", "footer"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S)
+#: A tag; nothing in it goes back, so a broken one costs one look ahead.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 PUNCT = re.compile(r"[.,;:!?…。、！？，；]")
 DEVIATIONS = 0.25
+HALF = 0.5
+LOOK_BACK = 64
+MOST_CLEARED = 32
+CHUNK_CHARS = 4_000_000
+P_STOPS = frozenset("table td th li div section article main blockquote body".split())
+ITEM_STOPS = frozenset("ul ol dl table menu".split())
+ITEMS = {"li": 0, "dd": 1, "dt": 1, "tr": 2, "td": 3, "th": 3}
 
 
 class _Element:
-    __slots__ = ("tag", "up", "path", "out", "within", "link")
+    """An open or closed element. ``out``: it, or an element above, seldom holds an article; ``seldom`` is the outermost of these.
+
+    ``p`` and ``items`` count the open paragraphs and items that a start tag could close."""
 
-    def __init__(self, tag: str, up: _Element | None, attrs: str) -> None:
+    __slots__ = ("items", "link", "named", "own", "p", "path", "seldom", "tag", "up", "within")
+
+    def __init__(self, tag: str, up: _Element | None, attrs: str, paths: dict) -> None:
         self.tag, self.up = tag, up
-        self.path = f"{up.path}/{tag}" if up else tag
+        self.path = paths.setdefault((up.path if up else -1, tag), len(paths))
         self.within = bool(up and up.within) or tag in INSIDE
+        self.named = (up.named if up else None) or (self if tag in INSIDE else None)
         self.link = bool(up and up.link) or tag == "a"
-        self.out = bool(up and up.out) or tag in NEVER or tag in ("header", "footer") and not self.within or tag == "footer"
-        if attrs and not self.out and tag not in ("html", "body", "main"):
-            tokens = " ".join("".join(m[1:]) for m in ATTR.findall(attrs)).lower().split()
-            self.out = bool(HIDDEN.search(attrs)) or any(_marks(t, tag, self.within) for t in tokens)
+        self.p = (0 if up is None or tag in P_STOPS else up.p) + (tag == "p")
+        items = (0, 0, 0, 0) if up is None or tag in ITEM_STOPS else up.items
+        if tag in ITEMS:
+            items = tuple(n + (i == ITEMS[tag]) for i, n in enumerate(items))
+        self.items = items
+        self.own = tag in NEVER or tag in ("header", "footer") and not self.within or tag == "footer" or self._says(attrs)
+        self.seldom = (up.seldom if up else None) or (self if self.own else None)
+
+    def _says(self, attrs: str) -> bool:
+        if not attrs or self.tag in ("html", "body", "main"):
+            return False
+        tokens = " ".join("".join(m[1:]) for m in ATTR.findall(attrs)).lower().split()
+        return bool(HIDDEN.search(attrs)) or any(_marks(t, self.tag, self.within) for t in tokens)
 
 
 def _marks(token: str, tag: str, within: bool) -> bool:
@@ -78,140 +114,174 @@ def _marks(token: str, tag: str, within: bool) -> bool:
     return parts[0] not in ABOUT and any(x in MARKED for x in parts)
 
 
-def _nodes(page: str):
-    """(element, block number, text, link) of each run of text in page order."""
-    root = cur = _Element("", None, "")
-    block, at, out = 0, 0, []
+def _nodes(page: str) -> tuple[list[_Element], list[tuple[_Element, int, str]]]:
+    """All elements in order, and (element, block number, text) of each run of text in page order."""
+    paths: dict = {}
+    root = cur = _Element("", None, "", paths)
+    elements = [root]
+    block, at, n = 0, 0, len(page)
+    out: list[tuple[_Element, int, str]] = []
+    endless: set[str] = set()  # raw elements that have no end from here on
 
     def add(text: str) -> None:
         if text:
             out.append((cur, block, _html.unescape(text) if "&" in text else text))
 
-    raw_end = None
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
+    begun = 0  # of the text that isn't added yet
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            break
+        ahead = page[lt + 1 : lt + 3]
+        if ahead[:1] in "!?" and ahead:
+            add(page[begun:lt])
+            end = page.find("-->", lt + 2) if page.startswith("<!--", lt) else page.find(">", lt)
+            at = begun = n if end < 0 else end + (3 if page.startswith("<!--", lt) else 1)
             continue
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] and m[2].lower()
-        if not tag:
+        if not (ahead[:1].isascii() and ahead[:1].isalpha() or ahead[:1] == "/" and (ahead[1:].isascii() and ahead[1:].isalpha() or lt + 2 >= n) or lt + 1 >= n):
+            at = lt + 1  # a mark in the text
             continue
+        add(page[begun:lt])
+        m = TAG.match(page, lt)
+        if m is None:  # the page's end cuts it off
+            at = begun = n
+            break
+        at = begun = m.end()
+        tag = m[2].lower()
         if m[1]:
-            if tag in BLOCK:
-                block += 1
-            e = cur
-            while e is not root and e.tag != tag and not (tag not in BLOCK and e.tag in BLOCK):
-                e = e.up
+            block += tag in BLOCK
+            e, left = cur, LOOK_BACK
+            while e is not root and e.tag != tag and left and not (tag not in BLOCK and e.tag in BLOCK):
+                e, left = e.up, left - 1
             if e is not root and e.tag == tag:
                 cur = e.up
             continue
         if tag in RAW:
-            if (raw_end := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)) is not None:
-                at = raw_end.end()
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end is not None:
+                at = begun = end.end()
             elif tag in ("script", "style", "textarea", "title"):
-                at = len(page)
+                at = begun = n
+            else:
+                endless.add(tag)
             continue
-        if tag in BLOCK:
-            block += 1
+        block += tag in BLOCK
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             if tag == "br":
                 add(" ")
             continue
         # what a start tag closes
-        if tag in CLOSES_P or tag in ("li", "dd", "dt", "tr", "td", "th"):
-            ends = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
-            stops = ("ul", "ol", "dl", "table", "menu") if ends != ("p",) else ("table", "td", "th", "li", "div", "section", "article", "main", "blockquote", "body")
+        ends = ("li",) if tag == "li" else ("dd", "dt") if tag in ("dd", "dt") else ("tr",) if tag == "tr" else ("td", "th") if tag in ("td", "th") else ("p",)
+        if cur.items[ITEMS[tag]] if tag in ITEMS else cur.p and tag in CLOSES_P:
             e = cur
-            while e is not root and e.tag not in ends and e.tag not in stops:
+            while e is not root and e.tag not in ends and e.tag not in (ITEM_STOPS if tag in ITEMS else P_STOPS):
                 e = e.up
             if e is not root and e.tag in ends:
                 cur = e.up
-        cur = _Element(tag, cur, m[3])
-    add(page[at:] if not re.match(r"<[/!a-zA-Z]", page[at:]) else "")
-    return out
-
-
-def _tail(page: str) -> str:
-    """The page without a tag that its end cuts off."""
-    i = page.rfind("<")
-    return page[:i] if i >= 0 and page.find(">", i) < 0 and re.match(r"</?[a-zA-Z!?]?", page[i:]) else page
+        cur = _Element(tag, cur, m[3], paths)
+        elements.append(cur)
+    add(page[begun:])
+    return elements, out
 
 
-def path_weights(nodes: list[tuple[str, int, int, bool]], sigma: float = 1.0) -> list[float]:
+def path_weights(nodes: list[tuple[int, int, int, bool]], sigma: float = 1.0) -> list[float]:
     """The fused, smoothed weight of each node (path, length, punctuation, link) in page order."""
-    size: dict[str, float] = defaultdict(float)
-    punct: dict[str, float] = defaultdict(float)
-    count: dict[str, int] = defaultdict(int)
-    linked: dict[str, float] = defaultdict(float)
-    for path, n, k, link in nodes:
-        size[path] += n
-        punct[path] += k
-        count[path] += 1
-        linked[path] += n * link
-    text = [size[p] / count[p] for p, *_ in nodes]
-    marks = [(punct[p] + 1) / count[p] for p, *_ in nodes]
+    if not nodes:
+        return []
+    path, n, k, link = (np.array(x) for x in zip(*nodes, strict=True))
+    _, path = np.unique(path, return_inverse=True)
+    size, count = np.bincount(path, n), np.bincount(path)
+    text = (size / count)[path]
+    marks = ((np.bincount(path, k) + 1) / count)[path]
+    free = (1 - np.bincount(path, n * link) / np.maximum(size, 1))[path]
     r = max(1, math.ceil(2 * sigma))
-    kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-r, r + 1)]
+    kernel = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
+    smooth = lambda x: np.convolve(x, kernel, "full")[r : r + len(x)] / np.convolve(np.ones(len(x)), kernel, "full")[r : r + len(x)]
+    return (smooth(text) * smooth(marks) * free).tolist()
 
-    def smooth(x: list[float]) -> list[float]:
-        out = []
-        for i in range(len(x)):
-            lo, hi = max(0, i - r), min(len(x), i + r + 1)
-            ks = kernel[lo - i + r : hi - i + r]
-            out.append(sum(a * b for a, b in zip(x[lo:hi], ks, strict=True)) / sum(ks))
-        return out
 
-    a, b = smooth(text), smooth(marks)
-    return [x * y * (1 - linked[p] / max(size[p], 1)) for (p, *_), x, y in zip(nodes, a, b, strict=True)]
+def _weighed(real: list[tuple[_Element, int, str]]) -> list[float]:
+    return path_weights([(e.path, len(t), len(PUNCT.findall(t)), e.link) for e, _, t in real])
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = [(e, b, t) for e, b, t in _nodes(_tail(page)) if not e.out]
-    real = [(e, b, t) for e, b, t in found if t.strip()]
+    elements, found = _nodes(page)
+    real = [x for x in found if x[2].strip()]
+    if not real:
+        return ""
+    # an element left out by name that holds half of all weight is the article's after all; inner ones are judged again
+    cleared: set[int] = set()
+    weights = _weighed(real)
+    for _ in range(MOST_CLEARED):
+        held: dict[int, float] = defaultdict(float)
+        for (e, _, _), w in zip(real, weights, strict=True):
+            if e.seldom is not None and e.seldom.tag not in BY_TAG:
+                held[id(e.seldom)] += w
+        most = max(held, key=held.__getitem__, default=None)
+        if most is None or held[most] < HALF * sum(weights) or held[most] == 0:
+            break
+        cleared.add(most)
+        _judge_again(elements, cleared)
+    real = [x for x in real if x[0].seldom is None]
     if not real:
         return ""
-    weights = path_weights([(e.path, len(t), len(PUNCT.findall(t)), e.link) for e, _, t in real])
-    mean = sum(weights) / len(weights)
+    weights = _weighed(real)
+    total = sum(weights)
+    mean = total / len(weights)
     dev = math.sqrt(sum((w - mean) ** 2 for w in weights) / len(weights))
     cut = min(DEVIATIONS * dev, max(weights))
-    chosen = [e for (e, _, _), w in zip(real, weights, strict=True) if w >= cut and (w > 0 or cut == 0)] or [e for e, _, _ in real]
-    top = _holder(chosen)
-    named = any(e.within for e in chosen)
+    chosen = [(e, w) for (e, _, _), w in zip(real, weights, strict=True) if w >= cut and (w > 0 or cut == 0)] or [(e, 0.0) for e, _, _ in real]
+    named = any(e.named for e, _ in chosen) and sum(w for (e, _, _), w in zip(real, weights, strict=True) if e.named) >= HALF * total
+    top = _holder(elements, [e for e, _ in chosen], named)
+    inside = {id(top)}
+    for e in elements:  # those above come first
+        if e.up is not None and id(e.up) in inside:
+            inside.add(id(e))
     blocks: dict[int, list[str]] = {}
     for e, b, t in found:
-        if named and e.within or any(a is top for a in _ups(e)):
+        if e.seldom is None and (id(e) in inside or named and e.named):
             blocks.setdefault(b, []).append(t)
     return "\n\n".join(x for x in (" ".join("".join(p).split()) for p in blocks.values()) if x)
 
 
-def _ups(e: _Element | None):
-    while e is not None:
-        yield e
-        e = e.up
+def _judge_again(elements: list[_Element], cleared: set[int]) -> None:
+    """Below cleared elements only inner ones that say so themselves are seldom."""
+    for e in elements:
+        e.seldom = (e.up.seldom if e.up else None) or (e if e.own and id(e) not in cleared else None)
 
 
-def _holder(chosen: list[_Element]) -> _Element:
-    """The smallest block element that holds all chosen nodes, and the outermost article or main of each."""
-    shared: list[_Element] | None = None
-    for e in set(chosen):
-        chain = list(_ups(e))[::-1]
-        named = next((i for i, a in enumerate(chain) if a.tag in INSIDE), len(chain) - 1)
-        chain = chain[: named + 1]
-        shared = chain if shared is None else [a for a, b in zip(shared, chain) if a is b]
-    return next(a for a in shared[::-1] if a.tag in BLOCK and a.tag not in ("p", "h1", "h2", "h3", "li") or not a.tag)
+def _holder(elements: list[_Element], chosen: list[_Element], named: bool) -> _Element:
+    """The smallest block element that holds all chosen nodes; with ``named`` the outermost article or main of each node in one."""
+    held: dict[int, int] = defaultdict(int)
+    want = 0
+    for e in {id(x): x for x in ((e.named if named and e.named else e) for e in chosen)}.values():
+        held[id(e)] += 1
+        want += 1
+    lowest = elements[0]
+    for e in reversed(elements):  # those below come first
+        if held[id(e)] == want:
+            lowest = e
+            break
+        if e.up is not None:
+            held[id(e.up)] += held[id(e)]
+    while lowest.tag and (lowest.tag not in BLOCK or lowest.tag in ("p", "h1", "h2", "h3", "li")):
+        lowest = lowest.up
+    return lowest
 
 
 def extract(df: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The ``keep`` columns, ``text`` and ``n_chars`` of each page; no shuffle."""
     kept = [f for f in df.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, n_chars long"
-    names = [f.name for f in kept]
+    names = [f"c{i}" for i in range(len(kept))]
+    schema = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, kept, strict=True)) + "text string, n_chars long"
 
     def pages(batches):
-        for pdf in batches:
-            text = [main_text(x) for x in pdf["__html"]]
-            yield pd.concat([pdf[names], pd.DataFrame({"text": text, "n_chars": [len(x) for x in text]}, index=pdf.index)], axis=1)
+        for batch in batches:
+            for rows, html in text_slices(batch, "html", CHUNK_CHARS):
+                text = [main_text(x) for x in html]
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], [*names, "text", "n_chars"])
 
-    return df.selectExpr(*[f"`{n}`" for n in names], f"`{html_col}` as __html").mapInPandas(pages, schema)
+    cols = [F.col(f"`{f.name}`").alias(n) for n, f in zip(names, kept, strict=True)]
+    return df.select(*cols, F.col(f"`{html_col}`").cast("string").alias("html")).mapInArrow(pages, schema).toDF(*[f.name for f in kept], "text", "n_chars")
