@@ -18,7 +18,8 @@ def op1_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_markov.report(table(spark, sf_dir, "documents"), secret_markov.trained(spark))
+    docs = table(spark, sf_dir, "documents")
+    return secret_markov.report(docs, secret_markov.trained(spark, found_in=docs))
 
 
 def op3_masked_pll_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op9_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.threads(table(spark, sf_dir, "conversations"))
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

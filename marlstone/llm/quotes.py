@@ -8,10 +8,18 @@ conversation whose own text has that line; a message replies to the earlier
 message that its outermost quote (the smallest level that finds one) hits most
 often, ties to the later message. Messages without a link are roots.
 
-Reply order: ``thread_path`` holds the padded turns from the root of the replies
-down to the message, so sorting a conversation by it puts each message after the
-one it replies to and before the next root. Paths are built by pointer doubling,
-over linked messages only: as many joins as the logarithm of the longest chain.
+Reply order: a message comes after the one it replies to, replies to one message in
+the order of their turns, and each with all of its own replies before the next. The
+replies form trees, and a message's place in its tree (``reply_rank``) is its place
+on the tour that enters and leaves each message once; tours are ranked by pointer
+doubling over the linked messages only, so long chains cost as many joins as the
+logarithm of their length and no string or array grows with them. A message's
+``position`` in its conversation is the size of the trees whose roots are earlier,
+plus its rank; these sums are made by 16 bits of the turn at a time, so no window
+sees more than 65,536 rows, however long a conversation is.
+
+``conversations`` builds the result: each conversation's messages without quotes in
+reply order, ``PAGE`` messages a row, so no row grows without bound.
 
 Own lines are kept only if some message of the conversation quotes that hash, and
 are reduced to the earliest turn before the join, so a line that a whole
@@ -19,21 +27,27 @@ conversation repeats is one row; quoted lines are counted per message and hash
 before they shuffle. A message that quotes nothing passes straight through.
 
 Cases: null text counts as empty; blank lines aren't linked; a null conv_id is a
-conversation of its own; a null turn takes no part in links and has the path of
+conversation of its own; a null turn takes no part in links and has the place of
 turn 0; a quote without an original, or one only of itself or of later messages,
-gives no link; repeated rows give the same link; other columns are carried
-along; an empty table gives an empty result.
+gives no link; repeated rows give the same link and position; turns may be negative
+or of any size; very long messages are read whole; other columns are carried along,
+but those of the results' names, which they replace; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import written
+from .common import forget, made, written
 
 MARK = r"^[ \t]*(>[ \t]*)+"
 MOST_ROUNDS = 64
+PAGE = 256
+STEP = 16  # bits of the turn that a window of prefix sums spans
+RESULTS = ("own_text", "reply_to", "n_quoted", "max_level", "root_turn", "reply_rank", "position")
 
 
 def lines(text: Column) -> Column:
@@ -56,7 +70,7 @@ def own_text(text: Column) -> Column:
 
 def links(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """(conv, turn, reply_to, n_quoted, max_level) of each message that quotes; reply_to null if nothing was found."""
-    parsed = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text")).filter("turn is not null")
+    parsed = df.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("turn is not null")
     quoted = (
         parsed.filter(F.col("text").rlike("(?m)" + MARK))
         .select("conv", "turn", F.explode(lines(F.col("text"))).alias("l"))
@@ -76,41 +90,102 @@ def links(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text
     return votes.groupBy("conv", "turn").agg(best.alias("reply_to"), F.sum("n").alias("n_quoted"), F.max("deepest").alias("max_level"))
 
 
-def _pad(turn: Column) -> Column:
-    return F.lpad(turn.cast("string"), 12, "0")
-
-
-def paths(linked: DataFrame) -> DataFrame:
-    """(conv, turn, root_path): the padded turns above each linked message, root first, by pointer doubling."""
-    todo = written(linked.filter("reply_to is not null").select("conv", "turn", F.col("reply_to").alias("up"), _pad(F.col("reply_to")).alias("path")), "replies")
+def _same(a: str, b: str, *on: str) -> Column:
+    """Equality of the columns of two aliased sides; null conversations are equal."""
+    out = F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv"))
+    for c in on:
+        out = out & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+    return out
+
+
+def _next_siblings(edges: DataFrame) -> DataFrame:
+    """(conv, turn, up, next): the next reply to the same message. Replies are dealt out by the higher bits of their turns."""
+    high = F.shiftright("turn", STEP)
+    inner = Window.partitionBy("conv", "up", high).orderBy("turn")
+    blocks = edges.groupBy("conv", "up", high.alias("block")).agg(F.min("turn").alias("first"))
+    after = blocks.select("conv", "up", "block", F.lead("first").over(Window.partitionBy("conv", "up").orderBy("block")).alias("after"))
+    near = edges.withColumns({"near": F.lead("turn").over(inner), "block": high})
+    met = near.alias("n").join(after.alias("b"), _same("n", "b", "up", "block"), "left")
+    return met.select("n.conv", "n.turn", "n.up", F.coalesce("near", "after").alias("next"))
+
+
+def ranks(linked: DataFrame) -> DataFrame:
+    """(conv, turn, root_turn, reply_rank, tree_size) of every message that replies or is replied to."""
+    edges = linked.filter("reply_to is not null").select("conv", "turn", F.col("reply_to").alias("up")).distinct()
+    sib = written(_next_siblings(edges), "replies")
+    first = sib.groupBy("conv", F.col("up").alias("turn")).agg(F.min("turn").alias("child"))
+    nodes = sib.select("conv", "turn").unionByName(first.select("conv", "turn")).distinct()
+    enter = nodes.alias("n").join(first.alias("f"), _same("n", "f", "turn"), "left")
+    enter = enter.select("n.conv", "n.turn", F.lit(0).alias("side"), F.coalesce("child", "n.turn").alias("to"), F.when(F.col("child").isNull(), 1).otherwise(0).alias("to_side"), F.lit(1).cast("long").alias("d"))
+    leave = nodes.alias("n").join(sib.alias("s"), _same("n", "s", "turn"), "left")
+    leave = leave.select("n.conv", "n.turn", F.lit(1).alias("side"), F.coalesce("next", "up").alias("to"), F.when(F.col("next").isNull(), 1).otherwise(0).alias("to_side"), F.lit(0).cast("long").alias("d"))
+    tour = written(enter.unionByName(leave).withColumn("root", F.when(F.col("to").isNull(), F.col("turn"))), "tour")
     for _ in range(MOST_ROUNDS):
-        a, b = todo.alias("a"), todo.alias("b")
-        joined = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.up") == F.col("b.turn")), "left")
-        step = joined.select("a.conv", "a.turn", F.col("b.up").alias("up"), F.concat_ws("/", "b.path", "a.path").alias("path"), (F.col("a.up").isNotNull() & F.col("b.up").isNotNull()).alias("moved"))
-        step = written(step, "replies")
-        if not step.filter("moved").limit(1).count():
-            return step.select("conv", "turn", F.col("path").alias("root_path"))
-        todo = step.drop("moved")
-    raise RuntimeError("reply chains didn't end")
+        if not tour.filter("to is not null").limit(1).count():
+            break
+        on = F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.to") == F.col("b.turn")) & (F.col("a.to_side") == F.col("b.side"))
+        step = tour.alias("a").join(tour.alias("b"), on, "left")
+        tour = written(step.select("a.conv", "a.turn", "a.side", F.col("b.to").alias("to"), F.col("b.to_side").alias("to_side"), (F.col("a.d") + F.coalesce("b.d", F.lit(0))).alias("d"), F.coalesce("a.root", "b.root").alias("root")), "tour")
+    else:
+        raise RuntimeError("reply chains didn't end")
+    inside = tour.filter("side = 0").select("conv", "turn", F.col("root").alias("root_turn"), F.col("d").alias("left"))
+    whole = inside.filter("turn = root_turn").select("conv", F.col("root_turn"), F.col("left").alias("tree_size"))
+    both = inside.alias("i").join(whole.alias("w"), _same("i", "w", "root_turn"))
+    return both.select("i.conv", "i.turn", "i.root_turn", (F.col("tree_size") - F.col("left")).alias("reply_rank"), "tree_size")
+
+
+def _before(sizes: DataFrame) -> DataFrame:
+    """(conv, root_turn, before): the sum of the sizes of the conversation's trees whose root is earlier."""
+    out = sizes.groupBy("conv", "root_turn").agg(F.max("size").alias("size"), F.lit(0).cast("long").alias("before"))
+    out = written(out, "trees")
+    total = out.select("conv", "root_turn", "before")
+    for k in range(0, 64, STEP):
+        at = F.shiftright("root_turn", k)
+        cell = out.groupBy("conv", at.alias("cell")).agg(F.sum("size").alias("size"))
+        up = F.shiftright("cell", STEP) if k + STEP < 64 else F.lit(0).cast("long")
+        w = Window.partitionBy("conv", up).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        part = cell.select("conv", "cell", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("part"))
+        met = total.withColumn("cell", at).alias("t").join(part.alias("p"), _same("t", "p", "cell"))
+        total = met.select("t.conv", "t.root_turn", (F.col("before") + F.col("part")).alias("before"))
+    return total
+
+
+def placed(df: DataFrame, found: DataFrame, conv_col: str, turn_col: str) -> DataFrame:
+    """(conv, turn, root_turn, reply_rank, position) of each message's place."""
+    turn = F.coalesce(F.col(f"`{turn_col}`"), F.lit(0)).cast("long")
+    all_ = df.select(F.col(f"`{conv_col}`").alias("conv"), turn.alias("turn")).distinct()
+    tree = written(ranks(found), "ranks")
+    known = all_.alias("m").join(tree.alias("t"), _same("m", "t", "turn"), "left")
+    known = known.select("m.conv", "m.turn", F.coalesce("root_turn", "m.turn").alias("root_turn"), F.coalesce("reply_rank", F.lit(0)).cast("long").alias("reply_rank"), F.coalesce("tree_size", F.lit(1)).cast("long").alias("size"))
+    known = written(known, "places")
+    before = _before(known)
+    met = known.alias("k").join(before.alias("b"), _same("k", "b", "root_turn"))
+    return met.select("k.conv", "k.turn", "k.root_turn", "k.reply_rank", (F.col("before") + F.col("reply_rank")).alias("position"))
 
 
 def threads(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """Each message of ``df`` with own_text, reply_to, n_quoted, max_level and thread_path (see the module's docstring)."""
+    """Each message of ``df`` with own_text, reply_to, n_quoted, max_level, root_turn, reply_rank and position (see the module's docstring)."""
+    mark = made()
     found = written(links(df, conv_col, turn_col, text_col), "links")
-    above = paths(found)
-    f, p = found.alias("f"), above.alias("p")
-    known = f.join(p, F.col("f.conv").eqNullSafe(F.col("p.conv")) & (F.col("f.turn") == F.col("p.turn")), "left")
-    known = known.select(F.col("f.conv").alias("__conv"), F.col("f.turn").alias("__turn"), "reply_to", "n_quoted", "max_level", F.col("p.root_path").alias("__above"))
-    return attach(df, known, conv_col, turn_col, text_col)
-
-
-def attach(df: DataFrame, known: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFrame:
-    """Messages that quote meet their links by key; the others pass without a shuffle."""
-    cols = [F.col(f"`{c}`") for c in df.columns if c not in ("own_text", "reply_to", "n_quoted", "max_level", "thread_path")]
-    quotes = F.coalesce(F.col(text_col).rlike("(?m)" + MARK) & F.col(turn_col).isNotNull(), F.lit(False))
-    here = lambda above: F.concat_ws("/", above, _pad(F.coalesce(F.col(turn_col), F.lit(0)))).alias("thread_path")
-    own = own_text(F.col(text_col)).alias("own_text")
-    plain = df.filter(~quotes).select(*cols, own, F.lit(None).cast("long").alias("reply_to"), F.lit(0).cast("long").alias("n_quoted"), F.lit(0).alias("max_level"), here(F.lit(None).cast("string")))
-    met = df.filter(quotes).join(known, F.col(conv_col).eqNullSafe(F.col("__conv")) & (F.col(turn_col) == F.col("__turn")), "left")
-    linked = met.select(*cols, own, F.col("reply_to").cast("long").alias("reply_to"), F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("max_level", F.lit(0)).cast("int").alias("max_level"), here(F.col("__above")))
-    return plain.unionByName(linked)
+    places = placed(df, found, conv_col, turn_col)
+    f, p = found.alias("f"), places.alias("p")
+    known = p.join(f, _same("p", "f", "turn"), "left").select(F.col("p.conv").alias("__conv"), F.col("p.turn").alias("__turn"), "reply_to", "n_quoted", "max_level", "root_turn", "reply_rank", "position")
+    known = written(known, "known")
+    forget(df.sparkSession, mark, ("known",))
+    rest = [c for c in df.columns if c.lower() not in RESULTS]
+    message = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"), own_text(F.col(f"`{text_col}`").cast("string")).alias("own_text"))
+    met = message.join(known, F.col("conv").eqNullSafe(F.col("__conv")) & (F.coalesce("turn", F.lit(0)) == F.col("__turn")))
+    real = F.col("turn").isNotNull()
+    return met.select(
+        "row.*", "own_text", F.when(real, F.col("reply_to")).cast("long").alias("reply_to"), F.when(real, F.coalesce("n_quoted", F.lit(0))).otherwise(0).cast("long").alias("n_quoted"),
+        F.when(real, F.coalesce("max_level", F.lit(0))).otherwise(0).cast("int").alias("max_level"), "root_turn", "reply_rank", "position",
+    )
+
+
+def conversations(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role", page: int = PAGE) -> DataFrame:
+    """(conv_id, page, n_messages, messages): each conversation's messages without quotes in reply order, ``page`` a row."""
+    t = threads(df, conv_col=conv_col, turn_col=turn_col, text_col=text_col)
+    role = [F.col(f"`{role_col}`").cast("string").alias("role")] if role_col else []
+    one = F.struct("position", F.col(f"`{turn_col}`").cast("long").alias("turn"), *role, "reply_to", "n_quoted", F.col("own_text").alias("text"))
+    rows = t.groupBy(F.col(f"`{conv_col}`").alias(conv_col), F.expr(f"position div {page}").alias("page")).agg(F.array_sort(F.collect_list(one)).alias("messages"))
+    return rows.select(F.col(f"`{conv_col}`"), "page", F.size("messages").cast("long").alias("n_messages"), "messages")
