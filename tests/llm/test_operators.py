@@ -124,6 +124,36 @@ def test_secret_markov_tells_random_from_ordinary(spark):
     assert secret_markov.report(docs(spark, []), ratios).count() == 0
 
 
+def test_secret_ratio_is_the_likelihood_ratio(spark):
+    sample = [("ab", 1), ("aab", 1), ("ba", 0), ("bb", 0), (None, 1), ("a", 0)]
+    got = secret_markov.pair_ratios(spark.createDataFrame(sample, "token string, random int"))
+    n = len(secret_markov.ALPHABET)
+    first, pair = [collections.Counter() for _ in range(2)], [collections.Counter() for _ in range(2)]
+    for t, y in sample:
+        if t and len(t) > 1:
+            first[y][t[0]] += 1
+            pair[y].update(itertools.pairwise(t))
+    p = lambda c, k, of: (c[k] + 0.5) / (sum(c[x] for x in of) + 0.5 * n)
+    for a, b in itertools.product("abc", repeat=2):
+        row = [(a, x) for x in secret_markov.ALPHABET]
+        want = math.log(p(pair[1], (a, b), row)) - math.log(p(pair[0], (a, b), row))
+        assert math.isclose(got[secret_markov.ALPHABET.index(a) * n + secret_markov.ALPHABET.index(b)], want)
+        assert math.isclose(got[n * n + secret_markov.ALPHABET.index(a)], math.log(p(first[1], a, secret_markov.ALPHABET)) - math.log(p(first[0], a, secret_markov.ALPHABET)))
+    value = spark.range(1).select(secret_markov.ratio(F.lit("abba"), got).alias("r")).first()["r"]
+    i = [secret_markov.ALPHABET.index(x) for x in "abba"]
+    assert math.isclose(value, (got[n * n + i[0]] + sum(got[a * n + b] for a, b in itertools.pairwise(i))) / 4, abs_tol=1e-4)
+    found = secret_markov.found_sample(docs(spark, [(1, "token=abcdefgh12 ordinary words AKIAABCDEFGH1234 " + "0f" * 16), (2, None)])).collect()
+    assert sorted(map(tuple, found)) == [("0f" * 16, 1), ("AKIAABCDEFGH1234", 1), ("abcdefgh12", 1), ("ordinary", 0)]
+
+
+def test_secret_overlaps_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(secret_markov, "BLOCK", 3)
+    text = " ".join(f"token=Zx8Kq2LmP0vTn4RwYb7J{i:02d} Qx9Kq2LmP0vTn4RwYb7Jd3H{i:02d}" for i in range(11))
+    r = secret_markov.report(docs(spark, [(1, text)]), secret_markov.trained(spark)).collect()[0]
+    kinds = [s.split(":")[0] for s in r["spans"].split(",")]
+    assert kinds == ["assign", "markov"] * 11 and r["n_assign"] == 11
+
+
 def test_secret_many_matches(spark):
     text = " ".join(f"token=abcdefgh{i:04d}" for i in range(2000))
     r = secret_markov.report(docs(spark, [(1, text)]), [0.0] * len(secret_markov.ALPHABET) ** 2).collect()[0]
@@ -365,6 +395,16 @@ def test_chosen_path_finds_pairs_of_frequent_passages(spark, taken):
     assert sum(got.values()) >= 0.999 * sum(want.values()) > 0
 
 
+def test_links_at_the_very_threshold():
+    for n in range(5, 2000):
+        if 8 * n % 9 == 0:  # 8n/9 shared of n and n: exactly 0.8
+            a = np.arange(n, dtype="u4")
+            b = np.concatenate([a[: 8 * n // 9], np.arange(5000, 5000 + n - 8 * n // 9, dtype="u4")])
+            c = np.concatenate([a[: 8 * n // 9 - 1], np.arange(9000, 9001 + n - 8 * n // 9, dtype="u4")])
+            got = chosenpath.links_within([a, b, c], 0.8)
+            assert got[0, 1] and not got[0, 2], n
+
+
 def test_sketches_lose_no_link():
     rng = np.random.default_rng(3)
     for size in (1, 3, 20, 300, 3000):
