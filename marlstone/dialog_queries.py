@@ -89,7 +89,11 @@ def memory_cleaning(spark, d):
     return c.select("conv_id", "turn", "m.text", F.size("m.negations").alias("n_negations"), F.array_join(L.lost(F.col("text"), F.col("m.text")), "|").alias("lost"))
 
 
-@query()
+@query("""with recursive e as (select user_id, epoch_us(ts) as us, event_id, event_type as value, row_number() over (partition by user_id order by ts, event_id) as k from events),
+    r as (select user_id, us, event_id, k, value, value as held, 0.5::double as held_confidence, []::varchar[] as noted from e where k = 1 union all
+    select e.user_id, e.us, e.event_id, e.k, e.value, case when e.value <> held and list_contains(noted, e.value) then e.value else held end,
+    case when e.value = held then least(1.0::double, held_confidence + 0.1::double) when list_contains(noted, e.value) then 0.5::double else held_confidence end, case when e.value = held or list_contains(noted, e.value) then noted else list_append(noted, e.value) end
+    from r join e on e.user_id = r.user_id and e.k = r.k + 1) select user_id, us, event_id, value, 0.5::double as confidence, held, held_confidence, len(noted) as conflicts from r""")
 def profile_merge(spark, d):
     s = events(spark, d).select("user_id", "us", "event_id", F.col("event_type").alias("value"), F.lit(0.5).alias("confidence"))
     return M.merged_profile(s, keys=["user_id"], order=["us", "event_id"])

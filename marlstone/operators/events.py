@@ -136,12 +136,14 @@ def session_gaps(df: DataFrame, *, keys: list[str], gap_us: int, time: str = "us
     return s.groupBy(*keys, "session").agg(F.min(time).alias("start_us"), F.max(time).alias("end_us"), F.count(F.lit(1)).alias("n"))
 
 
-def ordered_scan(df: DataFrame, *, keys: list[str], order: list[str], schema: str, start: Callable, step: Callable) -> DataFrame:
-    """Rows with what ``step(state, row)`` returns for them, in order within a key. ``start()`` makes a key's state.
+def ordered_scan(df: DataFrame, *, keys: list[str], order: list[str], reads: list[str], schema: str, start: Callable, step: Callable) -> DataFrame:
+    """Rows with what ``step(state, *values)`` returns for them, in order within a key. ``start()`` makes a key's state.
 
-    ``schema`` names the added columns; ``step`` returns their values. Ties in ``order`` have no fixed order: name a unique column last.
+    ``reads`` names the columns whose values a step gets; ``schema`` the added columns, whose values it returns. Ties in
+    ``order`` have no fixed order: name a unique column last.
 
-    A task holds the state of one key and one Arrow batch, never all of a key's rows. Rows whose keys are null are one key's.
+    A task holds the state of one key and one Arrow batch, never all of a key's rows; a batch's columns are lists, so a
+    step costs one call. Rows whose keys are null are one key's.
     """
     added = [x.split()[0] for x in schema.split(",")]
     full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), schema])
@@ -149,11 +151,12 @@ def ordered_scan(df: DataFrame, *, keys: list[str], order: list[str], schema: st
     def run(batches):
         key, state = object(), None
         for pdf in batches:
+            own = pdf[keys].astype(object).where(pdf[keys].notna(), None)
             out = []
-            for row, k in zip(pdf.to_dict("records"), pdf[keys].astype(object).where(pdf[keys].notna(), None).itertuples(index=False, name=None), strict=True):
+            for k, *values in zip(zip(*(own[c].tolist() for c in keys), strict=True), *(pdf[c].tolist() for c in reads), strict=True):
                 if k != key:
                     key, state = k, start()
-                out.append(step(state, row))
+                out.append(step(state, *values))
             yield pdf.assign(**{a: [o[i] for o in out] for i, a in enumerate(added)}) if out else pdf.assign(**{a: [] for a in added})
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, full)
@@ -162,43 +165,40 @@ def ordered_scan(df: DataFrame, *, keys: list[str], order: list[str], schema: st
 def anchored_rate_limit(df: DataFrame, *, key: str, limit: int, window_us: int, time: str = "us") -> DataFrame:
     """``admitted`` of each call: windows start at a user's first call after the last window's end."""
 
-    def step(s: dict, row: dict) -> tuple:
-        t = row[time]
+    def step(s: dict, t: int) -> tuple:
         if not s or t - s["start"] >= window_us:
             s |= {"start": t, "n": 0}
         s["n"] += 1
         return (s["n"] <= limit,)
 
-    return ordered_scan(df.select(key, "event_id", time), keys=[key], order=[time, "event_id"], schema="admitted boolean", start=dict, step=step)
+    return ordered_scan(df.select(key, "event_id", time), keys=[key], order=[time, "event_id"], reads=[time], schema="admitted boolean", start=dict, step=step)
 
 
 def breaker_states(df: DataFrame, failed: Column, *, key: str, failures: int = 3, cool_us: int = 60_000_000, time: str = "us") -> DataFrame:
     """Circuit state seen by each call: open after ``failures`` in a row, half-open after ``cool_us``; a half-open call closes or reopens it. An unknown outcome is no failure."""
     rows = df.select(key, "event_id", time, F.coalesce(failed, F.lit(False)).alias("failed"))
 
-    def step(s: dict, row: dict) -> tuple:
-        if s["state"] == "open" and row[time] - s["since"] >= cool_us:
+    def step(s: dict, t: int, bad: bool) -> tuple:
+        if s["state"] == "open" and t - s["since"] >= cool_us:
             s["state"] = "half_open"
         seen = s["state"]
         if seen != "open":
-            bad = row["failed"]
             s["n"] = s["n"] + 1 if bad else 0
             if bad and (seen == "half_open" or s["n"] >= failures):
-                s |= {"state": "open", "since": row[time]}
+                s |= {"state": "open", "since": t}
             elif not bad:
                 s["state"] = "closed"
         return (seen,)
 
-    return ordered_scan(rows, keys=[key], order=[time, "event_id"], schema="state string", start=lambda: {"state": "closed", "n": 0, "since": 0}, step=step)
+    return ordered_scan(rows, keys=[key], order=[time, "event_id"], reads=[time, "failed"], schema="state string", start=lambda: {"state": "closed", "n": 0, "since": 0}, step=step)
 
 
 def budget_admission(df: DataFrame, cost: Column, *, key: str, ceiling: float, time: str = "us") -> DataFrame:
     """Greedy admission: a call is admitted if what was admitted before and its cost stay within the ceiling. A null cost isn't admitted."""
 
-    def step(s: dict, row: dict) -> tuple:
-        c = row["cost"]
+    def step(s: dict, c: float | None) -> tuple:
         ok = c is not None and s["used"] + c <= ceiling
         s["used"] += c if ok else 0
         return (bool(ok),)
 
-    return ordered_scan(df.select(key, "event_id", time, cost.alias("cost")), keys=[key], order=[time, "event_id"], schema="admitted boolean", start=lambda: {"used": 0.0}, step=step)
+    return ordered_scan(df.select(key, "event_id", time, cost.alias("cost")), keys=[key], order=[time, "event_id"], reads=["cost"], schema="admitted boolean", start=lambda: {"used": 0.0}, step=step)

@@ -27,19 +27,18 @@ def merged_profile(sightings: DataFrame, *, keys: list[str], order: list[str]) -
 
     The same value again adds 0.1, up to 1. Another value is noted at its first sighting and takes over at a later one."""
 
-    def step(state: dict, row: dict) -> tuple:
-        value = row["value"]
+    def step(state: dict, value, confidence: float) -> tuple:
         if not state:
-            state |= {"value": value, "confidence": row["confidence"], "noted": set()}
+            state |= {"value": value, "confidence": confidence, "noted": set()}
         elif value == state["value"]:
             state["confidence"] = min(1.0, state["confidence"] + 0.1)
         elif value in state["noted"]:
-            state |= {"value": value, "confidence": row["confidence"]}
+            state |= {"value": value, "confidence": confidence}
         else:
             state["noted"].add(value)
         return state["value"], state["confidence"], len(state["noted"])
 
-    return ordered_scan(sightings, keys=keys, order=order, schema="held string, held_confidence double, conflicts long", start=dict, step=step)
+    return ordered_scan(sightings, keys=keys, order=order, reads=["value", "confidence"], schema="held string, held_confidence double, conflicts long", start=dict, step=step)
 
 
 def task_chains(steps: DataFrame, closes: Column, *, keys: list[str], order: list[str]) -> DataFrame:

@@ -300,7 +300,11 @@ def fold_negative_duration(spark, d):
     return E.consecutive(f, F.col("state") < -0.0001, keys=K, max_gap_us=3 * DAY, min_us=HOUR)
 
 
-@query()
+@query(f"""with recursive e as (select event_id, user_id, epoch_us(ts) as us, event_type as a, row_number() over (partition by user_id order by ts, event_id) as k from events), s as (select ['view', 'click', 'purchase'] as steps),
+    r as (select user_id, k, us, (a = 'view')::int as seen, case when a = 'view' then us end as start, null::bigint as start_us, null::bigint as end_us from e where k = 1 union all
+    select user_id, k, us, case when hit and seen = 2 then 0 when hit then seen + 1 else seen end, case when hit and seen = 2 then null when hit and seen = 0 then us when seen > 0 then start end, case when hit and seen = 2 then start end, case when hit and seen = 2 then us end
+    from (select *, a = steps[seen + 1] as hit from (select e.user_id, e.k, e.us, e.a, steps, case when r.seen > 0 and e.us - r.start > {10 * DAY} then 0 else r.seen end as seen, case when r.seen > 0 and e.us - r.start > {10 * DAY} then null else r.start end as start from r join e on e.user_id = r.user_id and e.k = r.k + 1, s)))
+    select user_id, start_us, end_us from r where end_us is not null""")
 def action_sequence(spark, d):
     return E.sequence_matches(events(spark, d), ["view", "click", "purchase"], keys=K, action="event_type", within_us=10 * DAY)
 
