@@ -80,7 +80,7 @@ def digits_in_times(c: Column) -> Column:
     return F.array_join(F.zip_with(pieces, said, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-#: The rules in their order; each takes the text that the one before leaves.
+# The rules' names and order. Each takes the text that the one before leaves.
 RULES = (
     ("fullwidth", X.half_width),
     ("garbage_chars", lambda c: F.regexp_replace(c, r"[�\x00-\x08\x0b\x0c\x0e-\x1f]", "")),

@@ -46,6 +46,7 @@ def intent(c: Column, found: dict[str, Column]) -> Column:
     some = flag("attribute") | flag("author")
     one = flag("doc_ids") | points
     content = _says(q, CONTENT)
+    # The rules' names, order, intents and confidences.
     rules = [
         ("calc_strong", _says(q, CALCULATES), "numerical_calculation", 0.99),
         ("exclude_citation", _says(q, LEAVES_OUT_CITATIONS), "inventory", 0.99),

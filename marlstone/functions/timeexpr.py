@@ -207,7 +207,7 @@ def _back(now: datetime, months: int) -> Span:
     return Span("gte", _first(_month(now.year, now.month) - months), grain="month")
 
 
-#: (rank by place, pattern, what it says)
+# The patterns and their rank, by place; what each says is made by the functions above.
 RULES: list[tuple[str, str, Callable[[re.Match, datetime], Span | None]]] = [
     ("anchor", rf"(?P<event>(?i:{'|'.join(sorted(ANCHORS, key=len, reverse=True))}))(?P<tail>(?:结束)?(?:以来|至今|到现在|爆发以来|期间|前后(?:(?:\d|[一二两三四五六七八九十])+个?(?:年|月|季度))?|之后|以后|之前|以前))", _anchor),
     ("month to now", rf"({YEAR})年(\d{{1,2}})月(?:份)?{UP_TO_NOW}", lambda m, now: Span("between", _first(_month(int(m[1]), int(m[2]))), _today(now), grain="day")),
