@@ -33,7 +33,7 @@ def pack_paragraphs(text: str | None, size: int = 512) -> list[str]:
     return out
 
 
-def structural_chunks(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 512) -> DataFrame:
+def paragraph_chunks(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 512) -> DataFrame:
     """(id, chunk_index, chunk): each document's packed lines, by Arrow batches."""
     import pandas as pd
 

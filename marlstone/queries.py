@@ -411,9 +411,13 @@ def chunk_fixed_window(spark, d):
     return R.fixed_windows(read(spark, d, "documents")).withColumn("chunk", F.md5("chunk"))
 
 
-@query()
+@query(r"""with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null),
+    p as (select doc_id, i, regexp_replace(line, '^\s+|\s+$', '', 'g') as line from l), c as (select doc_id, i, line, unnest(range(0, ceil(length(line) / 512.0)::int)) as j from p where line <> ''),
+    e as (select doc_id, substring(line, (j * 512 + 1)::int, 512) as part, row_number() over (partition by doc_id order by i, j) as k from c),
+    r as (select doc_id, k, 0 as c, length(part) as n from e where k = 1 union all select e.doc_id, e.k, case when r.n + 1 + length(e.part) <= 512 then r.c else r.c + 1 end, case when r.n + 1 + length(e.part) <= 512 then r.n + 1 + length(e.part) else length(e.part) end
+    from r join e on e.doc_id = r.doc_id and e.k = r.k + 1) select doc_id, c as chunk_index, string_agg(part, chr(10) order by k) as chunk from r join e using (doc_id, k) group by 1, 2""")
 def chunk_paragraph(spark, d):
-    return R.structural_chunks(read(spark, d, "documents"))
+    return R.paragraph_chunks(read(spark, d, "documents"))
 
 
 @query(f"""with {_CHUNKS} select doc_id, chunk_index, coalesce(right(lag(chunk) over w, 200), '') as before, coalesce(left(lead(chunk) over w, 200), '') as after from ch window w as (partition by doc_id order by chunk_index)""")
