@@ -15,6 +15,7 @@ from .operators import search as S
 from .plans import algebra as P
 from .queries import _RRF, DAY, EV, HIGH, HOUR, K, _high, query
 from .sources import files as FI
+from .sources import tables as TB
 from .sources.tables import events, read
 from .streaming import logs
 
@@ -440,3 +441,78 @@ def stale_sessions(spark, d):
 @query("select source, lang, count(*) as n from documents group by cube (source, lang) having grouping(source) + grouping(lang) <> 1")
 def audit_counters(spark, d):
     return read(spark, d, "documents").groupingSets([["source", "lang"], []], "source", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select user_id as id, arg_max(value, event_id) as value, max(event_id) as event_id from events where event_id % 2 = 0 or event_type = 'purchase' group by 1")
+def table_upsert(spark, d):
+    """A base table and its changes by key; the newest revision of each stays."""
+    e = read(spark, d, "events").select(F.col("user_id").alias("id"), "value", "event_id", "event_type")
+    base = e.filter("event_id % 2 = 0").drop("event_type")
+    return TB.latest_by_key(base, e.filter("event_id % 2 = 1 and event_type = 'purchase'").drop("event_type"), "id", "event_id").select("id", "value", "event_id")
+
+
+@query("select c_custkey, coalesce(case when c_custkey % 3 = 0 then 'PATCHED' end, c_mktsegment) as c_mktsegment, c_acctbal, case when c_custkey % 3 = 0 then c_nationkey end as note from customer")
+def table_patch(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
+    patch = c.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("PATCHED").alias("c_mktsegment"), F.col("c_nationkey").alias("note"))
+    return TB.partial_update(c.drop("c_nationkey"), patch, "c_custkey").select("c_custkey", "c_mktsegment", "c_acctbal", "note")
+
+
+@query("select distinct user_id from events where event_type = 'purchase' and user_id not in (select user_id from events where value > 49.9)")
+def table_insert_ignore(spark, d):
+    e = read(spark, d, "events")
+    return TB.insert_ignore(e.filter("event_type = 'purchase'").select("user_id"), e.filter("value > 49.9").select("user_id").distinct(), "user_id")
+
+
+@query("select 'left' as side, doc_id from documents where doc_id not in (select doc_id from labels) union all select 'right', doc_id from labels where doc_id not in (select doc_id from documents)")
+def inventory_reconcile(spark, d):
+    return TB.reconcile(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id")
+
+
+@query("with t as (select user_id, sum(value) as total, count(*) as n from events group by 1) select user_id, round(total / n, 6) as mean from t where n > 60")
+def relation_filter(spark, d):
+    """A typed plan: aggregate, filter by a computed output, arithmetic."""
+    s = P.Step
+    steps = [
+        s("e", "source", params={"table": "events"}), s("t", "aggregate", ("e",), {"by": ["user_id"], "outputs": {"total": ("sum", "value"), "n": ("count", "value")}}),
+        s("f", "relation_filter", ("t", "t2"), {"predicates": [P.Predicate("n", "gt", 60)], "on": ["user_id"]}), s("m", "arithmetic", ("f",), {"op": "div", "left": "total", "right": "n", "as": "mean"}),
+    ]
+    steps.insert(2, s("t2", "aggregate", ("e",), {"by": ["user_id"], "outputs": {"n": ("count", "value")}}))
+    return P.lower(steps, {"events": read(spark, d, "events")})["m"].select("user_id", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""with {EV} select event_id, round(sum(value) over w, 4) as total, min(value) over w as least, max(value) over w as most, count(*) over w as n, round(coalesce(stddev(value) over w, 0), 5) as deviation, round(median(value) over w, 6) as mid
+    from ev window w as (partition by user_id order by us range between {DAY} preceding and current row)""")
+def rolling_statistics(spark, d):
+    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-DAY, 0)
+    v = "value"
+    return events(spark, d).select(
+        "event_id", F.round(F.sum(v).over(w), 4).alias("total"), F.min(v).over(w).alias("least"), F.max(v).over(w).alias("most"), F.count(v).over(w).alias("n"), F.round(F.coalesce(F.stddev(v).over(w), F.lit(0.0)), 5).alias("deviation"),
+        F.round(F.percentile(v, 0.5).over(w), 6).alias("mid"),
+    )
+
+
+@query("select user_id, round(count(*) filter (event_type = 'purchase') / nullif(count(*) filter (event_type = 'view'), 0), 6) as conversion_rate, round(sum(value) filter (event_type = 'purchase') / nullif(sum(value), 0), 6) as ratio from events group by 1")
+def conversion_rates(spark, d):
+    is_ = lambda k: F.col("event_type") == k
+    paid = F.sum(F.when(is_("purchase"), F.col("value")))
+    return read(spark, d, "events").groupBy("user_id").agg(F.round(F.try_divide(F.count_if(is_("purchase")), F.count_if(is_("view"))), 6).alias("conversion_rate"), F.round(F.try_divide(paid, F.sum("value")), 6).alias("ratio"))
+
+
+@query("""select g as grain, begins::date as begins, round(avg(value), 6) as mean from (select 'day' as g, date_trunc('day', ts) as begins, value from events union all select 'week', date_trunc('week', ts), value from events
+    union all select 'month', date_trunc('month', ts), value from events union all select 'year', date_trunc('year', ts), value from events) group by 1, 2""")
+def grain_averages(spark, d):
+    """One pass: days first, the coarser grains from their sums."""
+    days = read(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+    each = days.select("s", "n", F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), F.to_date(F.date_trunc(g, "day")).alias("begins")) for g in ("day", "week", "month", "year")])).alias("g"))
+    return each.groupBy("g.grain", "g.begins").agg(F.round(F.sum("s") / F.sum("n"), 6).alias("mean"))
+
+
+@query("select (select count(*) from documents where text is not null) = (select count(*) from documents where text is not null and length(text) >= 0) as same, 0::bigint as lacking, (select count(*) from embeddings where len(embedding) <> 64) as wrong_size")
+def stage_verification(spark, d):
+    """A stage's rows against what was accepted, both ways, and the size of vectors."""
+    docs = read(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))
+    staged = docs.repartition(3, "doc_id")
+    lacking = docs.exceptAll(staged).unionByName(staged.exceptAll(docs)).count()
+    wrong = read(spark, d, "embeddings").filter("size(embedding) <> 64").count()
+    return spark.createDataFrame([(docs.count() == staged.count(), lacking, wrong)], "same boolean, lacking long, wrong_size long")
