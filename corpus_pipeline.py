@@ -12,6 +12,13 @@ shared folder and reads it again as the next one's input.
 4. mix: sources are interleaved to their target weights; the order of
    ``mix_position`` is the mixture. All rows stay.
 5. encode: two distinct sampled segmentations of each text, with its source and ``mix_position``.
+
+Cases: null and empty texts have no letter and go at stage 1, as does every text
+where no row has a language to learn from; null ids stay through all stages, but
+only once for each text; rows with the same id and text stay once, with the same id
+and other texts each; texts are read whole at every stage; columns that aren't used
+may hold nulls and have any name; ``mix_position`` replaces a column of that name;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,17 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bloomdedup, chosenpath, gumbel_pieces, lang_crf, pfair
-from marlstone.llm.common import table, written
+from marlstone.llm.common import table, unused, written
 
 #: A document of which no language holds this share of its letters is rejected.
 LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = lang_crf.train(docs)
-    judged = lang_crf.identify(docs, model, keep=tuple(docs.columns))
-    kept = judged.filter((F.col("lang_pred") != lang_crf.UND) & (F.col("score") >= LEAST_SHARE))
-    return kept.select(*docs.columns)
+    lang, score = unused(docs.columns, "lang_pred", "score")
+    judged = lang_crf.identify(docs, lang_crf.train(docs), keep=tuple(docs.columns), lang_as=lang, score_as=score)
+    kept = judged.filter((F.col(lang) != lang_crf.UND) & (F.col(score) >= LEAST_SHARE))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pfair.mix(docs).drop("mix_slot", "mix_block")
+    slot, block = unused(docs.columns, "mix_slot", "mix_block")
+    return pfair.mix(docs, names=(slot, block, "mix_position")).drop(slot, block)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ letters at either end), its letter n-grams (two and three), the word itself
 (lexicon feature) and its shape, all hashed into ``2**LOG2_FEATURES`` slots.
 
 Training data: labelled rows chosen by a hash of their id, about
-``SAMPLE_PER_LANG`` rows a language (the documented bound of what is fitted on).
-Their texts are cut into runs of words, and runs of different languages are
+``SAMPLE_PER_LANG`` rows a language, of each the first ``SAMPLE_CHARS`` characters
+(the documented bound of what is fitted on; prediction reads whole texts). Their texts are cut into runs of words, and runs of different languages are
 strung together, so that transitions are learned from switches whose places are
 known. Parameters are fitted by AdaGrad on the CRF's log-likelihood, in numpy.
 
@@ -21,27 +21,33 @@ once: words are cut into segments whose transfer matrices are multiplied
 along, the segments' products are chained per text, and the messages inside the
 segments follow; the result is exact for texts of any length.
 
-Cases: null, empty and letterless texts get ``und`` and score 0; rows without a
-language aren't trained on; repeated rows each give their row; an empty table
-gives an empty result; no labelled row at all is an error; other columns are
-ignored.
+Cases: null, empty and letterless texts (numerals aren't letters) get ``und`` and
+score 0; rows without a language or a text aren't trained on; without any labelled
+row every text gets ``und`` and score 0; more than ``MAX_LANGS`` languages are an
+error; ties go to the smaller name; repeated rows each give their row; an empty
+table gives an empty result; texts of any length are read whole; columns that
+aren't kept are ignored, kept ones may have any name but those of the result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import text_slices
 
 LOG2_FEATURES = 16
 SAMPLE_PER_LANG = 300
-MAX_LANGS = 64
+SAMPLE_CHARS = 40_000
+MAX_LANGS = 256
+CHUNK_CHARS = 1_500_000
 RUN_WORDS = (5, 16)
 SEQUENCE_WORDS = 128
 EPOCHS = 4
@@ -49,7 +55,25 @@ SEGMENT = 64
 RESCALE = 8  # words between two scalings of the messages; doubles hold eight words' range
 UND = "und"
 
-WORD = re.compile(r"[^\W\d_]+")
+
+def _not_letters() -> str:
+    """The numerals among word characters that aren't letters, as ranges of a character class."""
+    at = [i for i in range(0x80, sys.maxunicode + 1) if (c := chr(i)).isalnum() and not c.isalpha()]
+    starts = [i for i, before in zip(at, [-2, *at], strict=False) if i != before + 1]
+    ends = [i for i, after in zip(at, [*at[1:], -2], strict=False) if i != after - 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+#: Runs of letters (Unicode category L).
+WORD = re.compile(rf"[^\W\d_{_not_letters()}]+")
+#: The same where a text has no numeral that is neither a digit nor a letter, and quicker.
+_PLAIN, _NUMERAL = re.compile(r"[^\W\d_]+"), re.compile(f"[{_not_letters()}]")
+
+
+def words(text: str | None) -> list[str]:
+    """A text's words in lower case."""
+    t = (text or "").lower()
+    return _PLAIN.findall(t) if t.isascii() or not _NUMERAL.search(t) else WORD.findall(t)
 
 
 NONE = 1 << LOG2_FEATURES  # the slot whose weight stays zero
@@ -178,22 +202,22 @@ def _sequences(texts: list[str], labels: np.ndarray, rng: np.random.Generator):
     """Word and label sequences of about ``SEQUENCE_WORDS``: runs of whole sample texts strung together, so languages switch."""
     runs = []
     for text, y in zip(texts, labels, strict=True):
-        words = WORD.findall(text.lower())
+        own = words(text)
         i = 0
-        while i < len(words):
+        while i < len(own):
             n = int(rng.integers(*RUN_WORDS)) * (8 if rng.random() < 0.5 else 1)
-            runs.append((words[i : i + n], y))
+            runs.append((own[i : i + n], y))
             i += n
     order = rng.permutation(len(runs))
-    words, ys = [], []
+    seq, ys = [], []
     for r in order:
-        words += runs[r][0]
+        seq += runs[r][0]
         ys += [runs[r][1]] * len(runs[r][0])
-        if len(words) >= SEQUENCE_WORDS:
-            yield words, ys
-            words, ys = [], []
-    if words:
-        yield words, ys
+        if len(seq) >= SEQUENCE_WORDS:
+            yield seq, ys
+            seq, ys = [], []
+    if seq:
+        yield seq, ys
 
 
 def fit(texts: list[str], langs: list[str], *, epochs: int = EPOCHS, rate: float = 0.4, seed: int = 5, batch: int = 64) -> Model:
@@ -208,16 +232,16 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = EPOCHS, rate: float
         todo = list(_sequences(texts, y, rng))
         for at in range(0, len(todo), batch):
             part = todo[at : at + batch]
-            words = [w for ws, _ in part for w in ws]
-            gold = np.fromiter((v for _, vs in part for v in vs), "i8", len(words))
-            first = np.zeros(len(words), bool)
+            flat = [w for ws, _ in part for w in ws]
+            gold = np.fromiter((v for _, vs in part for v in vs), "i8", len(flat))
+            first = np.zeros(len(flat), bool)
             first[np.cumsum([0] + [len(ws) for ws, _ in part[:-1]])] = True
-            codes, vocab = pd.factorize(np.array(words, object))
+            codes, vocab = pd.factorize(np.array(flat, object))
             fixed, grams, begins = slots(list(vocab))
             emit = _emissions(weight, fixed, grams, begins)[codes]
             post = forward_backward(emit, first, trans, start)
             diff = -post
-            diff[np.arange(len(words)), gold] += 1
+            diff[np.arange(len(flat)), gold] += 1
             by_word = np.stack([np.bincount(codes, diff[:, j], len(vocab)) for j in range(k)], axis=1)
             by_letter = np.repeat(by_word, np.diff(np.append(begins, len(grams))), axis=0)
             where = np.concatenate([fixed.T.ravel(), grams.T.ravel()])
@@ -259,7 +283,7 @@ def _pair_posteriors(emit, first, trans, start, post):
 
 def label_words(model: Model, texts: list[str | None]):
     """Per text: its words, and an array of posteriors (words x langs)."""
-    lists = [WORD.findall(t.lower()) if t else [] for t in texts]
+    lists = [words(t) for t in texts]
     return lists, _posteriors(model, lists)[0]
 
 
@@ -278,7 +302,9 @@ def _posteriors(model: Model, lists: list[list[str]]) -> tuple[np.ndarray, np.nd
 
 
 def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    lists = [WORD.findall(t.lower()) if t else [] for t in texts]
+    if not model.langs:
+        return [UND] * len(texts), [0.0] * len(texts)
+    lists = [words(t) for t in texts]
     post, weight = _posteriors(model, lists)
     lens = np.fromiter(map(len, lists), "i8", len(lists))
     doc = np.repeat(np.arange(len(lists)), lens)
@@ -291,36 +317,40 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], lis
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Fit on about ``per_lang`` rows of each language, those with the smallest hash of the id."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()
-    if not counts or len(counts) > MAX_LANGS:
-        raise ValueError(f"{len(counts)} languages in the labelled rows; 1 to {MAX_LANGS} are supported")
+    i, t, y = (F.col(f"`{c}`") for c in (id_col, text_col, lang_col))
+    rows = labelled.select(i.alias("i"), t.cast("string").alias("t"), y.cast("string").alias("l")).filter("l is not null and t is not null")
+    counts = rows.groupBy("l").count().limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages in the labelled rows")
+    if not counts:
+        return Model([], np.zeros((NONE + 1, 0), "f4"), np.zeros((0, 0)), np.zeros(0))
     span = 1 << 30
-    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(span))
-    share = F.coalesce(*[F.when(F.col(lang_col) == r[0], F.lit(min(span, int(span * per_lang / r["count"]) + 1))) for r in counts])
-    sample = rows.filter(h < share).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
-    sample.sort(key=lambda r: (str(r["i"]), r["t"]))
-    return fit([r["t"] for r in sample], [r["l"] for r in sample])
+    h = F.pmod(F.xxhash64("i", F.lit(17)), F.lit(span))
+    share = F.coalesce(*[F.when(F.col("l") == r["l"], F.lit(min(span, int(span * per_lang / r["count"]) + 1))) for r in counts])
+    sample = rows.filter(h < share).select("i", F.substring("t", 1, SAMPLE_CHARS).alias("t"), "l").collect()
+    sample.sort(key=lambda r: (str(r["i"]), r["t"], r["l"]))
+    return fit([r["t"] for r in sample], [r["l"] for r in sample]) if any(WORD.search(r["t"]) for r in sample) else Model([], np.zeros((NONE + 1, 0), "f4"), np.zeros((0, 0)), np.zeros(0))
 
 
-def identify(df: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, ``lang_pred`` and ``score`` of each row."""
+def identify(df: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """The ``keep`` columns, and each row's predicted language and score under the names asked for."""
     kept = [f for f in df.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
+    text = next((f"c{i}" for i, f in enumerate(kept) if f.name == text_col and f.dataType.simpleString() == "string"), "t")
+    names = [f"c{i}" for i in range(len(kept))]
+    cols = [F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names, strict=True)]
+    if text == "t":
+        cols.append(F.col(f"`{text_col}`").cast("string").alias("t"))
+    schema = "".join(f"{n} {f.dataType.simpleString()}, " for f, n in zip(kept, names, strict=True)) + "lang string, score double"
     shared = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size
-    names = [f.name for f in kept]
 
     def run(batches):
         m = shared.value
-        for pdf in batches:
-            texts = pdf["__text"].tolist()
-            for a, b in text_chunks(texts):
-                lang, score = predict_texts(m, texts[a:b])
-                out = pdf[names].iloc[a:b].copy()
-                out["lang_pred"], out["score"] = lang, score
-                yield out
-
-    return df.select(*[F.col(f"`{n}`") for n in names], F.col(text_col).cast("string").alias("__text")).mapInPandas(run, schema)
+        for batch in batches:
+            for rows, texts in text_slices(batch, text, CHUNK_CHARS):
+                lang, score = predict_texts(m, texts)
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang", "score"])
+
+    return df.select(*cols).mapInArrow(run, schema).toDF(*[f.name for f in kept], lang_as, score_as)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

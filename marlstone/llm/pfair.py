@@ -21,8 +21,9 @@ a source; these are broadcast up to ``BROADCAST_BLOCKS`` in all, and joined on
 Cases: a null source is a source of its own; a null id is placed by its hash
 like any other; a source without a weight gets ``default_weight``; a weight that
 is negative or not finite is an error; repeated rows and ties of the hash order
-are told apart by their number; an empty table gives an empty result; other
-columns are carried along.
+are told apart by their number; texts of any length are carried; an empty table
+gives an empty result; other columns are carried along, whatever their names, but
+for those of the results (mix_slot, mix_block, mix_position), which are replaced.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ BLOCK_ROWS = 16
 PIECE = 1024
 BROADCAST_BLOCKS = 2_000_000
 MAX_SOURCES = 4096
+TASK_ROWS = 100_000
 NO_SOURCE = "\0null"
+RESULTS = ("mix_slot", "mix_block", "mix_position")
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -130,18 +133,22 @@ def tempered(counts: dict[str, int], temperature: float) -> dict[str, float]:
 
 def mix(
     df: DataFrame, weights: dict[str, float] | None = None, *, source_col: str = "source", id_col: str = "doc_id", temperature: float = 0.5, default_weight: float = 1.0,
-    period: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = 7,
+    period: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = 7, names: tuple[str, str, str] = RESULTS,
 ) -> DataFrame:
-    """``df`` with ``mix_slot``, ``mix_block`` and ``mix_position``; sorting by the last gives the mixture.
+    """``df`` with ``mix_slot``, ``mix_block`` and ``mix_position`` (or ``names``); sorting by the last gives the mixture.
 
     Ranks within a source come from hash buckets: a bucket's rows are numbered in
     one task, and the counts of the buckets before it are added. A source of any
-    size is so dealt out over four buckets a shuffle partition."""
+    size is so dealt out over four buckets for each ``TASK_ROWS`` rows."""
     spark = df.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    keyed = df.withColumns({"__src": src, "__h": h, "__bucket": F.pmod(h, F.lit(buckets))})
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many buckets as rows call for, so that a task's share doesn't grow with the table
+    rows = df.count()
+    parts = max(parts, -(-rows // TASK_ROWS))
+    buckets = 4 * parts
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+    keyed = df.select(own.alias("row"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NO_SOURCE)).alias("__src"), F.col(f"`{id_col}`").alias("__id"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("__h"))
+    keyed = keyed.withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
     cells = keyed.groupBy("__src", "__bucket").agg(F.count(F.lit(1)).alias("__cell"))
     per = cells.groupBy("__src").agg(F.sum("__cell").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
@@ -153,12 +160,16 @@ def mix(
 
     before = cells.withColumn("__before", F.sum("__cell").over(Window.partitionBy("__src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("__src", "__bucket", F.coalesce("__before", F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__src", "__bucket").orderBy("__h", id_col))
+    if len(counts) * buckets <= BROADCAST_BLOCKS:
+        before = F.broadcast(before)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        keyed = keyed.repartition(parts, "__src", "__bucket")
+    rank = F.row_number().over(Window.partitionBy("__src", "__bucket").orderBy("__h", "__id"))
     ranked = keyed.withColumn("__rank", rank).join(before, ["__src", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__before") - 1)
     placed = ranked.withColumn("mix_block", F.expr(f"__rank div {block_rows}")).withColumn("__piece", F.expr(f"mix_block div {PIECE}")).join(slots, ["__src", "__piece"])
     slot = F.expr(f"__slots[cast(mix_block % {PIECE} as int)]")
     placed = placed.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_rows + F.pmod("__rank", F.lit(block_rows)))
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("mix_slot", "mix_block", "mix_position")], "mix_slot", "mix_block", "mix_position")
+    return placed.select("row.*", *[F.col(r).alias(n) for r, n in zip(RESULTS, names, strict=True)])
 
 
 def mixed_order(df: DataFrame, **how) -> DataFrame:
