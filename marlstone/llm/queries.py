@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomdedup, chosenpath, gumbel_pieces, lang_crf, pathratio, pfair, pll, quotes, secret_markov, vafile
+from . import bloomdedup, chosenpath, gumbel_pieces, lang_crf, pathratio, pfair, pivotgrams, pll, pqmine, quotes, secret_markov, vafile
 from .common import table
 
 
@@ -56,12 +56,22 @@ def op10_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotgrams.phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_pq_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return pqmine.mined(vectors, vectors.filter("vec_id % 100 = 0"), label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_crf_language_id, op2_markov_secret_scan, op3_masked_pll_score, op4_pfair_mix, op5_va_topk, op6_chosen_path_join, op7_bloom_exact_dedup,
-            op8_tag_path_extract, op9_gumbel_pieces, op10_quote_linking,
+            op8_tag_path_extract, op9_gumbel_pieces, op10_quote_linking, op12_pivot_collocations, op13_pq_hard_negatives,
         )
     }
 
@@ -85,6 +95,40 @@ ORACLE_SQL = {
                row_number() over (partition by h order by doc_id nulls last) = 1 as kept, h as text_sha256
         from d
     """,
+    "op12_pivot_collocations": r"""
+        with recursive t as (
+            select row_number() over () as i, coalesce(lang, 'und') as lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents
+        ), pc as (select lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) as x from t),
+        ws as (select lang, regexp_extract_all(x, '[^\x20\x09]+') as w from pc),
+        tot as (select lang, sum(len(w))::bigint as n from ws group by lang),
+        g as (select lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') for i in range(1, len(w) - m + 2)]) as p from ws, (select unnest([1, 2, 3, 4, 5]) as m)),
+        f as (select lang, m, p, count(*) as a from g group by all having count(*) >= 100),
+        c as (select *, string_split(p, ' ') as w from f where m > 1),
+        longer as (select lang, unnest([array_to_string(w[1:m - 1], ' '), array_to_string(w[2:m], ' ')]) as p, a as b from c where m > 2),
+        kept as (select c.* from c left join (select lang, p, max(b) as b from longer group by all) x using (lang, p) where b is null or b < a),
+        cut as (select lang, p, a, w, m, unnest(range(1, m)) as k from kept),
+        s as (
+            select cut.lang, cut.p, cut.a, k, x.a as l, y.a as r, n, ((1000::hugeint * cut.a * n) // (x.a::hugeint * y.a))::bigint as score
+            from cut join f x on x.lang = cut.lang and x.p = array_to_string(cut.w[1:k], ' ') join f y on y.lang = cut.lang and y.p = array_to_string(cut.w[k + 1:cut.m], ' ') join tot on tot.lang = cut.lang
+        ), b as (select * from s qualify row_number() over (partition by lang, p order by score, k) = 1)
+        select * from (select lang, row_number() over (partition by lang order by score desc, a desc, p) as rank, p as phrase, a, l, r, n, score from b) where rank <= 2000
+    """,
+    "op13_pq_hard_negatives": """
+        with v as (
+            select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end) as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+            where embedding is not null and label is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.e, c.e)::bigint as score
+            from v a join v c on a.vec_id <> c.vec_id and len(a.e) = len(c.e) where a.vec_id % 100 = 0
+        ), p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+        n as (
+            select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id)::int as rank,
+                   s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+            from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score
+        )
+        select * from n where rank <= 5
+    """,
 }
 
 
