@@ -232,7 +232,7 @@ def frequent(df: DataFrame, words: DataFrame, least: int, *, text_col: str = "te
 def phrases(df: DataFrame, *, least: int = 100, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` collocations by score, then count, then the phrase's bytes."""
     mark = made()
-    counted = written(word_counts(df, least, text_col=text_col, lang_col=lang_col), "words", 1)
+    counted = written(word_counts(df, least, text_col=text_col, lang_col=lang_col), "words")
     words = counted.filter("word is not null")
     found = written(frequent(df, words, least, text_col=text_col, lang_col=lang_col), "phrases")
     part = lambda a, b: F.array_join(F.slice("w", a, b), " ")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomdedup, chosenpath, gumbel_pieces, lang_crf, pathratio, pfair, pivotgrams, pll, pqmine, quotes, secret_markov, vafile
+from . import bloomdedup, chosenpath, gumbel_pieces, lang_crf, pathratio, pfair, pivotgrams, pll, pqmine, quotes, secret_markov, toxicity, vafile
 from .common import table
 
 
@@ -56,6 +56,12 @@ def op10_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", toxicity.held_out())
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    return toxicity.judged(docs, toxicity.train(docs.filter("not held_out"), labels), keep=("doc_id", "held_out"))
+
+
 def op12_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotgrams.phrases(table(spark, sf_dir, "documents"))
 
@@ -71,12 +77,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_crf_language_id, op2_markov_secret_scan, op3_masked_pll_score, op4_pfair_mix, op5_va_topk, op6_chosen_path_join, op7_bloom_exact_dedup,
-            op8_tag_path_extract, op9_gumbel_pieces, op10_quote_linking, op12_pivot_collocations, op13_pq_hard_negatives,
+            op8_tag_path_extract, op9_gumbel_pieces, op10_quote_linking, op11_counterfactual_toxicity, op12_pivot_collocations, op13_pq_hard_negatives,
         )
     }
 
 
-#: op1, op3, op8 and op9 are learned, parsed or sampled in Python, op2 has a trained model, op4 simulates a
+#: op1, op3, op8, op9 and op11 are learned, parsed or sampled in Python, op2 has a trained model, op4 simulates a
 #: schedule, op6 joins on shingles and op10 follows replies: they are tested against brute force instead.
 ORACLE_SQL = {
     "op5_va_topk": """
