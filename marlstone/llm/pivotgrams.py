@@ -193,7 +193,7 @@ def mined(table: pa.Table, least: int) -> pa.RecordBatch:
 
     def grown(rows: np.ndarray, ids: np.ndarray, word: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         _, first, inverse = np.unique(ids * many + word, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, n[rows], len(first)).astype("i8")
+        total = sum(np.bincount(inverse, part, len(first)).astype("i8") << shift for part, shift in ((n[rows] & 0x3FFFFFF, 0), (n[rows] >> 26, 26)))  # in halves, as bincount adds doubles
         for f in np.flatnonzero(total >= least).tolist():
             r = rows[first[f]]
             if i + j:

@@ -1,9 +1,10 @@
 """Hard negatives by product quantisation with stored residual norms.
 
-Each pair of components is coded by the nearest of 256 centroids, learned from a
-bounded sample (``SAMPLE`` vectors, drawn by hash); every row is coded and keeps the
-norm of what its code leaves over. A lookup table of an anchor's products with the
-centroids gives each row's approximate score, and the anchor's norm times the row's
+Each pair of components is coded by the nearest of 256 centroids, and what that leaves
+over by the nearest of another 256 (``LEVELS``); centroids are learned from a bounded
+sample (``SAMPLE`` vectors, drawn by hash). Every row is coded and keeps the norm of
+what its codes leave over. Lookup tables of an anchor's products with the
+centroids give each row's approximate score, and the anchor's norm times the row's
 residual norm bounds the error (Cauchy-Schwarz), so a candidate is left out only if
 it can't belong to the result. Exact integer products of the rest complete each
 anchor's positives and then each positive's window of negatives.
@@ -35,36 +36,45 @@ from pyspark.sql.window import Window
 from .common import forget, made, written
 from .vafile import scaled, usable
 
-#: Vectors of each length from which centroids are learned, centroids of a subspace, and its width.
-SAMPLE, CENTROIDS, WIDTH, ROUNDS = 8192, 256, 2, 8
+#: Vectors of each length from which centroids are learned, centroids of a subspace and level, its width, levels, rounds of k-means.
+SAMPLE, CENTROIDS, WIDTH, LEVELS, ROUNDS = 4096, 256, 2, 2, 8
 #: Rows of a block; its codes are held in memory. Smaller tables are dealt into blocks of ``LEAST_BLOCK`` to use all cores.
 BLOCK, LEAST_BLOCK = 65536, 2048
 #: Anchors that are scored at a time: 64 x 65,536 scores of four bytes are 16 MB.
 ANCHORS_AT_ONCE = 64
 SALTS = 64
 
-Book = dict[int, np.ndarray]
-
-
-def learned(sample: np.ndarray, centroids: int = CENTROIDS, width: int = WIDTH, rounds: int = ROUNDS) -> np.ndarray:
-    """(subspaces, centroids, width): k-means of each subspace from evenly spread starting rows."""
-    n, dim = sample.shape
-    parts = -(-dim // width)
-    x = np.zeros((n, parts * width))
-    x[:, :dim] = sample
-    x = x.reshape(n, parts, width)
-    k = min(centroids, n)
-    book = np.zeros((parts, k, width))
-    for s in range(parts):
-        rows = x[:, s]
-        c = rows[np.argsort(np.arctan2(rows[:, -1], rows[:, 0]), kind="stable")[np.linspace(0, n - 1, k).astype(int)]].copy()
-        for _ in range(rounds):
-            near = nearest(rows, c)
-            size = np.bincount(near, minlength=k)
-            for j in range(width):
-                c[:, j] = np.where(size > 0, np.bincount(near, rows[:, j], k) / np.maximum(size, 1), c[:, j])
-        book[s] = c
-    return book
+#: By length of vectors: for each level the centroids, (subspaces, centroids, width).
+Books = dict[int, list[np.ndarray]]
+
+
+def _parts(x: np.ndarray, width: int) -> np.ndarray:
+    """(rows, subspaces, width), with zeros after the last component."""
+    parts = -(-x.shape[1] // width)
+    out = np.zeros((len(x), parts * width))
+    out[:, : x.shape[1]] = x
+    return out.reshape(len(x), parts, width)
+
+
+def learned(sample: np.ndarray, centroids: int = CENTROIDS, width: int = WIDTH, levels: int = LEVELS, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """For each level (subspaces, centroids, width): k-means of each subspace, from evenly spread starting rows."""
+    x = _parts(sample, width)
+    n, k = len(x), min(centroids, len(x))
+    out = []
+    for _ in range(levels):
+        book = np.zeros((x.shape[1], k, width))
+        for s in range(x.shape[1]):
+            rows = x[:, s]
+            c = rows[np.argsort(np.arctan2(rows[:, -1], rows[:, 0]), kind="stable")[np.linspace(0, n - 1, k).astype(int)]].copy()
+            for _ in range(rounds):
+                near = nearest(rows, c)
+                size = np.bincount(near, minlength=k)
+                for j in range(width):
+                    c[:, j] = np.where(size > 0, np.bincount(near, rows[:, j], k) / np.maximum(size, 1), c[:, j])
+            book[s] = c
+        out.append(book)
+        x = x - book[np.arange(x.shape[1]), _codes(x, book)]
+    return out
 
 
 def nearest(rows: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -72,26 +82,26 @@ def nearest(rows: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(rows[a : a + 4096] @ c.T - half, axis=1) for a in range(0, len(rows), 4096)]) if len(rows) else np.zeros(0, int)
 
 
-def coded(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x subspaces) codes and the residuals' norms, rounded up."""
-    parts, _, width = book.shape
-    y = np.zeros((len(x), parts * width))
-    y[:, : x.shape[1]] = x
-    y = y.reshape(len(x), parts, width)
-    code = np.stack([nearest(y[:, s], book[s]) for s in range(parts)], axis=1).astype("u1") if parts else np.zeros((len(x), 0), "u1")
-    left = y - book[np.arange(parts), code]
-    return code, np.sqrt((left * left).sum(axis=(1, 2))) * (1 + 1e-9)
+def _codes(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return np.stack([nearest(x[:, s], book[s]) for s in range(x.shape[1])], axis=1)
+
+
+def coded(x: np.ndarray, books: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x subspaces of all levels) codes and the residuals' norms, rounded up."""
+    left = _parts(x, books[0].shape[2])
+    out = []
+    for book in books:
+        out.append(_codes(left, book))
+        left = left - book[np.arange(left.shape[1]), out[-1]]
+    return np.concatenate(out, axis=1).astype("u1"), np.sqrt((left * left).sum(axis=(1, 2))) * (1 + 1e-9)
 
 
-def looked_up(q: np.ndarray, code: np.ndarray, book: np.ndarray) -> np.ndarray:
+def looked_up(q: np.ndarray, code: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
     """(anchors x rows) approximate scores, from tables of each anchor's products with the centroids."""
-    parts, _, width = book.shape
-    y = np.zeros((len(q), parts * width))
-    y[:, : q.shape[1]] = q
-    tables = np.einsum("qsw,skw->sqk", y.reshape(len(q), parts, width), book)
+    tables = np.concatenate([np.einsum("qsw,skw->sqk", _parts(q, books[0].shape[2]), book) for book in books])
     out = np.zeros((len(q), len(code)))
-    for s in range(parts):
-        out += tables[s][:, code[:, s]]
+    for s, table in enumerate(tables):
+        out += table[:, code[:, s]]
     return out
 
 
@@ -123,7 +133,7 @@ def _vectors(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
 
 
-def codebooks(rows: DataFrame) -> Book:
+def codebooks(rows: DataFrame) -> Books:
     """By length: the centroids, learned from ``SAMPLE`` rows at most, which come to the driver."""
     draw = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id", "v")))
     spread = F.pmod(F.xxhash64("id", "v", F.lit(7)), F.lit(SALTS))
@@ -135,7 +145,7 @@ def codebooks(rows: DataFrame) -> Book:
     return {d: learned(np.array(v, "f8").reshape(len(v), d)) for d, v in by.items() if d}
 
 
-def encoded(rows: DataFrame, books: Book) -> DataFrame:
+def encoded(rows: DataFrame, books: Books) -> DataFrame:
     """(id, label, dim, code, norm), written to the shared folder."""
     shared = rows.sparkSession.sparkContext.broadcast(books)  # 256 centroids a subspace
 
@@ -155,7 +165,7 @@ _SCAN = "cb int, tag int, id long, an long, label long, dim int, code binary, no
 _FOUND = "an long, anchor_id long, place int, id long, lower double, upper double"
 
 
-def scanned(codes: DataFrame, anchors: DataFrame, books: Book, blocks: int, same: bool, share: int, k: int) -> DataFrame:
+def scanned(codes: DataFrame, anchors: DataFrame, books: Books, blocks: int, same: bool, share: int, k: int) -> DataFrame:
     """(an, anchor_id, place, id, lower, upper): what may be among each anchor's positives, or in the window of its positive ``place``."""
     spark = codes.sparkSession
     shared = spark.sparkContext.broadcast(books)

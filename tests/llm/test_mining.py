@@ -51,7 +51,8 @@ def texts(seed, n):
     words = ["a", "b", "c", "Dog", "é", "É", "the", "of", "x'y", "long-word"]
     p = np.array([9, 7, 5, 3, 2, 1, 6, 6, 1, 1]) / 41
     sep = [" ", " ", " ", " ", "\t", "  ", ". ", ",", "\n", " ! "]
-    return [(i, "".join(x + str(y) for x, y in zip(rng.choice(words, k := int(rng.integers(0, 60)), p=p), rng.choice(sep, k), strict=True)), [None, "en", "de"][i % 3]) for i in range(n)]
+    one = lambda k: "".join(x + str(y) for x, y in zip(rng.choice(words, k, p=p), rng.choice(sep, k), strict=True))
+    return [(i, one(int(rng.integers(0, 60))), [None, "en", "de"][i % 3]) for i in range(n)]
 
 
 @pytest.mark.parametrize("hot", [1 << 17, 5])
@@ -128,11 +129,12 @@ def test_negatives_are_those_of_brute_force(spark, monkeypatch, block):
 def test_bounds_hold():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(600, 7)) * 256
-    book = pqmine.learned(x[:300], centroids=16)
-    code, norm = pqmine.coded(x, book)
+    books = pqmine.learned(x[:300], centroids=16)
+    code, norm = pqmine.coded(x, books)
     q = x[:40]
-    mid, half = pqmine.looked_up(q, code, book), pqmine.slack(q, norm)
+    mid, half = pqmine.looked_up(q, code, books), pqmine.slack(q, norm)
     assert (np.abs(mid - q @ x.T) <= half).all()
+    assert (pqmine.coded(x, books[:1])[1] > 2 * norm).mean() > 0.9
 
 
 # --- toxicity
