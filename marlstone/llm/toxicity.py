@@ -18,7 +18,7 @@ then by name where a place tells the labels apart, and the ``FEATURES`` best one
 kept. Only these features of each text come to the driver, as numbers.
 Scoring is one pass over whole texts without a shuffle.
 
-Cases: null and empty texts, and texts without a word, have the score of the bias alone; rows
+Cases: null and empty texts, and texts without a word, hold nothing toxic: score 0; rows
 without an id, a label or a text aren't learned from; without labelled rows of both
 kinds every score is 0; a text with as many toxic as clean labels is clean; repeated
 rows each give their row; sentences longer than ``WORDS`` words are cut; an empty table
@@ -45,7 +45,7 @@ MOST_ROWS, FEATURES = 40_000, 8192
 LOG2_PLACES, LEAST_GAIN = 18, 8.0
 WORDS, CHUNK_CHARS = 64, 2_000_000
 THRESHOLD = 0.3
-PENALTY, STEPS, RATE, DECAY, BATCH = 1.0, 3000, 0.5, 1e-5, 256
+PENALTY, STEPS, RATE, DECAY, BATCH = 10.0, 3000, 0.5, 1e-5, 256
 #: Terms that name groups; those of a list may stand for each other.
 IDENTITY: tuple[tuple[str, ...], ...] = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant"),
@@ -288,11 +288,12 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
     if not np.isfinite(model.bias):
         return np.zeros(len(texts))
     codes, words, sentence, of_text = sentences(texts)
-    z = np.zeros(len(texts))
-    if len(codes):
-        s, f = hits(codes, words, sentence, model.number)
-        z = np.bincount(of_text[s], model.weight[f], len(texts)) / np.sqrt(np.maximum(np.bincount(of_text[sentence], minlength=len(texts)), 1))
-    return 1 / (1 + np.exp(-np.clip(z + model.bias, -500, 500)))
+    if not len(codes):
+        return np.zeros(len(texts))
+    s, f = hits(codes, words, sentence, model.number)
+    many = np.bincount(of_text[sentence], minlength=len(texts))
+    z = np.bincount(of_text[s], model.weight[f], len(texts)) / np.sqrt(np.maximum(many, 1)) + model.bias
+    return np.where(many > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
 
 
 def judged(df: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, score_as: str = "score", predicted_as: str = "predicted") -> DataFrame:

@@ -150,13 +150,13 @@ def test_toxicity_held_out(spark):
 
 
 def biased(rng):
-    """Texts in which toxic ones name one group more often, labelled by insults alone."""
+    """Texts in which toxic ones name one group more often, and insults are known for most of them."""
     plain = [f"word{i}" for i in range(60)]
     rows = []
     for i in range(600):
         toxic = i % 3 == 0
         w = list(rng.choice(plain, 8))
-        if toxic:
+        if toxic and rng.random() < 0.8:
             w[0] = str(rng.choice(["awful", "vile", "rotten"]))
         if rng.random() < (0.6 if toxic else 0.02):
             w[1] = "muslims"
@@ -171,7 +171,7 @@ def test_swaps_take_the_weight_off_identity_terms(spark):
     df = docs(spark, [(i, t, "en") for i, t, _ in rows])
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     neutral = ["my word1 word2 muslims word4", "muslims word7 word8"]
-    with_, without = (toxicity.train(df, labels, penalty=p) for p in (20.0, 0.0))
+    with_, without = (toxicity.train(df, labels, penalty=p) for p in (toxicity.PENALTY, 0.0))
     say = lambda m, t: toxicity.scores(m, t)
     assert max(say(with_, neutral)) < 0.3 < min(say(without, neutral))
     change = lambda m: abs(np.subtract(*say(m, ["word1 muslims word2", "word1 hindus word2"])))
@@ -205,7 +205,7 @@ def test_toxicity_cases(spark):
     out = toxicity.judged(df, model).collect()
     by = {r["doc_id"]: r["predicted"] for r in out}
     assert len(out) == len(rows) and by[1] == 1 and by[2] == 0 and by[None] == 1 and by[4] == 0
-    assert {r["score"] for r in out if r["doc_id"] in (3, 4, 5)} == {float(1 / (1 + np.exp(-model.bias)))}
+    assert {r["score"] for r in out if r["doc_id"] in (3, 4, 5)} == {0.0}
     none = toxicity.train(df, labels.limit(0))
     assert {(r["score"], r["predicted"]) for r in toxicity.judged(df, none).collect()} == {(0.0, 0)}
     assert toxicity.judged(df.limit(0), toxicity.train(df.limit(0), labels)).count() == 0
