@@ -35,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,8 +204,19 @@ def selected(sample: DataFrame, ones: int, zeros: int, identity: tuple[tuple[str
     return sorted({x for _, x in best} | set(terms))
 
 
-def bags(sample: DataFrame, names: list[str], identity: tuple[tuple[str, ...], ...]) -> list[dict]:
-    """For each text: label, number of words, features by sentence, and for each swap of identity terms the sentence's words, own and other features."""
+@dataclass
+class Bags:
+    """The labelled texts as numbers: label, words, number of features (by sentence) of each text, all features end to end, and by text its swaps."""
+
+    y: np.ndarray
+    words: np.ndarray
+    size: np.ndarray
+    flat: np.ndarray
+    swaps: dict[int, list[dict]]
+
+
+def bags(sample: DataFrame, names: list[str], identity: tuple[tuple[str, ...], ...]) -> Bags:
+    """Features of each text, and for each swap of identity terms the sentence's words, own and other features."""
     shared = sample.sparkSession.sparkContext.broadcast((names, identity))  # some thousand names
     schema = "h long, y int, words long, f array<int>, swaps array<struct<words: int, own: array<int>, other: array<int>>>"
 
@@ -233,21 +245,23 @@ def bags(sample: DataFrame, names: list[str], identity: tuple[tuple[str, ...], .
                     ["h", "y", "words", "f", "swaps"],
                 )
 
-    return sample.select("h", "y", "text").mapInArrow(run, schema).toArrow().sort_by("h").to_pylist()
+    got = sample.select("h", "y", "text").mapInArrow(run, schema).toArrow().sort_by("h")
+    size = pc.list_value_length(got.column("f")).to_numpy()
+    swapped = np.flatnonzero(pc.list_value_length(got.column("swaps")).to_numpy())
+    swaps = dict(zip(swapped.tolist(), got.column("swaps").take(pa.array(swapped)).to_pylist(), strict=True))
+    return Bags(got.column("y").to_numpy(), got.column("words").to_numpy(), size.astype("i8"), pc.list_flatten(got.column("f")).to_numpy(), swaps)
 
 
-def fit(rows: list[dict], n: int, *, penalty: float = PENALTY, steps: int = STEPS, rate: float = RATE, seed: int = 3) -> tuple[np.ndarray, float]:
+def fit(bag: Bags, n: int, *, penalty: float = PENALTY, steps: int = STEPS, rate: float = RATE, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights of the features and the bias, by AdaGrad on the likelihood and the counterfactual penalty."""
     w, b = np.zeros(n), -2.0
     gw, gb = np.full(n, 1e-3), 1e-3
     rng = np.random.default_rng(seed)
-    y = np.array([r["y"] for r in rows], "f8")
-    size = np.array([len(r["f"]) for r in rows])
-    flat = np.fromiter((x for r in rows for x in r["f"]), "i8", int(size.sum()))
-    begin = np.cumsum(size) - size
-    scale = 1 / np.sqrt(np.maximum([r["words"] for r in rows], 1))
-    for _ in range(-(-steps * BATCH // len(rows))):  # times over all rows
-        order = rng.permutation(len(rows))
+    rows, size, flat = len(bag.y), bag.size, bag.flat
+    y, begin = bag.y.astype("f8"), np.cumsum(size) - size
+    scale = 1 / np.sqrt(np.maximum(bag.words, 1))
+    for _ in range(-(-steps * BATCH // rows)):  # times over all rows
+        order = rng.permutation(rows)
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
             k = size[part]
@@ -256,8 +270,8 @@ def fit(rows: list[dict], n: int, *, penalty: float = PENALTY, steps: int = STEP
             z = np.bincount(doc, w[f], len(part)) * scale[part] + b
             d = y[part] - 1 / (1 + np.exp(-z))
             dw, db = np.bincount(f, (d * scale[part])[doc], n), d.mean()
-            for i in part:
-                for x in rows[i]["swaps"]:
+            for i in part.tolist():
+                for x in bag.swaps.get(i, ()):
                     own, other = np.array(x["own"], "i8"), np.array(x["other"], "i8")
                     change = 2 * penalty * (w[own].sum() - w[other].sum()) / x["words"]
                     np.add.at(dw, own, -change)
