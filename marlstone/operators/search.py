@@ -1,80 +1,138 @@
 """Full-text and hybrid search over a written index.
 
 ``build`` cuts the fields of a table into words once and writes postings (field,
-term, id, tf, dl), dealt by a hash of the term into ``buckets`` folders, and each
-field's statistics. A query reads only its terms' folders, so its cost follows the
-postings of its terms, not the corpus. A frequent term's postings are spread over
-several files by a hash of the id.
+term, id, row, positions, dl), dealt by a hash of the term into ``buckets`` folders, and
+the fields' lengths by document. A query reads only its terms' folders, so its cost
+follows the postings of its terms, not the corpus. A frequent term's postings are
+spread over several files by a hash of the id.
+
+An index grows by segments: ``append`` writes the postings of new documents only, and
+notes which ids they replace; ``merged`` writes the live postings of all segments as
+one. ``opened`` keeps a folder's index for the session, until its files change.
 
 Scores are BM25 with the usual constants; a document's score is that of its best
-field, each field weighed by its boost. Ties go to the smaller id.
+field, each field weighed by its boost. A phrase is found where its words' positions
+follow each other. Ties go to the smaller id.
 
 Cases: null fields have no words; terms that occur nowhere score nothing; a query
-without a term gives an empty result; a null id is left out; repeated ids count as
-one document per field with the words of all its rows; an empty table gives an
-empty index; other columns are ignored.
+without a term gives an empty result; a null id is left out; rows of a repeated id are
+scored by themselves and their scores added, and phrases don't run from row to row;
+repeated ids of an appended segment replace all rows that had them before; an empty
+table gives an empty index; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import operator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..sources.shared import shared_dir, table_path
+from ..sources.shared import deleted, kept, table_path
 from .retrieval import K1, RRF_K, B, cosine
 
 # The fields' weights in the two kinds of search, and limits.
 DISCOVERY = {"title": 8.0, "topic_aliases_text": 7.0, "keywords": 5.0, "abstract": 3.0, "content": 1.0}
 PASSAGE = {"title": 5.0, "abstract": 2.0, "content": 1.0}
 BUCKETS, SALTS = 64, 4
+TITLE_PHRASE = 5
 
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame
-    stats: dict[str, tuple[int, float]]  # field: documents, mean length
+    spark: SparkSession
+    path: str
     id_col: str
+    kind: str  # the id's type
+    buckets: int
+    segments: int
+    stats: dict[str, tuple[int, float]]  # field: documents, mean length
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        if self.segments < 2:
+            return rows
+        gone = self.spark.read.schema(f"id {self.kind}, before int").parquet(f"{self.path}/gone").groupBy("id").agg(F.max("before").alias("before"))
+        return rows.join(gone, "id", "left").filter("before is null or segment >= before").drop("before")
+
+    @property
+    def stored(self) -> DataFrame:
+        return self.spark.read.schema(f"field string, id {self.kind}, row long, dl int, term string, tf long, positions array<int>, segment int, bucket int").parquet(f"{self.path}/postings")
+
+    @property
+    def postings(self) -> DataFrame:
+        """The postings of documents that no later segment replaces."""
+        return self._live(self.stored)
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """The terms' postings, from their folders only."""
+        rows = [(t,) for t in terms] or [("",)]
+        wanted = [r[0] for r in self.spark.createDataFrame(rows, "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.buckets)).cast("int")).distinct().collect()]
+        return self._live(self.stored.filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms or [""])))
+
+    def lengths(self) -> DataFrame:
+        """(field, id, row, dl) of the live documents."""
+        return self._live(self.spark.read.schema(f"field string, id {self.kind}, row long, dl int, segment int").parquet(f"{self.path}/lengths"))
+
+
+def _measured(index: Index) -> Index:
+    sums = index.lengths().groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).collect()
+    return replace(index, stats={r["field"]: (r["n"], r["mean"]) for r in sums})
+
+
+def _dealt(rows: DataFrame, target: str) -> None:
+    """Write postings by bucket: one shuffle, no group larger than a bucket's salt."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "term").drop("salt").write.partitionBy("bucket").parquet(target)
+
+
+def _segment(index: Index, df: DataFrame, fields: dict[str, Column]) -> Index:
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    parts = [rows.select(F.lit(n).alias("field"), F.col(f"`{index.id_col}`").alias("id"), F.col("__row").alias("row"), T.words(F.coalesce(c.cast("string"), F.lit(""))).alias("w")) for n, c in fields.items()]
+    words = functools.reduce(DataFrame.unionByName, parts).filter("id is not null").withColumn("dl", F.size("w"))
+    each = words.select("field", "id", "row", "dl", F.posexplode("w").alias("at", "term")).groupBy("field", "id", "row", "dl", "term")
+    found = each.agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+    _dealt(found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int")), f"{index.path}/postings/segment={index.segments}")
+    words.select("field", "id", "row", "dl").write.parquet(f"{index.path}/lengths/segment={index.segments}")
+    return _measured(replace(index, segments=index.segments + 1))
 
 
 def build(df: DataFrame, fields: dict[str, Column], *, id_col: str = "doc_id", buckets: int = BUCKETS) -> Index:
-    """Write an index of the ``fields`` of ``df``: one shuffle by bucket, no group larger than a bucket's salt."""
-    spark = df.sparkSession
-    path = table_path(spark, "index")
-    parts = [df.select(F.lit(n).alias("field"), F.col(id_col).alias("id"), T.words(F.coalesce(c.cast("string"), F.lit(""))).alias("w")) for n, c in fields.items()]
-    words = functools.reduce(DataFrame.unionByName, parts).filter("id is not null")
-    each = words.select("field", "id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("field", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    each = each.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS))})
-    each.repartition("bucket", "salt").sortWithinPartitions("bucket", "term").drop("salt").write.partitionBy("bucket").parquet(path)
-    sums = words.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).collect()
-    kind = df.schema[id_col].dataType.simpleString()
-    postings = spark.read.schema(f"field string, id {kind}, dl int, term string, tf long, bucket int").parquet(path)
-    return Index(postings, {r["field"]: (r["n"], r["mean"]) for r in sums}, id_col)
-
-
-@functools.lru_cache(maxsize=8)
+    """Write an index of the ``fields`` of ``df``."""
+    return _segment(Index(df.sparkSession, table_path(df.sparkSession, "index"), id_col, df.schema[id_col].dataType.simpleString(), buckets, 0, {}), df, fields)
+
+
+def append(index: Index, df: DataFrame, fields: dict[str, Column]) -> Index:
+    """The index with a segment of ``df``'s documents; those it holds under the same ids are replaced."""
+    ids = df.select(F.col(f"`{index.id_col}`").alias("id"), F.lit(index.segments).alias("before")).filter("id is not null").distinct()
+    ids.write.mode("append").parquet(f"{index.path}/gone")
+    return _segment(index, df, fields)
+
+
+def merged(index: Index) -> Index:
+    """A new index of one segment that holds the live postings; no text is read again."""
+    new = replace(index, path=table_path(index.spark, "index"), segments=1)
+    _dealt(index.postings.drop("segment"), f"{new.path}/postings/segment=0")
+    index.lengths().drop("segment").write.parquet(f"{new.path}/lengths/segment=0")
+    return _measured(new)
+
+
 def opened(spark: SparkSession, sf_dir: str, *, buckets: int = BUCKETS) -> Index:
-    """The index of a folder's documents, built once a session: as content the text, as title its first ten words, as keywords the source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The index of a folder's documents, kept for the session: as content the text, as title its first ten words, as keywords the source."""
+    path = f"{sf_dir}/documents.parquet"
     fields = {"title": F.substring_index("text", " ", 10), "keywords": F.col("source"), "content": F.col("text")}
-    return build(docs, fields, buckets=buckets)
+    return kept(spark, f"index {buckets}", path, lambda: build(spark.read.parquet(path), fields, buckets=buckets), lambda old: deleted(spark, old.path))
 
 
 def bm25(index: Index, query: str | list[str], *, boosts: dict[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of every document that holds a term of the query in one of the fields."""
     boosts = boosts or dict.fromkeys(index.stats, 1.0)
     terms = sorted(set(query.lower().split() if isinstance(query, str) else query))
-    spark = index.postings.sparkSession
     fields = [f for f in boosts if f in index.stats]
-    n_buckets = BUCKETS
-    rows = [(t,) for t in terms] or [("",)]
-    wanted = [r[0] for r in spark.createDataFrame(rows, "t string").select(F.pmod(F.xxhash64("t"), F.lit(n_buckets)).cast("int")).distinct().collect()]
-    hits = index.postings.filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms or [""]) & F.col("field").isin(fields or [""]))
+    hits = index.of(terms).filter(F.col("field").isin(fields or [""])).select("field", "id", "dl", "term", "tf")
     df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))  # a row a field and term
     per = {f: index.stats[f] for f in fields}
     of = lambda i: functools.reduce(lambda c, f: F.when(F.col("field") == f, F.lit(float((per[f][0], per[f][1] or 1.0, boosts[f])[i]))).otherwise(c), per, F.lit(1.0))
@@ -85,6 +143,25 @@ def bm25(index: Index, query: str | list[str], *, boosts: dict[str, float] | Non
     return by_field.groupBy("id").agg(F.max("score").alias("score")).withColumnRenamed("id", index.id_col)
 
 
+def phrase(index: Index, said: str | list[str], *, field: str = "content") -> DataFrame:
+    """(id, hits): documents that hold the words one after the other in a field, and how often. One shuffle of the words' postings."""
+    words = [w.lower() for w in (said.split() if isinstance(said, str) else said)]
+    terms = sorted(set(words))
+    rows = index.of(terms).filter(F.col("field") == field).groupBy("id", "row").agg(F.collect_list(F.struct("term", "positions")).alias("l")).filter(F.size("l") == len(terms))  # a row a term
+    at = lambda t: F.get(F.filter("l", lambda x: x["term"] == t), F.lit(0))["positions"]
+    starts = [(lambda i: F.transform(at(words[i]), lambda p: p - i))(i) for i in range(len(words))]
+    both = functools.reduce(F.array_intersect, starts) if starts else F.array().cast("array<int>")
+    found = rows.groupBy("id").agg(F.sum(F.size(both)).alias("hits")).filter("hits > 0")
+    return found.withColumnRenamed("id", index.id_col)
+
+
+def named(index: Index, said: str, *, fields: dict[str, int] | None = None, size: int = 10) -> DataFrame:
+    """(id, score): documents in whose fields the phrase stands, by the fields' points (a title phrase counts five times)."""
+    points = fields or {"title": TITLE_PHRASE, "keywords": 1}
+    parts = [phrase(index, said, field=f).select(index.id_col, F.lit(p).alias("score")) for f, p in points.items()]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy(index.id_col).agg(F.sum("score").alias("score")).orderBy(F.desc("score"), index.id_col).limit(max(1, min(20, size)))
+
+
 def best_chunk(hits: DataFrame, *, id_col: str = "doc_id", chunk: str = "chunk_index") -> DataFrame:
     """Of each document the chunk with the highest score; ties to the earlier chunk."""
     rest = [c for c in hits.columns if c != id_col]
