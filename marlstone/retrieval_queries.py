@@ -1,4 +1,4 @@
-"""Queries of vector, phrase, name and set search over the supplied tables, with their SQL where SQL can express it."""
+"""Queries of vector, phrase, name and set search and of streams over the supplied tables, with their SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from .functions import text as T
 from .operators import clusters, mentions, neighbours, setjoin, vectors
 from .operators import memory as ME
 from .operators import search as S
-from .queries import query
-from .sources.shared import deleted, kept
+from .queries import DAY, EV, SQL, query
+from .sources.growing import growing_lines
+from .sources.shared import deleted, kept, table_path
 from .sources.tables import read
+from .streaming import logs, sessions, state
 
 _PAIRS = """v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
     p as (select a.vec_id as query_id, b.vec_id as example_id, b.label, round(list_cosine_similarity(a.e, b.e), 9) as score from v a join v b on a.vec_id <> b.vec_id),
@@ -157,3 +159,47 @@ def title_matches(spark, d):
     names = docs.select(F.array_sort(words("text", 10)).alias("t")).filter("size(t) > 0").select(F.array_join("t", " ").alias("name"), "t").distinct()
     asks = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("ask"), words("text", 8).alias("q")).unionByName(read(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("ask"), words("text", 10).alias("q")))
     return setjoin.lexical_match(asks, names, query="ask", name="name", query_tokens=F.col("q"), name_tokens=F.col("t"))
+
+
+# --- streams
+
+
+@query(SQL["rate_limit_anchored"])
+def stream_rate_limit(spark, d):
+    """The batch limiter's answers from a stream with state and timers."""
+    return logs.drained(state.rate_limited(logs.stream(spark, d), key="user_id", limit=3, window_us=2 * DAY), "append")
+
+
+@query(f"select user_id, event_id, us, state from ({SQL['breaker_states']})")
+def stream_breaker(spark, d):
+    return logs.drained(state.breaker(logs.stream(spark, d), F.col("event_type") == "error", key="user_id", failures=2, cool_us=DAY), "append")
+
+
+@query(f"select user_id, event_id, us, admitted from ({SQL['budget_admission']})")
+def stream_budget(spark, d):
+    """One window over all days, as in the batch query."""
+    return logs.drained(state.budget(logs.stream(spark, d), F.col("value"), key="user_id", ceiling=500.0, window_us=3650 * DAY), "append")
+
+
+@query("select event_id, epoch_us(ts) as us from events")
+def stream_fifo(spark, d):
+    return logs.drained(state.first_of_last(logs.stream(spark, d), "event_id"), "append")
+
+
+@query(f"with {EV}, n as (select user_id, us, case when us - lag(us) over w <= {DAY} then 0 else 1 end as new from ev window w as (partition by user_id order by us)), r as (select *, sum(new) over (partition by user_id order by us rows unbounded preceding) as run from n) select user_id, min(us) as start_us, max(us) + {DAY} as end_us, count(*) as n from r group by user_id, run")
+def stream_sessions(spark, d):
+    """Sessions of a day's gap over the rows that a stream kept as on time."""
+    rows = logs.stream(spark, d).select("event_id", "user_id", "ts")
+    into = sessions.kept(rows)
+    sessions.split_late(rows, into, delay_us=DAY, checkpoint=table_path(spark, "checkpoint")).awaitTermination()
+    return into.sessions("user_id", "1 day").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("select event_id, strlen(event_id || '|' || event_type || '|' || replace(props, chr(10), ' '))::int as bytes from events where event_type is not null and props is not null")
+def stream_lines(spark, d):
+    """Events as lines of text files, read by byte cursor."""
+    path = table_path(spark, "lines")
+    e = read(spark, d, "events").filter("event_type is not null and props is not null")
+    e.select(F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.regexp_replace("props", "\n", " "))).write.text(path)
+    out = logs.drained(growing_lines(spark, path, suffix=".txt"), "append")
+    return out.select(F.substring_index("line", "|", 1).cast("long").alias("event_id"), F.octet_length("line").alias("bytes"))
