@@ -75,10 +75,18 @@ class _Fold(StatefulProcessor):
 
 def _folded(rows: DataFrame, key: str, start: tuple, step: Callable, over: Callable, schema: str, reads: list[str], answer: str, kind: str, late: str, extra: dict[str, Column] | None = None) -> DataFrame:
     stateful(rows.sparkSession)
-    shown = rows.select(key, "event_id", "ts", F.unix_micros("ts").alias("us"), *[c.alias(n) for n, c in (extra or {}).items()]).withWatermark("ts", late)
-    keep = [key, "event_id", "us"]
-    types = ", ".join(f"{c} {shown.schema[c].dataType.simpleString()}" for c in keep)
-    return shown.groupBy(key).transformWithStateInPandas(_Fold(start, step, over, schema, reads, answer, keep), f"{types}, {answer} {kind}", "Append", "EventTime")
+    shown = rows.select(_marked(key).alias("k"), _marked("event_id").alias("e"), "event_id", "ts", F.unix_micros("ts").alias("us"), *[c.alias(n) for n, c in (extra or {}).items()]).withWatermark("ts", late)
+    out = shown.groupBy("k").transformWithStateInPandas(_Fold(start, step, over, schema, reads, answer, ["k", "e", "us"]), f"k string, e string, us long, {answer} {kind}", "Append", "EventTime")
+    return out.select(_plain("k", rows, key).alias(key), _plain("e", rows, "event_id").alias("event_id"), "us", answer)
+
+
+def _marked(column: str) -> Column:
+    """A column as text that is never null, so that null is a key like others and no number passes through pandas as a float."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def _plain(marked: str, rows: DataFrame, column: str) -> Column:
+    return F.when(F.col(marked) != "", F.expr(f"substring({marked}, 2)")).cast(rows.schema[column].dataType)
 
 
 def rate_limited(rows: DataFrame, *, key: str, limit: int, window_us: int, late: str = "1 hour") -> DataFrame:
@@ -124,14 +132,14 @@ def budget(rows: DataFrame, cost: Column, *, key: str, ceiling: float, window_us
 class _Fifo(StatefulProcessor):
     """The last ``most`` keys of a shard, in the order in which they came first."""
 
-    def __init__(self, most: int, key: str, keep: list[str]):
-        self.most, self.key, self.keep = most, key, keep
+    def __init__(self, most: int):
+        self.most = most
 
     def init(self, handle) -> None:
         self.seen = handle.getListState("seen", "k string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", self.key], kind="stable")
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "k"], kind="stable")
         seen = OrderedDict((x[0], None) for x in self.seen.get()) if self.seen.exists() else OrderedDict()
         new = []
         for k in pdf["k"].tolist():
@@ -141,7 +149,7 @@ class _Fifo(StatefulProcessor):
                 if len(seen) > self.most:
                     seen.popitem(last=False)
         self.seen.put([(k,) for k in seen])
-        yield pdf.loc[new, self.keep]
+        yield pdf.loc[new, ["k", "us"]]
 
     def close(self) -> None:
         pass
@@ -150,7 +158,6 @@ class _Fifo(StatefulProcessor):
 def first_of_last(rows: DataFrame, key: str, *, most: int = MOST, shards: int = SHARDS) -> DataFrame:
     """(key, us): rows whose key isn't among the ``most / shards`` keys that its shard took in last; a key's shard is a hash of it."""
     stateful(rows.sparkSession)
-    shown = rows.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), key, F.unix_micros("ts").alias("us"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"))
-    keep = [key, "us"]
-    types = ", ".join(f"{c} {shown.schema[c].dataType.simpleString()}" for c in keep)
-    return shown.groupBy("shard").transformWithStateInPandas(_Fifo(max(1, most // shards), key, keep), types, "Append", "None")
+    shown = rows.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), _marked(key).alias("k"), F.unix_micros("ts").alias("us"))
+    out = shown.groupBy("shard").transformWithStateInPandas(_Fifo(max(1, most // shards)), "k string, us long", "Append", "None")
+    return out.select(_plain("k", rows, key).alias(key), "us")
