@@ -9,10 +9,12 @@ nodes above it are content. The smallest element that holds all content is the
 article; its blocks are returned, headings and short paragraphs with them, as
 these are content by place though not by length.
 
-Tags and names are priors, and the weights have the last word. Elements that seldom
-hold an article (menus, forms, page headers and footers, asides, and those whose
-class, id or role says so) are left out, unless one that is so by its name only holds
-half of the page's weight (``MOST_CLEARED`` of these, one in another, at most). Main and article elements are taken whole where they hold half of
+Tags and names are priors, and the weights have the last word. Menus, page headers and
+footers and readers' comments are never part of the article, whatever their weight.
+Other elements that seldom hold one (those whose class, id or role says so) are left
+out unless they hold half of the weight of what is left; a form, aside or dialog is
+the page's wrapper only if it also holds a main, article or h1 element, or nine tenths
+of the weight. Main and article elements are taken whole where they hold half of
 the weight that is left; then a content node counts for the outermost of these that
 it lies in. A teaser beside a longer text is so not taken for the page's article.
 
@@ -21,9 +23,9 @@ going back, a path is a number that is given once to each (parent's path, tag),
 sums go up the tree once.
 
 Cases: null html counts as empty and gives an empty text; unclosed, crossed and
-truncated tags are closed as they can be (an end tag looks for its start among the
-``LOOK_BACK`` innermost elements of its block); a tag that the page's end cuts off
-is dropped; pages without any tag are one block; very long and deeply nested pages
+truncated tags are closed as they can be (an end tag closes the innermost open element
+of its name; that of an inline element only within its block); a tag that the page's
+end cuts off is dropped; pages without any tag are one block; very long and deeply nested pages
 are read whole; of equal weights all are kept; repeated rows each give their row;
 other columns are ignored; an empty table gives an empty result.
 """
@@ -60,7 +62,10 @@ MARKED = frozenset(
 #: First parts that only say what is elsewhere on the page, as in has-sidebar.
 ABOUT = frozenset("has with no without is show hide".split())
 INSIDE = frozenset("article main".split())
-BY_TAG = NEVER | {"header", "footer"}
+#: Elements that may wrap a whole page, and parts of names that mark readers' comments.
+WRAPPERS = frozenset("form aside dialog".split())
+FIXED = (NEVER | {"header", "footer"}) - WRAPPERS
+COMMENTS = frozenset("comment comments commentlist disqus respond responses replies reply".split())
 
 #: A tag; nothing in it goes back, so a broken one costs one look ahead.
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
@@ -68,9 +73,7 @@ ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 PUNCT = re.compile(r"[.,;:!?…。、！？，；]")
 DEVIATIONS = 0.25
-HALF = 0.5
-LOOK_BACK = 64
-MOST_CLEARED = 32
+HALF, NEARLY_ALL = 0.5, 0.9
 CHUNK_CHARS = 4_000_000
 P_STOPS = frozenset("table td th li div section article main blockquote body".split())
 ITEM_STOPS = frozenset("ul ol dl table menu".split())
@@ -78,11 +81,11 @@ ITEMS = {"li": 0, "dd": 1, "dt": 1, "tr": 2, "td": 3, "th": 3}
 
 
 class _Element:
-    """An open or closed element. ``out``: it, or an element above, seldom holds an article; ``seldom`` is the outermost of these.
+    """An open or closed element. ``own``: it seldom holds an article; ``never``: it, or an element above, never does; ``heads``: it is or holds a main, article or h1.
 
-    ``p`` and ``items`` count the open paragraphs and items that a start tag could close."""
+    ``p`` and ``items`` count the open paragraphs and items that a start tag could close, ``depth`` the elements above."""
 
-    __slots__ = ("items", "link", "named", "own", "p", "path", "seldom", "tag", "up", "within")
+    __slots__ = ("depth", "heads", "items", "link", "named", "never", "out", "own", "p", "path", "tag", "up", "weight", "within")
 
     def __init__(self, tag: str, up: _Element | None, attrs: str, paths: dict) -> None:
         self.tag, self.up = tag, up
@@ -95,14 +98,20 @@ class _Element:
         if tag in ITEMS:
             items = tuple(n + (i == ITEMS[tag]) for i, n in enumerate(items))
         self.items = items
-        self.own = tag in NEVER or tag in ("header", "footer") and not self.within or tag == "footer" or self._says(attrs)
-        self.seldom = (up.seldom if up else None) or (self if self.own else None)
+        said = self._says(attrs)
+        self.own = tag in NEVER or tag in ("header", "footer") and not self.within or tag == "footer" or bool(said)
+        self.never = bool(up and up.never) or self.own and tag in FIXED or said == COMMENTS
+        self.heads, self.weight, self.out, self.depth = tag in INSIDE or tag == "h1", 0.0, False, up.depth + 1 if up else 0
 
-    def _says(self, attrs: str) -> bool:
+    def _says(self, attrs: str) -> bool | frozenset:
+        """Whether the attributes say that this isn't the article; ``COMMENTS`` if they say that it is readers' comments."""
         if not attrs or self.tag in ("html", "body", "main"):
             return False
         tokens = " ".join("".join(m[1:]) for m in ATTR.findall(attrs)).lower().split()
-        return bool(HIDDEN.search(attrs)) or any(_marks(t, self.tag, self.within) for t in tokens)
+        said = [t for t in tokens if _marks(t, self.tag, self.within)]
+        if any(COMMENTS & set(re.split(r"[-_]+", t)) for t in said):
+            return COMMENTS
+        return bool(said) or bool(HIDDEN.search(attrs))
 
 
 def _marks(token: str, tag: str, within: bool) -> bool:
@@ -119,6 +128,8 @@ def _nodes(page: str) -> tuple[list[_Element], list[tuple[_Element, int, str]]]:
     paths: dict = {}
     root = cur = _Element("", None, "", paths)
     elements = [root]
+    opened: dict[str, list[_Element]] = defaultdict(list)  # the open elements of each tag
+    blocks: list[_Element] = []  # the open block elements
     block, at, n = 0, 0, len(page)
     out: list[tuple[_Element, int, str]] = []
     endless: set[str] = set()  # raw elements that have no end from here on
@@ -127,6 +138,17 @@ def _nodes(page: str) -> tuple[list[_Element], list[tuple[_Element, int, str]]]:
         if text:
             out.append((cur, block, _html.unescape(text) if "&" in text else text))
 
+    def closed(upto: _Element) -> _Element:
+        """Close all from the innermost element to this one; each is closed once."""
+        e = cur
+        while True:
+            opened[e.tag].pop()
+            if e.tag in BLOCK:
+                blocks.pop()
+            if e is upto:
+                return e.up
+            e = e.up
+
     begun = 0  # of the text that isn't added yet
     while at < n:
         lt = page.find("<", at)
@@ -150,11 +172,8 @@ def _nodes(page: str) -> tuple[list[_Element], list[tuple[_Element, int, str]]]:
         tag = m[2].lower()
         if m[1]:
             block += tag in BLOCK
-            e, left = cur, LOOK_BACK
-            while e is not root and e.tag != tag and left and not (tag not in BLOCK and e.tag in BLOCK):
-                e, left = e.up, left - 1
-            if e is not root and e.tag == tag:
-                cur = e.up
+            if opened[tag] and (tag in BLOCK or not blocks or blocks[-1].depth < opened[tag][-1].depth):
+                cur = closed(opened[tag][-1])
             continue
         if tag in RAW:
             end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -177,9 +196,12 @@ def _nodes(page: str) -> tuple[list[_Element], list[tuple[_Element, int, str]]]:
             while e is not root and e.tag not in ends and e.tag not in (ITEM_STOPS if tag in ITEMS else P_STOPS):
                 e = e.up
             if e is not root and e.tag in ends:
-                cur = e.up
+                cur = closed(e)
         cur = _Element(tag, cur, m[3], paths)
         elements.append(cur)
+        opened[tag].append(cur)
+        if tag in BLOCK:
+            blocks.append(cur)
     add(page[begun:])
     return elements, out
 
@@ -208,23 +230,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     elements, found = _nodes(page)
-    real = [x for x in found if x[2].strip()]
+    real = [x for x in found if x[2].strip() and not x[0].never]
     if not real:
         return ""
-    # an element left out by name that holds half of all weight is the article's after all; inner ones are judged again
-    cleared: set[int] = set()
-    weights = _weighed(real)
-    for _ in range(MOST_CLEARED):
-        held: dict[int, float] = defaultdict(float)
-        for (e, _, _), w in zip(real, weights, strict=True):
-            if e.seldom is not None and e.seldom.tag not in BY_TAG:
-                held[id(e.seldom)] += w
-        most = max(held, key=held.__getitem__, default=None)
-        if most is None or held[most] < HALF * sum(weights) or held[most] == 0:
-            break
-        cleared.add(most)
-        _judge_again(elements, cleared)
-    real = [x for x in real if x[0].seldom is None]
+    _judge(elements, real)
+    real = [x for x in real if not x[0].out]
     if not real:
         return ""
     weights = _weighed(real)
@@ -241,15 +251,23 @@ def main_text(page: str | None) -> str:
             inside.add(id(e))
     blocks: dict[int, list[str]] = {}
     for e, b, t in found:
-        if e.seldom is None and (id(e) in inside or named and e.named):
+        if not e.out and (id(e) in inside or named and e.named):
             blocks.setdefault(b, []).append(t)
     return "\n\n".join(x for x in (" ".join("".join(p).split()) for p in blocks.values()) if x)
 
 
-def _judge_again(elements: list[_Element], cleared: set[int]) -> None:
-    """Below cleared elements only inner ones that say so themselves are seldom."""
+def _judge(elements: list[_Element], real: list[tuple[_Element, int, str]]) -> None:
+    """Set ``out``: below an element that never holds the article, or that seldom does and doesn't hold enough of the weight that is left."""
+    for (e, _, _), w in zip(real, _weighed(real), strict=True):
+        e.weight += w
+    for e in reversed(elements):  # those below come first
+        if e.up is not None:
+            e.up.weight += e.weight
+            e.up.heads |= e.heads and not e.never
+    total = elements[0].weight
     for e in elements:
-        e.seldom = (e.up.seldom if e.up else None) or (e if e.own and id(e) not in cleared else None)
+        enough = e.weight >= HALF * total and e.weight > 0 and (e.tag not in WRAPPERS or e.heads or e.weight >= NEARLY_ALL * total)
+        e.out = bool(e.up and e.up.out) or e.never or e.own and not enough
 
 
 def _holder(elements: list[_Element], chosen: list[_Element], named: bool) -> _Element:

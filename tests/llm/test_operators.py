@@ -576,6 +576,41 @@ def test_main_text_weights_overrule_names():
     assert deep.count("The report") == 10 and "Share" not in deep and "2020" not in deep
 
 
+LONG_COMMENTS = "<p>I read this, twice, and liked it; thanks, to all of you, for it.</p>" * 30
+
+
+@pytest.mark.parametrize("name", ["id='comments'", "class='comments'", "class='comment-list wide'", "id=disqus_thread"])
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article>{ARTICLE}</article><div %s>{LONG_COMMENTS}</div>", f"<article>{ARTICLE}<div %s>{LONG_COMMENTS}</div></article>", f"<div class=wrap><div class=story>{ARTICLE}</div><div %s>{LONG_COMMENTS}</div></div>",
+        f"<div class='widget box'><div class=story>{ARTICLE}</div><div %s><form>{LONG_COMMENTS}</form></div></div>",
+    ],
+)
+def test_comments_are_left_out_whatever_their_weight(body, name):
+    assert pathratio.main_text(PAGE % (body % name)) == WANT
+
+
+@pytest.mark.parametrize("wrap", ["<form id=aspnetForm>%s</form>", "<aside>%s</aside>", "<form><div class='widget'>%s</div></form>", "<div role=dialog><aside>%s</aside></div>"])
+def test_wrapped_pages_are_not_empty(wrap):
+    for body in (f"<article>{ARTICLE}</article>", f"<div class=story>{ARTICLE}</div>"):
+        assert pathratio.main_text(f"<html><body>{wrap % body}</body></html>") == WANT
+        assert pathratio.main_text(wrap % (PAGE % body)) == WANT
+    search = "<form><label>Search, all of it, here:</label></form>"
+    assert pathratio.main_text(f"<html><body>{search}<div class=story>{ARTICLE}</div><aside><p>Also read, today, this.</p></aside></body></html>") == WANT
+
+
+@pytest.mark.parametrize("n", [70, 70_000])
+def test_end_tags_close_over_any_number_of_unclosed_ones(n):
+    import time
+
+    began = time.perf_counter()
+    page = f"<html><body><nav>{'<b>' * n}Home, and more, of it</nav><article>{ARTICLE}</article></body></html>"
+    assert pathratio.main_text(page) == WANT
+    assert pathratio.main_text(f"<html><body><nav>{'<i><b></i>' * n}Home, and more</nav><article>{ARTICLE}</article></body></html>") == WANT
+    assert time.perf_counter() - began < 10
+
+
 def test_main_text_takes_time_in_proportion():
     import time
 
