@@ -33,11 +33,11 @@ def _any_of(c: Column, words: tuple[str, ...]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def of_sense(heading: Column, text: Column, sense: str) -> Column:
+def of_sense(heading: Column, text: Column, sense: str, senses: dict[str, tuple] = SENSES) -> Column:
     """Rows that speak of one domain: its words in heading or text, none of the other domain's in the heading."""
-    if not sense or sense not in SENSES:
+    if not sense or sense not in senses:
         return F.lit(True)
-    barred, wanted, where = SENSES[sense]
+    barred, wanted, where = senses[sense]
     return ~_any_of(heading, barred) & _any_of(heading if where == "heading" else F.concat_ws(" ", heading, text), wanted)
 
 

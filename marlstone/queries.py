@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions import encoding
 from .functions import language as L
 from .functions import text as T
 from .functions import units
@@ -16,6 +17,7 @@ from .operators import retrieval as R
 from .operators import search as S
 from .operators.quantiles import quantiles
 from .plans import algebra as P
+from .sources.shared import kept, written
 from .sources.tables import events, read
 from .streaming import logs
 
@@ -478,6 +480,35 @@ def bm25_topk(spark, d):
 _VEC = "q as (select embedding as q from embeddings where vec_id = 0), vs as (select vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::double), list_transform(q, lambda x: x::double)), 9) as score from embeddings, q)"
 
 
+def text_vectors_sql(name: str, source: str, key: str, text: str = "text") -> str:
+    """CTE ``name`` (key, d, s): the components that aren't zero of ``encoding.encoded`` over a source's texts."""
+    return f"""{name}_c as (select {key}, list_transform(string_split(' ' || trim(regexp_replace(lower({text}), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) || ' ', ''), lambda x: unicode(x)::bigint) as c from {source} where {text} is not null),
+    {name}_g as (select {key}, unnest([(c[i] * 7919 + c[i + 1] * 104729 + c[i + 2] * 1299709) % 2147483647 for i in range(1, len(c) - 1)]) as g from {name}_c),
+    {name}_h as (select {key}, g * 48271 % 2147483647 as h from {name}_g union all select {key}, g * 69621 % 2147483647 from {name}_g),
+    {name} as (select {key}, h % 64 as d, sum(case when (h // 64) % 2 = 0 then 1 else -1 end)::double as s from {name}_h group by 1, 2)"""
+
+
+#: What the hybrid queries ask for, by its words and by the vector of its text.
+ASKED = "the license token of the source"
+_TEXT = f"""{text_vectors_sql('tv', 'documents', 'doc_id')}, {text_vectors_sql('tq', f"(select 0 as k, '{ASKED}' as text)", 'k')},
+    tn as (select doc_id, sqrt(sum(s * s)) as n from tv group by 1), qn as (select sqrt(sum(s * s)) as n from tq),
+    ts as (select doc_id, round(sum(tv.s * tq.s) / (any_value(tn.n) * (select n from qn)), 9) as score from tv join tn using (doc_id) left join tq using (d) where n > 0 group by 1)"""
+
+
+def text_table(spark, d):
+    """(doc_id, vector) of all documents' texts, written once a session."""
+    path = f"{d}/documents.parquet"
+    make = lambda: written(encoding.encoded(read(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "vector"), "textvectors")
+    return kept(spark, "text vectors", path, make)
+
+
+def _by_text(spark, d, k, allowed=None):
+    """(doc_id, score) of the ``k`` documents whose text's vector is nearest to that of what is asked."""
+    asked = encoding.encoded(spark.createDataFrame([(ASKED,)], "text string"), "text").withColumnRenamed("vector", "v")
+    rows = text_table(spark, d).filter("vector is not null").withColumnRenamed("vector", "v")
+    return S.near_chunks(rows, asked, k, id_col="doc_id", allowed=allowed, vec_col="v").withColumn("score", F.round("score", 9)).filter("score is not null")
+
+
 def _vec(spark, d, k):
     v = read(spark, d, "embeddings")
     return R.nearest(v, v.filter("vec_id = 0"), k).withColumn("score", F.round("score", 9))
@@ -488,27 +519,26 @@ def vector_topk(spark, d):
     return _vec(spark, d, 20).withColumn("score", F.round("score", 5))
 
 
-_RRF = f"""with {_BM25}, {_VEC}, a as (select doc_id, row_number() over (order by score desc, doc_id) as rank from bm qualify rank <= 20), b as (select vec_id as doc_id, row_number() over (order by score desc, vec_id) as rank from vs qualify rank <= 20),
+_RRF = f"""with {_BM25}, {_TEXT}, a as (select doc_id, row_number() over (order by score desc, doc_id) as rank from bm qualify rank <= 20), b as (select doc_id, row_number() over (order by score desc, doc_id) as rank from ts where score is not null qualify rank <= 20),
     f as (select doc_id, sum(1 / (60 + rank)) as rrf from (select * from a union all select * from b) group by 1)"""
 
 
 @query(f"{_RRF} select doc_id, round(rrf, 9) as rrf from f order by f.rrf desc, doc_id limit 10")
 def hybrid_rrf(spark, d):
-    """Documents and vectors are paired by doc_id = vec_id."""
-    a, b = R.ranked(_bm25(spark, d), "doc_id", 20), R.ranked(_vec(spark, d, 20), "vec_id", 20).withColumnRenamed("vec_id", "doc_id")
+    """By words and by the vectors of the same texts."""
+    a, b = R.ranked(_bm25(spark, d), "doc_id", 20), R.ranked(_by_text(spark, d, 20), "doc_id", 20)
     return R.fuse([a, b], "doc_id", 10).withColumn("rrf", F.round("rrf", 9))
 
 
-@query(f"""with {_BM25}, {_VEC}, ok as (select doc_id from documents where lang = 'en' and n_chars < 3000), a as (select doc_id, row_number() over (order by score desc, doc_id) as rank from bm semi join ok using (doc_id) qualify rank <= 10),
-    n as (select vec_id, score from vs semi join ok on vec_id = doc_id order by vs.score desc, vec_id limit 20), b as (select vec_id as doc_id, row_number() over (order by score desc, vec_id) as rank from n qualify rank <= 10)
+@query(f"""with {_BM25}, {_TEXT}, ok as (select doc_id from documents where lang = 'en' and n_chars < 3000), a as (select doc_id, row_number() over (order by score desc, doc_id) as rank from bm semi join ok using (doc_id) qualify rank <= 10),
+    n as (select doc_id, score from ts semi join ok using (doc_id) where score is not null order by ts.score desc, doc_id limit 20), b as (select doc_id, row_number() over (order by score desc, doc_id) as rank from n qualify rank <= 10)
     select doc_id, round(sum(1 / (60 + rank)), 9) as rrf from (select * from a union all select * from b) group by 1 order by sum(1 / (60 + rank)) desc, min(rank), doc_id limit 5""")
 def hybrid_filtered(spark, d):
-    """Attributes first, then words and vectors among what is left, fused; documents and vectors are paired by doc_id = vec_id."""
+    """Attributes first, then words and the texts' vectors among what is left, fused."""
     allowed = read(spark, d, "documents").filter("lang = 'en' and n_chars < 3000").select("doc_id")
-    v = read(spark, d, "embeddings")
-    near = S.near_chunks(v, v.filter("vec_id = 0"), 20, id_col="vec_id", allowed=allowed.withColumnRenamed("doc_id", "vec_id")).withColumn("score", F.round("score", 9))
+    near = _by_text(spark, d, 20, allowed)
     words = _bm25(spark, d).join(F.broadcast(allowed) if allowed.count() <= 100_000 else allowed, "doc_id", "left_semi")
-    both = [S.top(words, "doc_id", 10), S.top(near, "vec_id", 10).withColumnRenamed("vec_id", "doc_id")]
+    both = [S.top(words, "doc_id", 10), S.top(near, "doc_id", 10)]
     ranks = both[0].unionByName(both[1]).groupBy("doc_id").agg(F.sum(1 / (F.lit(R.RRF_K) + F.col("rank"))).alias("rrf"), F.min("rank").alias("best"))
     return ranks.orderBy(F.desc("rrf"), "best", "doc_id").limit(5).select("doc_id", F.round("rrf", 9).alias("rrf"))
 

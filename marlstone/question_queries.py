@@ -16,7 +16,7 @@ from .functions import language as L
 from .functions import structure as S
 from .functions import timeexpr as TE
 from .operators import memory as ME
-from .queries import query
+from .queries import text_vectors_sql, query
 from .sources.tables import read
 
 NOW = datetime(2026, 8, 20, 15, 0)
@@ -135,7 +135,7 @@ def shared_topics(spark, d):
     return e.select("event_id", C.shared_topic(F.col("a"), F.lit("关于神经网络的论文")).alias("topic"))
 
 
-REFS = "concat(left(text, 300), case doc_id % 3 when 0 then '\nReferences ' when 1 then ' 参考文献' else ' ' end, right(text, 400))"
+REFS = "concat(text, case doc_id % 3 when 0 then '\nReferences ' when 1 then ' 参考文献' else ' ' end, text)"
 
 
 @query(f"select doc_id, md5(regexp_extract(t, '(?is)(?:参考文献|references)\\s*(.{{1,1000}}.{{0,1000}}.{{0,500}})', 1)) as refs from (select doc_id, {REFS} as t from documents where text is not null)".replace("\\\\", "\\").replace("'\nRef", "chr(10) || 'Ref"))
@@ -151,7 +151,7 @@ def highlighted(spark, d):
 
 # --- documents' structure
 
-MARKDOWN = "concat(case doc_id % 3 when 0 then '# Abstract\n' when 1 then '## 3 Method\n\n' else '' end, replace(left(text, 4000), '. ', '.\n\n'), '\n# References\nA. B. 2020.')"
+MARKDOWN = "concat(case doc_id % 3 when 0 then '# Abstract\n' when 1 then '## 3 Method\n\n' else '' end, replace(text, '. ', '.\n\n'), '\n# References\nA. B. 2020.')"
 
 
 #: Greedy packing as a recursion: ``e`` holds parts numbered by k within a group g; r the pack that each part is in.
@@ -176,30 +176,41 @@ def chunk_structural(spark, d):
     return S.structural_chunks(docs)
 
 
-@query("""select page_id, case when trim(coalesce(html, '')) = '' then 'fail' else 'pass' end as status, case when trim(coalesce(html, '')) = '' then 0 else 1 end::int as one, case when page_id % 4 = 3 then 'too_many_empty_pages' else '' end as reasons,
-    round(1 - case when page_id % 4 = 3 then 0.167 else 0 end, 3)::double as score from pages where trim(coalesce(html, '')) <> '' and html not like '%�%'""")
+#: Pages as they are, with lost characters, and empty.
+DAMAGED = "case page_id % 5 when 1 then replace(html, 'the', '�') when 2 then '' when 3 then replace(html, 'zz', '�') else html end"
+
+
+@query(f"""with p as (select page_id, coalesce({DAMAGED}, '') as t, page_id % 4 = 3 as gap from pages), m as (select *, trim(t) = '' as none, (length(t) - length(replace(t, '�', ''))) / greatest(length(t), 1) as bad, case when trim(t) = '' then 1.0 when gap then 1 / 3 else 0 end as empty from p),
+    s as (select *, greatest(0, 1 - (none::int * 0.7 + least(0.5, empty * 0.5) + least(0.4, bad * 20)))::double as x from m)
+    select page_id, case when round_even(x, 3) >= 0.8 then 'pass' when round_even(x, 3) >= 0.55 then 'review' else 'fail' end as status,
+    array_to_string(list_filter([case when none then 'no_text' end, case when empty > 0.1 then 'too_many_empty_pages' end, case when bad > 0.01 then 'encoding_corruption' end], lambda y: y is not null), '|') as reasons, round_even(x, 3) as score from s""")
 def document_quality(spark, d):
-    p = read(spark, d, "pages").filter("trim(coalesce(html, '')) <> '' and html not like '%�%'")
-    r = p.select("page_id", S.quality_report(F.col("html"), F.expr("case when page_id % 4 = 3 then array(html, '', html) else array(html) end"), F.array("html")).alias("r"))
-    return r.select("page_id", "r.status", F.lit(1).alias("one"), F.array_join("r.reasons", "|").alias("reasons"), "r.score")
+    """All pages; a fifth lost characters, a fifth is empty, a quarter has an empty page inside."""
+    p = read(spark, d, "pages").select("page_id", F.coalesce(F.expr(DAMAGED), F.lit("")).alias("t"))
+    r = p.select("page_id", S.quality_report(F.col("t"), F.expr("case when page_id % 4 = 3 then array(t, '', t) else array(t) end"), F.array("t")).alias("r"))
+    return r.select("page_id", "r.status", F.array_join("r.reasons", "|").alias("reasons"), "r.score")
 
 
-@query(r"""with d as (select doc_id, lower(regexp_replace(substring(text, 1, 200), '[^\p{L}\p{N}_]+', '', 'g')) as own, list_transform([0, 1, 2], lambda i: lower(regexp_replace(substring(text, (i * 80 + 1)::int, 80), '[^\p{L}\p{N}_]+', '', 'g'))) as b from documents where length(text) >= 240 and doc_id % 4 = 0),
-    m as (select doc_id, list_filter([1, 2, 3], lambda i: length(b[i]) >= 12 and (contains(own, left(b[i], 80)) or contains(b[i], left(own, 80)))) as p from d) select doc_id, list_min(p)::int as page_start, list_max(p)::int as page_end from m""")
+@query(r"""with t as (select doc_id, text, greatest(ceil(length(text) / 80.0)::int, 1) as n, (length(text) // 2)::int as half from documents where text is not null),
+    d as (select doc_id, lower(regexp_replace(substring(text, half + 1, 200), '[^\p{L}\p{N}_]+', '', 'g')) as own, list_transform(range(0, n), lambda i: lower(regexp_replace(substring(text, (i * 80 + 1)::int, 80), '[^\p{L}\p{N}_]+', '', 'g'))) as b from t),
+    m as (select doc_id, list_filter(range(1, len(b) + 1), lambda i: length(b[i]) >= 12 and (contains(own, left(b[i], 80)) or contains(b[i], left(own, 80)))) as p from d) select doc_id, list_min(p)::int as page_start, list_max(p)::int as page_end from m""")
 def chunk_pages(spark, d):
-    """Pages of the first 200 characters, where each 80 characters are a page's block."""
-    docs = read(spark, d, "documents").filter("length(text) >= 240 and doc_id % 4 = 0")
-    blocks = F.expr("transform(sequence(0, 2), i -> named_struct('text', substring(text, i * 80 + 1, 80), 'page_start', i + 1, 'page_end', i + 1))")
-    return docs.select("doc_id", S.pages_of(F.substring("text", 1, 200), blocks).alias("p")).select("doc_id", "p.page_start", "p.page_end")
+    """Pages of the 200 characters after the middle of each text, where each 80 characters of the text are a page's block."""
+    docs = read(spark, d, "documents").filter("text is not null")
+    blocks = F.expr("transform(sequence(0, greatest(cast(ceil(length(text) / 80.0) as int), 1) - 1), i -> named_struct('text', substring(text, i * 80 + 1, 80), 'page_start', i + 1, 'page_end', i + 1))")
+    own = F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1, 200)")
+    return docs.select("doc_id", S.pages_of(own, blocks).alias("p")).select("doc_id", "p.page_start", "p.page_end")
 
 
 STEM = "case doc_id % 4 when 0 then concat('1-s2.0-S09521976', lpad(cast(doc_id % 26 as string), 2, '0'), '001290-main') when 1 then concat('Survey ', cast(1990 + doc_id % 30 as string)) when 2 then concat(lpad(cast(doc_id % 24 as string), 2, '0'), '10.02040v2') else concat('notes_', cast(doc_id as string)) end"
 
 
-@query(rf"""with s as (select doc_id, {STEM} as stem from documents where text is not null and doc_id % 4 < 3)
-    select doc_id, case when regexp_matches(stem, '^1-s2') then 2000 + regexp_extract(stem, '^1-s2\.0-S\d{{8}}(\d\d)', 1)::int when regexp_matches(stem, '^\d{{4}}\.') then 2000 + left(stem, 2)::int else regexp_extract(stem, '(\d{{4}})', 1)::int end::int as publication_year from s""")
+@query(rf"""with s as (select doc_id, {STEM} as stem, coalesce(text, '') as text from documents),
+    h as (select *, regexp_replace(regexp_replace(translate(stem || chr(10) || left(text, 6000), '０１２３４５６７８９', '0123456789'), '(\d)[ 　]+(\d)', '\1\2', 'g'), '(\d)[ 　]+(\d)', '\1\2', 'g') as h from s),
+    y as (select *, list_filter(regexp_extract_all(stem, '\d+'), lambda x: length(x) = 4 and left(x, 2) in ('19', '20')) as own, list_filter(list_transform(list_filter(regexp_extract_all(h, '\d+'), lambda x: length(x) = 4), lambda x: x::int), lambda x: x between 1900 and 2026) as said from h)
+    select doc_id, case when regexp_matches(stem, '^1-s2') then 2000 + regexp_extract(stem, '^1-s2\.0-S\d{{8}}(\d\d)', 1)::int when len(own) > 0 then own[1]::int when regexp_matches(stem, '^\d{{4}}\.') then 2000 + left(stem, 2)::int else said[1] end::int as publication_year from y""")
 def bibliographic_years(spark, d):
-    docs = read(spark, d, "documents").filter("text is not null and doc_id % 4 < 3").select("doc_id", F.expr(STEM).alias("stem"), "text")
+    docs = read(spark, d, "documents").select("doc_id", F.expr(STEM).alias("stem"), "text")
     return S.bibliography(docs).select("doc_id", "publication_year")
 
 
@@ -298,11 +309,17 @@ def clause_roles(spark, d):
     return out.select("event_id", "role", F.when(F.col("role") == "main", F.size("times")).alias("times"))
 
 
-@query("""with p as (select user_id, event_id, event_type as t, value / 50 as sim, lag(event_id) over w is null or event_type = 'error' or value / 50 < 0.5 as cut from events window w as (partition by user_id order by event_id)),
-    r as (select *, sum(cut::int) over (partition by user_id order by event_id rows unbounded preceding) as run from p) select user_id, min(event_id) as event_id, string_agg(case when t = 'error' then '疫情期间' else t end, '，' order by event_id) as text from r group by user_id, run""")
+_SAID = "case when event_type = 'error' then '疫情期间' when event_id % 3 = 0 then concat('the ', event_type, ' of the last week') else concat('the ', event_type, ' of this week') end"
+
+
+@query(f"""with e as (select user_id, event_id, {_SAID} as t from events), k as (select distinct t from e), {text_vectors_sql('tv', 'k', 't', 't')}, n as (select t, sqrt(sum(s * s)) as n from tv group by 1),
+    c as (select a.t, b.t as u, round(coalesce(sum(x.s * y.s), 0) / (any_value(a.n) * any_value(b.n)), 9) as sim from n a cross join n b left join tv x on x.t = a.t left join tv y on y.t = b.t and y.d = x.d group by 1, 2),
+    l as (select *, lag(t) over (partition by user_id order by event_id) as u from e), p as (select l.*, l.u is null or l.t = '疫情期间' or c.sim < 0.5 as cut from l left join c on c.t = l.t and c.u = l.u),
+    r as (select *, sum(cut::int) over (partition by user_id order by event_id rows unbounded preceding) as run from p) select user_id, min(event_id) as event_id, string_agg(t, '，' order by event_id) as text from r group by user_id, run""")
 def clauses_rejoined(spark, d):
-    e = read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "疫情期间").otherwise(F.col("event_type")).alias("text"), F.lit("mark").alias("edge"), (F.col("value") / 50).alias("similarity"))
-    return CL.rejoined(e, query="user_id", place="event_id")
+    """Clauses joined where the vectors of their own texts are alike."""
+    e = read(spark, d, "events").select("user_id", "event_id", F.expr(_SAID).alias("text"), F.lit("mark").alias("edge"))
+    return CL.rejoined(CL.with_similarity(e, query="user_id", place="event_id"), query="user_id", place="event_id")
 
 
 @query("""select event_type as text, arg_max(user_id::varchar, (value, user_id::varchar)) as intent from events where value >= 40 and event_id % 3 = 0 group by 1 having event_type not in ('view')""")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import encoding
 from .functions import text as T
 from .operators import clusters, mentions, neighbours, setjoin, vectors
 from .operators import memory as ME
 from .operators import search as S
-from .queries import DAY, EV, SQL, query
+from .queries import DAY, EV, SQL, query, text_table, text_vectors_sql
 from .sources.growing import growing_lines
 from .sources.shared import deleted, kept, table_path
 from .sources.tables import read
@@ -80,17 +79,10 @@ def category_clusters(spark, d):
 
 # --- text vectors
 
-#: The SQL of ``encoding.encoded``: (id, d, s) of the components that aren't zero.
-TEXT_VECTORS = """c as (select doc_id, list_transform(string_split(' ' || trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) || ' ', ''), lambda x: unicode(x)::bigint) as c from documents where text is not null),
-    g as (select doc_id, unnest([(c[i] * 7919 + c[i + 1] * 104729 + c[i + 2] * 1299709) % 2147483647 for i in range(1, len(c) - 1)]) as g from c),
-    h as (select doc_id, g * 48271 % 2147483647 as h from g union all select doc_id, g * 69621 % 2147483647 from g),
-    tv as (select doc_id, h % 64 as d, sum(case when (h // 64) % 2 = 0 then 1 else -1 end)::double as s from h group by 1, 2)"""
-
-
-@query(f"with {TEXT_VECTORS} select doc_id, sum(s * s)::bigint as square, md5(string_agg(d || ':' || s::bigint, ',' order by d)) as digest from tv where s <> 0 group by 1")
+@query(f"with {text_vectors_sql('tv', 'documents', 'doc_id')} select doc_id, sum(s * s)::bigint as square, md5(string_agg(d || ':' || s::bigint, ',' order by d)) as digest from tv where s <> 0 group by 1")
 def text_vectors(spark, d):
     """Every document's vector, as its squared length and a digest of its components."""
-    v = encoding.encoded(read(spark, d, "documents").select("doc_id", "text"), "text").filter("vector is not null")
+    v = text_table(spark, d).filter("vector is not null")
     parts = F.filter(F.transform("vector", lambda x, i: F.when(x != 0, F.concat_ws(":", i, x.cast("long")))), lambda x: x.isNotNull())
     return v.select("doc_id", F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x).cast("long").alias("square"), F.md5(F.array_join(parts, ",")).alias("digest")).filter("square > 0")
 

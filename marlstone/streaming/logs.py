@@ -34,7 +34,8 @@ def windowed_counts(rows: DataFrame, width: str = "1 day", late: str = "30 days"
 def sampled(rows: DataFrame, rate: float, *, key: str = "event_id", fill: Column | None = None) -> DataFrame:
     """Rows whose hash is within the rate; where the queue is over 80 % full, within a tenth of it."""
     now = F.lit(rate) if fill is None else F.when(fill > PRESSURE, rate * UNDER_PRESSURE).otherwise(rate)
-    return rows.filter(F.pmod(F.xxhash64(key), F.lit(SAMPLE_SPAN)) < now * SAMPLE_SPAN)
+    h = F.conv(F.left(F.md5(F.col(key).cast("string")), F.lit(8)), 16, 10).cast("long")
+    return rows.filter(h % SAMPLE_SPAN < now * SAMPLE_SPAN)
 
 
 def retained(rows: DataFrame, *, time: str = "ts", now: Column, days: int) -> DataFrame:
