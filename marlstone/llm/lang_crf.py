@@ -6,9 +6,11 @@ text is labelled word by word. A word's features are its affixes (one to four
 letters at either end), its letter n-grams (two and three), the word itself
 (lexicon feature) and its shape, all hashed into ``2**LOG2_FEATURES`` slots.
 
-Training data: labelled rows chosen by a hash of their id, about
-``SAMPLE_PER_LANG`` rows a language, of each the first ``SAMPLE_CHARS`` characters
-(the documented bound of what is fitted on; prediction reads whole texts). Their texts are cut into runs of words, and runs of different languages are
+Training data: labelled rows chosen by a hash of id and text, about
+``SAMPLE_PER_LANG`` rows a language and ``SAMPLE_ROWS`` in all, equal ones once: the
+documented bound of what is fitted on. Of each, stretches of ``STRETCH`` words are drawn
+from all over the text (all of it, if it has no more than ``STRETCHES`` of them), in
+tasks. They are cut into runs of words, and runs of different languages are
 strung together, so that transitions are learned from switches whose places are
 known. Parameters are fitted by AdaGrad on the CRF's log-likelihood, in numpy.
 
@@ -31,6 +33,7 @@ aren't kept are ignored, kept ones may have any name but those of the result.
 
 from __future__ import annotations
 
+import random
 import re
 import sys
 from dataclasses import dataclass
@@ -44,8 +47,8 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 LOG2_FEATURES = 16
-SAMPLE_PER_LANG = 300
-SAMPLE_CHARS = 40_000
+SAMPLE_PER_LANG, SAMPLE_ROWS = 300, 20_000
+STRETCH, STRETCHES = 40, 8
 MAX_LANGS = 256
 CHUNK_CHARS = 1_500_000
 RUN_WORDS = (5, 16)
@@ -315,21 +318,39 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], lis
     return lang, [float(min(1.0, m)) if n else 0.0 for m, n in zip(mean[np.arange(len(best)), best], lens, strict=True)]
 
 
+def stretches(text: str, seed: int) -> str:
+    """Words of a text: all of them, or ``STRETCHES`` stretches of ``STRETCH`` words, one from each equal part of it."""
+    own = words(text)
+    if len(own) <= STRETCH * STRETCHES:
+        return " ".join(own)
+    part = len(own) / STRETCHES
+    at = [int(k * part + random.Random(seed + k).random() * (part - STRETCH)) for k in range(STRETCHES)]
+    return " ".join(w for a in at for w in own[a : a + STRETCH])
+
+
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """Fit on about ``per_lang`` rows of each language, those with the smallest hash of the id."""
+    """Fit on about ``per_lang`` rows of each language, those with the smallest hash of id and text."""
     i, t, y = (F.col(f"`{c}`") for c in (id_col, text_col, lang_col))
     rows = labelled.select(i.alias("i"), t.cast("string").alias("t"), y.cast("string").alias("l")).filter("l is not null and t is not null")
+    none = Model([], np.zeros((NONE + 1, 0), "f4"), np.zeros((0, 0)), np.zeros(0))
     counts = rows.groupBy("l").count().limit(MAX_LANGS + 1).collect()
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages in the labelled rows")
     if not counts:
-        return Model([], np.zeros((NONE + 1, 0), "f4"), np.zeros((0, 0)), np.zeros(0))
-    span = 1 << 30
-    h = F.pmod(F.xxhash64("i", F.lit(17)), F.lit(span))
-    share = F.coalesce(*[F.when(F.col("l") == r["l"], F.lit(min(span, int(span * per_lang / r["count"]) + 1))) for r in counts])
-    sample = rows.filter(h < share).select("i", F.substring("t", 1, SAMPLE_CHARS).alias("t"), "l").collect()
-    sample.sort(key=lambda r: (str(r["i"]), r["t"], r["l"]))
-    return fit([r["t"] for r in sample], [r["l"] for r in sample]) if any(WORD.search(r["t"]) for r in sample) else Model([], np.zeros((NONE + 1, 0), "f4"), np.zeros((0, 0)), np.zeros(0))
+        return none
+    span, most = 1 << 30, min(per_lang, SAMPLE_ROWS // len(counts))
+    share = F.coalesce(*[F.when(F.col("l") == r["l"], F.lit(min(span, int(span * most / r["count"]) + 1))) for r in counts])
+    chosen = rows.withColumn("h", F.xxhash64("i", "t", F.lit(17))).filter(F.pmod("h", F.lit(span)) < share)
+
+    def drawn(batches):
+        for batch in batches:
+            for part, texts in text_slices(batch, "t", CHUNK_CHARS):
+                h = part.column("h").to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("l"), pa.array([stretches(x, k) for x, k in zip(texts, h, strict=True)], pa.string())], ["h", "l", "w"])
+
+    sample = chosen.select("h", "l", "t").mapInArrow(drawn, "h long, l string, w string").groupBy("h", "l").agg(F.first("w").alias("w")).filter("w <> ''").collect()
+    sample.sort(key=lambda r: (r["h"], r["l"]))
+    return fit([r["w"] for r in sample], [r["l"] for r in sample]) if sample else none
 
 
 def identify(df: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
