@@ -1,12 +1,15 @@
 """Quotation linking of chat messages; DataFrame functions only.
 
 A message's lines are split by quote level (the count of leading ``>`` marks, with
-blanks between them allowed). Unquoted lines make up the message's own text. Each
-line is normalised (marks removed, white space runs as one space, trimmed, lower
-case) and hashed. The original of a quoted line is the earliest message of the
-conversation whose own text has that line; a message replies to the earlier
-message that its outermost quote (the smallest level that finds one) hits most
-often, ties to the later message. Messages without a link are roots.
+blanks between them allowed). Unquoted lines make up the message's own text, but for
+those that only say who wrote what is quoted below them. Text is normalised (marks
+removed, white space runs as one space, trimmed, lower case), and passages of it are
+hashed: each line, and each run of ``RUN`` words of a block (the lines of one level that
+follow each other), so that a quote is found again where a mail client has wrapped it
+anew. The original of a passage is the earliest message of the conversation whose own
+text has it; a message replies to the earlier message that its outermost quote (the
+smallest level that finds one) hits most often, ties to the later message. Messages
+without a link are roots.
 
 Reply order: a message comes after the one it replies to, replies to one message in
 the order of their turns, and each with all of its own replies before the next. The
@@ -19,12 +22,13 @@ plus its rank; these sums are made by 16 bits of the turn at a time, so no windo
 sees more than 65,536 rows, however long a conversation is.
 
 ``conversations`` builds the result: each conversation's messages without quotes in
-reply order, ``PAGE`` messages a row, so no row grows without bound.
+reply order, ``PAGE`` messages a row at most. A page that has more rows, as rows repeat or
+have no turn, is split into parts; rows of one place are numbered in salted steps.
 
-Own lines are kept only if some message of the conversation quotes that hash, and
-are reduced to the earliest turn before the join, so a line that a whole
-conversation repeats is one row; quoted lines are counted per message and hash
-before they shuffle. A message that quotes nothing passes straight through.
+Own passages are made only in conversations that quote, kept only if some message
+quotes that hash, and are reduced to the earliest turn before the join, so a line that
+a whole conversation repeats is one row; quoted passages are counted per message and
+hash before they shuffle. A message that quotes nothing passes straight through.
 
 Cases: null text counts as empty; blank lines aren't linked; a null conv_id is a
 conversation of its own; a null turn takes no part in links and has the place of
@@ -45,26 +49,64 @@ from .common import forget, made, written
 
 MARK = r"^[ \t]*(>[ \t]*)+"
 MOST_ROUNDS = 64
-PAGE = 256
+PAGE, SALTS = 256, 64
+#: Words of a run that is hashed.
+RUN = 4
+#: Lines that say who wrote what is quoted below.
+SAID_BY = r"(?iu)^\s*(?:.{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:|-{2,}\s*(?:original message|ursprüngliche nachricht|message d'origine|mensaje original)\s*-{2,})\s*$"
 STEP = 16  # bits of the turn that a window of prefix sums spans
 RESULTS = ("own_text", "reply_to", "n_quoted", "max_level", "root_turn", "reply_rank", "position")
 
 
+def _split(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), r"\r?\n")
+
+
+def _credits(all_: Column, i: Column) -> Column:
+    """Whether line ``i`` says who wrote the quote below it (a blank line may stand between)."""
+    line = lambda k: F.coalesce(F.get(all_, i + k), F.lit(""))
+    return line(0).rlike(SAID_BY) & (line(1).rlike(MARK) | ((F.trim(line(1)) == "") & line(2).rlike(MARK)))
+
+
 def lines(text: Column) -> Column:
-    """array<struct<level, body, hash>> of a text's lines; hash is null for blank ones."""
+    """array<struct<level, norm>> of a text's lines; norm is empty for blank ones and those that credit a quote."""
+
+    def all_of(all_: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            marks = F.regexp_extract(line, MARK, 0)
+            norm = F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, MARK, ""), "[\\s\u0001\u0002]+", " ")))
+            return F.struct(F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), F.when(_credits(all_, i), F.lit("")).otherwise(norm).alias("norm"))
+
+        return F.transform(all_, one)
+
+    return F.transform(F.array(_split(text)), all_of)[0]
 
-    def one(line: Column) -> Column:
-        marks = F.regexp_extract(line, MARK, 0)
-        body = F.regexp_replace(line, MARK, "")
-        norm = F.lower(F.trim(F.regexp_replace(body, r"\s+", " ")))
-        return F.struct(F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), body.alias("body"), F.when(norm != "", F.xxhash64(norm)).alias("hash"))
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), one)
+def passages(text: Column) -> Column:
+    """array<struct<level, hash, line>>: the lines of a text, and the runs of words of its blocks."""
+
+    def both(parsed: Column) -> Column:
+        begins = lambda i: F.coalesce((F.get(parsed, i - 1)["norm"] == "") | (F.get(parsed, i - 1)["level"] != F.get(parsed, i)["level"]), F.lit(True))
+        marked = F.transform(parsed, lambda x, i: F.when(x["norm"] == "", "").otherwise(F.concat(F.when(begins(i), F.concat(F.lit("\u0001"), x["level"].cast("string"), F.lit("\u0002"))).otherwise(F.lit(" ")), x["norm"])))
+        blocks = F.filter(F.split(F.array_join(marked, ""), "\u0001"), lambda b: b != "")
+        runs = F.flatten(F.transform(F.transform(blocks, lambda b: F.split(b, "\u0002")), lambda b: _runs(b[0].cast("int"), F.split(b[1], " "))))
+        whole = F.transform(F.filter(parsed, lambda x: x["norm"] != ""), lambda x: F.struct(x["level"].alias("level"), F.xxhash64(x["norm"]).alias("hash"), F.lit(True).alias("line")))
+        return F.concat(whole, runs)
+
+    return F.transform(F.array(lines(text)), both)[0]
+
+
+def _runs(level: Column, words: Column) -> Column:
+    def made(w: Column) -> Column:
+        at = F.when(F.size(w) > RUN, F.sequence(F.lit(0), F.size(w) - RUN)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(level.alias("level"), F.xxhash64(*[F.get(w, i + k) for k in range(RUN)], F.lit(RUN)).alias("hash"), F.lit(False).alias("line")))
+
+    return F.transform(F.array(words), made)[0]
 
 
 def own_text(text: Column) -> Column:
-    """The text without quoted lines, trimmed; runs of blank lines that they leave are one."""
-    own = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: ~x.rlike(MARK))
+    """The text without quoted lines and those that credit them, trimmed; runs of blank lines that they leave are one."""
+    own = F.transform(F.array(_split(text)), lambda a: F.filter(a, lambda x, i: ~x.rlike(MARK) & ~_credits(a, i)))[0]
     return F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
@@ -73,21 +115,23 @@ def links(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text
     parsed = df.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("turn is not null")
     quoted = (
         parsed.filter(F.col("text").rlike("(?m)" + MARK))
-        .select("conv", "turn", F.explode(lines(F.col("text"))).alias("l"))
-        .filter("l.level > 0 and l.hash is not null")
+        .select("conv", "turn", F.explode(passages(F.col("text"))).alias("l"))
+        .filter("l.level > 0")
         .groupBy("conv", "turn", F.col("l.hash").alias("hash"))
-        .agg(F.min("l.level").alias("level"), F.max("l.level").alias("deepest"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("l.level").alias("level"), F.max("l.level").alias("deepest"), F.count(F.lit(1)).alias("n"), F.count_if("l.line").alias("lines"))
     )
     quoted = written(quoted, "quoted")
     wanted = quoted.select("conv", "hash").distinct()
-    own = parsed.select("conv", "turn", F.explode(lines(F.col("text"))).alias("l")).filter("l.level = 0 and l.hash is not null").select("conv", "turn", F.col("l.hash").alias("hash"))
+    quoting = quoted.select(F.col("conv").alias("quoting"), F.lit(1).alias("yes")).distinct()
+    there = parsed.join(quoting, F.col("conv").eqNullSafe(F.col("quoting")), "left").filter("yes = 1")
+    own = there.select("conv", "turn", F.explode(passages(F.col("text"))).alias("l")).filter("l.level = 0").select("conv", "turn", F.col("l.hash").alias("hash"))
     same = (F.col("w.hash") == F.col("o.hash")) & F.col("w.conv").eqNullSafe(F.col("o.conv"))
     first = own.groupBy("conv", "hash").agg(F.min("turn").alias("origin")).alias("o").join(wanted.alias("w"), same, "left_semi")
     hit = quoted.alias("w").join(first.alias("o"), (F.col("w.hash") == F.col("o.hash")) & F.col("w.conv").eqNullSafe(F.col("o.conv")), "left")
-    hit = hit.select("w.conv", "w.turn", "w.level", "w.deepest", "w.n", F.when(F.col("origin") < F.col("w.turn"), F.col("origin")).alias("origin"))
-    votes = hit.groupBy("conv", "turn", "origin", "level").agg(F.sum("n").alias("n"), F.max("deepest").alias("deepest"))
+    hit = hit.select("w.conv", "w.turn", "w.level", "w.deepest", "w.n", "w.lines", F.when(F.col("origin") < F.col("w.turn"), F.col("origin")).alias("origin"))
+    votes = hit.groupBy("conv", "turn", "origin", "level").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"), F.max("deepest").alias("deepest"))
     best = F.min_by("origin", F.struct(F.col("origin").isNull(), "level", -F.col("n"), -F.col("origin")))
-    return votes.groupBy("conv", "turn").agg(best.alias("reply_to"), F.sum("n").alias("n_quoted"), F.max("deepest").alias("max_level"))
+    return votes.groupBy("conv", "turn").agg(best.alias("reply_to"), F.sum("lines").alias("n_quoted"), F.max("deepest").alias("max_level"))
 
 
 def _same(a: str, b: str, *on: str) -> Column:
@@ -182,10 +226,31 @@ def threads(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn",
     )
 
 
+def _parts(rows: DataFrame, page: int) -> DataFrame:
+    """``rows`` with ``part``: 0 on pages of ``page`` rows or fewer; on others the rows are numbered in order and ``page`` of them are a part."""
+    full = written(rows.groupBy("conv", "page").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > page), "fullpages")
+    if not full.limit(1).count():
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    met = rows.alias("r").join(full.alias("f"), F.col("r.conv").eqNullSafe(F.col("f.conv")) & (F.col("r.page") == F.col("f.page")), "left")
+    all_ = met.select("r.*", F.col("size").isNotNull().alias("over"))
+    over = written(all_.filter("over").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "overfull")
+    # the first number of each (place, salt): a window over the salts of a place, and one over the places of a page
+    cells = over.groupBy("conv", "page", "position", "salt").agg(F.count(F.lit(1)).alias("k"))
+    before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = cells.select("conv", "page", "position", "salt", before("k", "conv", "page", "position", "salt").alias("from"))
+    places = cells.groupBy("conv", "page", "position").agg(F.sum("k").alias("k")).select("conv", "page", "position", before("k", "conv", "page", "position").alias("first"))
+    start = inside.alias("i").join(places.alias("p"), _same("i", "p", "page", "position")).select("i.conv", "i.page", "i.position", "i.salt", (F.col("from") + F.col("first")).alias("start"))
+    own = F.row_number().over(Window.partitionBy("conv", "page", "position", "salt").orderBy("m")) - 1
+    numbered = over.withColumn("own", own).alias("o").join(start.alias("s"), _same("o", "s", "page", "position", "salt"))
+    split = numbered.select("o.conv", "o.page", "o.position", "o.m", F.expr(f"(own + start) div {page}").alias("part"))
+    return all_.filter("not over").select("conv", "page", "position", "m", F.lit(0).cast("long").alias("part")).unionByName(split)
+
+
 def conversations(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role", page: int = PAGE) -> DataFrame:
-    """(conv_id, page, n_messages, messages): each conversation's messages without quotes in reply order, ``page`` a row."""
+    """(conv_id, page, part, n_messages, messages): each conversation's messages without quotes in reply order, ``page`` a row at most."""
     t = threads(df, conv_col=conv_col, turn_col=turn_col, text_col=text_col)
     role = [F.col(f"`{role_col}`").cast("string").alias("role")] if role_col else []
     one = F.struct("position", F.col(f"`{turn_col}`").cast("long").alias("turn"), *role, "reply_to", "n_quoted", F.col("own_text").alias("text"))
-    rows = t.groupBy(F.col(f"`{conv_col}`").alias(conv_col), F.expr(f"position div {page}").alias("page")).agg(F.array_sort(F.collect_list(one)).alias("messages"))
-    return rows.select(F.col(f"`{conv_col}`"), "page", F.size("messages").cast("long").alias("n_messages"), "messages")
+    rows = _parts(t.select(F.col(f"`{conv_col}`").alias("conv"), F.expr(f"position div {page}").alias("page"), "position", one.alias("m")), page)
+    out = rows.groupBy("conv", "page", "part").agg(F.array_sort(F.collect_list("m")).alias("messages"))
+    return out.select(F.col("conv").alias(conv_col), "page", "part", F.size("messages").cast("long").alias("n_messages"), "messages")

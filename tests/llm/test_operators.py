@@ -818,6 +818,39 @@ def test_quote_long_chain_and_nulls(spark):
     assert quotes.threads(df).count() == len(rows)
 
 
+def test_quotes_that_were_wrapped_anew_or_credited(spark):
+    said = "The quick brown fox jumps over the lazy dog and runs away.\nThen it sleeps, for a long time, in the shade of a tree."
+    rows = [
+        (1, 0, said), (1, 1, "Something else, that has nothing to do with it."),
+        (1, 2, "On Monday, Bob wrote:\n> The quick brown fox jumps over\n> the lazy dog and runs away. Then it\n> sleeps, for a long time, in the\n> shade of a tree.\nI saw it."),
+        (1, 3, "Ann schrieb:\n\n> On Monday, Bob wrote:\n>> The quick brown fox\n>> jumps over the lazy dog and runs away. Then\n> I saw it.\nSo did I."),
+        (1, 4, "-----Original Message-----\n> Something else, that has\n> nothing to do with it.\nYes.\nHe wrote:\nno quote here."),
+        (2, 0, "> The quick brown fox jumps over the lazy dog\nIn another conversation."),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x, "z") for c, t, x in rows], TALKS)
+    out = {(r["conv_id"], r["turn"]): r for r in quotes.threads(df).collect()}
+    assert {k: r["reply_to"] for k, r in out.items()} == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 2, (1, 4): 1, (2, 0): None}
+    assert [out[1, t]["own_text"] for t in (2, 3, 4)] == ["I saw it.", "So did I.", "Yes.\nHe wrote:\nno quote here."]
+    assert out[1, 3]["n_quoted"] == 3 and out[1, 3]["max_level"] == 2
+
+
+def test_conversations_of_many_repeated_rows_have_bounded_pages(spark):
+    rows = [(1, None, "no turn")] * 2000 + [(1, 5, "again")] * 1500 + [(1, t, f"turn {t}") for t in range(1, 40)] + [(None, None, "x")] * 300 + [(2, 0, "a"), (2, 1, "> a\nb")]
+    df = spark.createDataFrame([(c, t, "user", x, "z") for c, t, x in rows], TALKS).repartition(3)
+    built = quotes.conversations(df, page=256).collect()
+    assert all(0 < r["n_messages"] == len(r["messages"]) <= 256 for r in built)
+    got = collections.Counter((r["conv_id"], m["turn"], m["text"]) for r in built for m in r["messages"])
+    assert got == collections.Counter((c, t, re.sub("^> .*\n", "", x)) for c, t, x in rows)
+    for c in (None, 1, 2):
+        own = [m["position"] for r in sorted((r for r in built if r["conv_id"] == c), key=lambda r: (r["page"], r["part"])) for m in r["messages"]]
+        assert own == sorted(own)
+    assert len({(r["conv_id"], r["page"], r["part"]) for r in built}) == len(built)
+    # parts are full but for the last of a page
+    for r in built:
+        later = any((x["conv_id"], x["page"]) == (r["conv_id"], r["page"]) and x["part"] > r["part"] for x in built)
+        assert r["n_messages"] == 256 or not later
+
+
 def test_quote_many_replies_and_random_trees(spark):
     rng = np.random.default_rng(4)
     turns = sorted(set((rng.integers(0, 400_000, 300)).tolist()))
