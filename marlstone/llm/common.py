@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -10,21 +12,29 @@ from ..sources.shared import shared_dir, table_path  # noqa: F401
 
 #: Rows of narrow intermediate tables in a file.
 ROWS_PER_FILE = 65536
-#: The tables that this process has written and not yet deleted, in order.
-_MADE: list[str] = []
+
+
+class _Made(threading.local):
+    """The tables that a thread has written and not yet deleted, in order; queries that are built side by side don't see each other's."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_MADE = _Made()
 
 
 def made() -> int:
     """A mark for ``forget``: what has been written so far."""
-    return len(_MADE)
+    return len(_MADE.paths)
 
 
 def forget(spark: SparkSession, since: int, keep: tuple[str, ...]) -> None:
     """Delete the tables written since a mark, but for those of the names that what is returned still reads."""
-    for path in [p for p in _MADE[since:] if p.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep]:
+    for path in [p for p in _MADE.paths[since:] if p.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep]:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        _MADE.remove(path)
+        _MADE.paths.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +53,7 @@ def written(df: DataFrame, name: str, rows: int | None = None, least: int = 1) -
     known, keeps a small table from being written as many tiny files."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    _MADE.append(path)
+    _MADE.paths.append(path)
     (df if rows is None else files_for(df, rows, least)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
