@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone import analytics_queries, dialog_queries, queries, question_queries  # noqa: F401  they register their queries
+from marlstone import analytics_queries, dialog_queries, queries, question_queries, retrieval_queries  # noqa: F401  they register their queries
 from marlstone.functions import language as L
 from marlstone.functions import text as T
 from marlstone.functions import units
@@ -47,6 +47,10 @@ def test_queries_without_sql(spark):
         assert len(got.pop(k)) == n["conversations"], k
     assert len(got["bibliography"]) == n["documents"]
     assert set(got.pop("bibliography")["document_type"]) <= {"thesis", "preprint", "conference_paper", "journal_article", "paper"}
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 100 = 0").count()
+    assert got.pop("indexed_vector_search").groupby("query_id").size().tolist() == [10] * rows
+    c = got.pop("category_clusters")
+    assert c["query_id"].nunique() == rows and set(c["place"]) == set(range(1, c["label"].nunique() + 1))
     r = got.pop("recall_queries")
     assert 0 < len(r) <= n["documents"] and r["query"].str.len().between(30, 120).all()
     assert not got
