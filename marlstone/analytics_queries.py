@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
+from .operators import acceptance as AC
 from .operators import analytics as A
 from .operators import evidence as V
 from .operators import memory as M
 from .operators import retrieval as R
 from .operators import search as S
 from .plans import algebra as P
-from .queries import _TEXT, _RRF, DAY, EV, HIGH, HOUR, K, _high, query
+from .queries import _BM25, _RRF, _TEXT, DAY, EV, HIGH, HOUR, K, _high, query
 from .sources import files as FI
 from .sources import tables as TB
 from .sources.tables import events, read
@@ -26,6 +27,56 @@ SPANS = f"""{EV}, once as (select user_id, us, arg_max(value, event_id) as value
 _IN = f"""{SPANS}, {HIGH}, j as (select hi.user_id, start_us, end_us, sum(least(b, end_us) - greatest(a, start_us)) / 1e6 as s from hi join spans s on s.user_id = hi.user_id and a < end_us and start_us < b and event_type = 'click' group by all)"""
 
 
+@query(f"""with {SPANS}, {HIGH}, ln as (select user_id, us as a, lead(us) over w as b, value as p, lead(value) over w as q from once window w as (partition by user_id order by us)),
+    m as (select hi.user_id, start_us, end_us, greatest(a, start_us) as x, least(b, end_us) as y, a, b, p, q from hi join ln on ln.user_id = hi.user_id and b - a <= {DAY} and a < end_us and start_us < b and p is not null and q is not null),
+    l as (select *, p + (q - p) * ((x - a) / (b - a)) - 35 as u, p + (q - p) * ((y - a) / (b - a)) - 35 as v from m),
+    t as (select user_id, start_us, end_us, sum(case when u > 0 and v > 0 then 1.0::double when u <= 0 and v <= 0 then 0 else greatest(u, v) / abs(u - v) end * (y - x)) / 1e6 as s from l group by 1, 2, 3)
+    select user_id, start_us, end_us, round(coalesce(s, 0), 3) as seconds from (select distinct user_id, start_us, end_us from hi) left join t using (user_id, start_us, end_us)""")
+def scoped_linear_duration(spark, d):
+    out = A.scoped_linear_duration(events(spark, d), "value", 35.0, _high(spark, d), keys=K, max_gap_us=DAY)
+    return out.select("user_id", "start_us", "end_us", F.round("seconds", 3).alias("seconds"))
+
+
+_CASES = """cs as (select doc_id as case_id, case when toxic = 1 then 'reject' when quality = 0 then 'clarify' else 'auto_release' end as expected, case when quality = 1 then 'multi_turn' else 'single' end as stratum from labels),
+    pr as (select doc_id as case_id, source, case when contains(lower(text), 'license') then 'reject' when n_chars > 6000 then 'clarify' else 'auto_release' end as outcome, n_chars % 50 = 0 as critical, n_chars > 9000 as unnecessary, lang is null as rejected, n_chars % 3 = 0 as completed,
+      case when n_chars < 4000 then n_chars / 10.0 end::double as low_cost_ms, case when n_chars >= 4000 then n_chars / 2.0 end::double as upgrade_ms, n_chars::double as end_to_end_ms from documents)"""
+
+
+@query(f"""with {_CASES}, j as (select *, outcome = 'auto_release' as rel, outcome = expected as ok from cs join pr using (case_id)),
+    a as (select count(*) as total, count(*) filter (rel) as released, count(*) filter (rel and not ok) as release_errors, count(*) filter (rel and ok) as correct_releases, count(*) filter (critical) as critical, count(*) filter (unnecessary) as clarified,
+      count(*) filter (rejected) as rejected, count(*) filter (stratum = 'multi_turn' and completed) as completed, quantile_disc(low_cost_ms, 0.95) as low_cost_ms_p95, quantile_disc(upgrade_ms, 0.5) as upgrade_ms_p50, quantile_disc(upgrade_ms, 0.95) as upgrade_ms_p95,
+      quantile_disc(end_to_end_ms, 0.5) as end_to_end_ms_p50, quantile_disc(end_to_end_ms, 0.95) as end_to_end_ms_p95 from j)
+    select total, released, release_errors, correct_releases, critical, clarified, rejected, completed, (select count(*) from documents where doc_id not in (select doc_id from labels)) as faults, round(release_errors / released, 6) as error_rate,
+    round((release_errors / released + 1.96 * 1.96 / (2 * released) - 1.96 * sqrt(release_errors / released * (1 - release_errors / released) / released + 1.96 * 1.96 / (4.0 * released * released))) / (1 + 1.96 * 1.96 / released), 6) as error_low,
+    round((release_errors / released + 1.96 * 1.96 / (2 * released) + 1.96 * sqrt(release_errors / released * (1 - release_errors / released) / released + 1.96 * 1.96 / (4.0 * released * released))) / (1 + 1.96 * 1.96 / released), 6) as error_high,
+    low_cost_ms_p95, upgrade_ms_p50, upgrade_ms_p95, end_to_end_ms_p50, end_to_end_ms_p95 from a""")
+def acceptance_summary(spark, d):
+    """Labelled documents as cases, a rule's verdicts on the documents as predictions."""
+    out = AC.summary(*_cases(spark, d))
+    return out.withColumns({c: F.round(c, 6) for c in ("error_rate", "error_low", "error_high")})
+
+
+@query(f"""with {_CASES}, j as (select source as category, outcome = 'auto_release' as released, outcome = expected as correct, critical from cs join pr using (case_id) where coalesce(source, '') <> ''),
+    n as (select category, count(*) as samples, count(*) filter (released) as released, count(*) filter (released and correct) as correct, count(*) filter (critical) as critical from j group by 1)
+    select *, coalesce(round(correct / nullif(released, 0), 6), 0) as precision, released >= 5 as enough, coalesce(correct / nullif(released, 0), 0) >= 0.98 as precise, critical = 0 as uncritical, released >= 5 and coalesce(correct / nullif(released, 0), 0) >= 0.98 and critical = 0 as passed from n""")
+def category_gates(spark, d):
+    cases, predictions = _cases(spark, d)
+    rows = cases.join(predictions, "case_id").select(F.col("source").alias("category"), (F.col("outcome") == "auto_release").alias("released"), (F.col("outcome") == F.col("expected")).alias("correct"), "critical")
+    return AC.category_gates(rows, 5).withColumn("precision", F.round("precision", 6))
+
+
+def _cases(spark, d):
+    expected = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 0, "clarify").otherwise("auto_release")
+    cases = read(spark, d, "labels").select(F.col("doc_id").alias("case_id"), expected.alias("expected"), F.when(F.col("quality") == 1, "multi_turn").otherwise("single").alias("stratum"))
+    n = F.col("n_chars")
+    outcome = F.when(F.contains(F.lower("text"), F.lit("license")), "reject").when(n > 6000, "clarify").otherwise("auto_release")
+    predictions = read(spark, d, "documents").select(
+        F.col("doc_id").alias("case_id"), "source", outcome.alias("outcome"), F.lit(None).cast("boolean").alias("correct"), (n % 50 == 0).alias("critical"), (n > 9000).alias("unnecessary"), F.col("lang").isNull().alias("rejected"), (n % 3 == 0).alias("completed"),
+        F.when(n < 4000, n / 10.0).alias("low_cost_ms"), F.when(n >= 4000, n / 2.0).alias("upgrade_ms"), n.cast("double").alias("end_to_end_ms"),
+    )
+    return cases, predictions
+
+
 @query(f"with {_IN} select user_id, start_us, end_us, round(coalesce(s, 0), 3) as seconds from hi left join j using (user_id, start_us, end_us)")
 def scoped_duration(spark, d):
     out = A.scoped_duration(events(spark, d).select("user_id", "us", "event_id", "event_type"), F.col("event_type") == "click", _high(spark, d), keys=K, max_gap_us=DAY)
@@ -211,6 +262,22 @@ def memory_recall(spark, d):
     return S.recalled(f, ["the", "how"]).select("id")
 
 
+@query(f"""with {_BM25}, {_CH}, a as (select doc_id, row_number() over (order by score desc, doc_id) as rank from bm qualify rank <= 10),
+    r as (select doc_id, chunk, row_number() over (order by hits desc, h.doc_id, h.chunk_index) as rank from h join ch using (doc_id, chunk_index) where hits > 0 qualify rank <= 40), b as (select doc_id, min(rank) as chunk_rank, left(arg_min(chunk, rank), 500) as chunk_text from r group by 1)
+    select doc_id, round(coalesce(1 / (60 + rank), 0) + coalesce(1 / (60 + chunk_rank), 0), 9) as rrf, md5(chunk_text) as chunk from a full join b using (doc_id) order by coalesce(1 / (60 + rank), 0) + coalesce(1 / (60 + chunk_rank), 0) desc, doc_id limit 10""")
+def fused_documents(spark, d):
+    """Ten documents by words and forty chunks by hits, fused; each document with the beginning of its first chunk."""
+    from .queries import _bm25
+
+    ch = R.fixed_windows(read(spark, d, "documents"))
+    w = T.words(F.col("chunk"))
+    hits = sum((F.size(F.filter(w, (lambda t: lambda x: x == t)(t))) for t in ("the", "license")), F.lit(0))
+    head = ch.withColumn("hits", hits).filter("hits > 0").orderBy(F.desc("hits"), "doc_id", "chunk_index").limit(40)
+    ranks = head.select("doc_id", F.row_number().over(Window.orderBy(F.desc("hits"), "doc_id", "chunk_index")).alias("rank"), F.col("chunk").alias("text"))  # forty rows
+    out = S.fused_documents(S.top(_bm25(spark, d), "doc_id", 10), ranks, 10)
+    return out.select("doc_id", F.round("rrf", 9).alias("rrf"), F.md5("chunk_text").alias("chunk"))
+
+
 @query("""with l as (select conv_id, list('- ' || left(coalesce(text, ''), 80) order by turn)[1:5] as l from conversations where turn < 8 group by 1), e as (select conv_id, l, list_transform(range(1, len(l) + 1), lambda i: length(array_to_string(l[1:i], chr(10)))) as n from l)
     select conv_id, md5(array_to_string(list_filter(l, lambda x, i: i = 1 or n[i] // 2 <= 60), chr(10))) as shown from e""")
 def memory_injection(spark, d):

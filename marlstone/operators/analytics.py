@@ -41,6 +41,31 @@ def scoped_duration(rows: DataFrame, match: Column, scope: DataFrame, *, keys: l
     return out.select(*keys, "start_us", "end_us", (F.coalesce("us", F.lit(0)) / 1e6).alias("seconds"))
 
 
+def _lines(rows: DataFrame, value: str, *, keys: list[str], max_gap_us: int, tie: str) -> DataFrame:
+    """(keys, a, b, p, q): the spans, and the values at either end."""
+    last = F.max_by(value, F.struct(tie))
+    once = rows.groupBy(*keys, "us").agg(last.alias("p"))
+    w = Window.partitionBy(*keys).orderBy("us")
+    out = once.select(*keys, F.col("us").alias("a"), F.lead("us").over(w).alias("b"), "p", F.lead("p").over(w).alias("q"))
+    return out.filter(F.col("b") - F.col("a") <= max_gap_us)
+
+
+def scoped_linear_duration(rows: DataFrame, value: str, threshold: float, scope: DataFrame, *, keys: list[str], max_gap_us: int, tie: str = "event_id", bucket_us: int = DAY) -> DataFrame:
+    """(keys, start_us, end_us, seconds): for how long the value was above a threshold in each interval of ``scope``, when it runs straight from sample to sample.
+
+    A line is cut at the interval's ends and its crossing is interpolated; lines and intervals meet by key and time bucket. A null value holds for no line."""
+    lines = _lines(rows.select(*keys, "us", tie, value), value, keys=keys, max_gap_us=max_gap_us, tie=tie).filter("p is not null and q is not null")
+    each = lambda lo, hi: F.explode(F.sequence(F.expr(f"{lo} div {bucket_us}"), F.expr(f"greatest({lo}, {hi} - 1) div {bucket_us}"))).alias("__k")
+    asked = scope.select(*keys, "start_us", "end_us").distinct()
+    met = lines.select("*", each("a", "b")).join(asked.select("*", each("start_us", "end_us")), [*keys, "__k"]).filter((F.col("a") < F.col("end_us")) & (F.col("start_us") < F.col("b")))
+    once = met.filter(F.col("__k") == F.expr(f"greatest(a, start_us) div {bucket_us}")).withColumns({"x": F.greatest("a", "start_us"), "y": F.least("b", "end_us")})
+    at = lambda t: F.col("p") + (F.col("q") - F.col("p")) * ((F.col(t) - F.col("a")) / (F.col("b") - F.col("a"))) - threshold
+    u, v = at("x"), at("y")
+    share = F.when((u > 0) & (v > 0), 1.0).when((u <= 0) & (v <= 0), 0.0).otherwise(F.greatest(u, v) / F.abs(u - v))
+    total = once.groupBy(*keys, "start_us", "end_us").agg((F.sum(share * (F.col("y") - F.col("x"))) / 1e6).alias("seconds"))
+    return asked.join(total, [*keys, "start_us", "end_us"], "left").withColumn("seconds", F.coalesce("seconds", F.lit(0.0)))
+
+
 def linear_duration(rows: DataFrame, value: str, threshold: float, *, keys: list[str], max_gap_us: int, tie: str = "event_id") -> DataFrame:
     """(keys, seconds) above a threshold when values run straight from sample to sample: crossings are interpolated."""
     s = spans(rows.select(*keys, "us", tie, value), keys=keys, max_gap_us=10**18, tie=tie)

@@ -187,6 +187,17 @@ def fused(channels: list[DataFrame], id_col: str, k: int, order: list[str] | Non
     return sums.orderBy(F.desc("rrf"), *ties, id_col).limit(k)
 
 
+def fused_documents(docs: DataFrame, chunks: DataFrame, k: int, *, id_col: str = "doc_id", text: str = "text", most: int = 500) -> DataFrame:
+    """(id, rrf, chunk_text): documents by reciprocal ranks of (id, rank) and of each one's first chunk in (id, rank, text), with the beginning of that chunk.
+
+    A chunk's rank is its place among all chunks; documents that only a chunk names are there too. Ties go to the smaller id."""
+    rest = [c for c in chunks.columns if c != id_col]
+    best = chunks.groupBy(id_col).agg(F.min_by(F.struct(*rest), "rank").alias("c")).select(id_col, F.col("c.rank").alias("chunk_rank"), F.left(F.col(f"c.{text}"), F.lit(most)).alias("chunk_text"))
+    both = first_places(docs, id_col).join(best, id_col, "full")
+    part = lambda c: F.coalesce(1 / (F.lit(RRF_K) + F.col(c)), F.lit(0.0))
+    return both.select(id_col, (part("rank") + part("chunk_rank")).alias("rrf"), "chunk_text").orderBy(F.desc("rrf"), id_col).limit(max(1, k))
+
+
 def near_chunks(vectors: DataFrame, query: DataFrame, k: int, *, id_col: str, allowed: DataFrame | None = None, least: float | None = None, vec_col: str = "embedding") -> DataFrame:
     """(id, score) of the ``k`` nearest vectors by cosine, among the allowed ids if there are any given."""
     rows = vectors.filter(F.col(vec_col).isNotNull())

@@ -129,6 +129,22 @@ def old_days(rows: DataFrame, *, today: Column, keep: int, day: str = "day") ->
     return rows.select(day).distinct().filter(F.col(day) < F.date_sub(today, keep))
 
 
+def delete_old_days(spark: SparkSession, path: str, *, today: str, keep: int, day: str = "day") -> list[str]:
+    """Delete the folders of the days before ``today`` less ``keep`` days; returns these days. Only folder names come to the driver."""
+    from datetime import date, timedelta
+
+    first = (date.fromisoformat(today) - timedelta(days=keep)).isoformat()
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for f in fs.listStatus(root) if fs.exists(root) else []:
+        name = f.getPath().getName()
+        if f.isDirectory() and name.startswith(f"{day}=") and name[len(day) + 1 :] < first and name[len(day) + 1 :].count("-") == 2:
+            fs.delete(f.getPath(), True)
+            gone.append(name[len(day) + 1 :])
+    return sorted(gone)
+
+
 def read_json(spark: SparkSession, path: str, schema: str, *, array: bool = False) -> DataFrame:
     """JSON lines, or an array a file; lines that don't fit keep their text in ``_corrupt``."""
     return spark.read.schema(f"{schema}, _corrupt string").option("multiLine", array).option("columnNameOfCorruptRecord", "_corrupt").json(path)
