@@ -12,8 +12,8 @@ levels. A pair's shared keys so form a branching process; runs are repeated unti
 keep sharing what they choose is dense: nearly all of its pairs are links, so a
 split gains nothing. Dense buckets that share nodes form a cluster, which is
 brute-forced in blocks: each task compares two blocks of ``BLOCK`` nodes and
-``BLOCK_TOKENS`` tokens at most and returns sums by node and a spanning star, never
-the pairs. A bucket that lies inside a cluster goes no further.
+``BLOCK_TOKENS`` tokens at most and returns sums by node and a star of each component
+of its links, never the pairs. A bucket that lies inside a cluster goes no further.
 
 A node of a small bucket comes to the brute force only if some other node's sketch
 allows a link. A sketch is a bitmap of a set's tokens; sets whose bitmaps differ in
@@ -320,7 +320,9 @@ def _clusters(members: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def _dense_links(clusters: DataFrame, sets: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
-    """(fp, links, other): per task the copies that each node links to, and the first node that it links to."""
+    """(fp, links, other): per task the copies that each node links to, and the least node of its component of the task's links.
+
+    The first node that it links to wouldn't do: of 1-5, 5-6 and 6-2 the link 5-6 is no end's first, and two classes were left."""
     of = clusters.join(copies, "fp")
     size = of.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     dealt = of.join(size, "cluster").join(_of(sets, clusters).dropDuplicates(["fp"]), "fp")
@@ -334,19 +336,30 @@ def _dense_links(clusters: DataFrame, sets: DataFrame, copies: DataFrame, thresh
         m = links_within(list(left["tokens"]), threshold, None if same else list(right["tokens"])) if len(left) and len(right) else np.zeros((len(left), len(right)), bool)
         if same:
             np.fill_diagonal(m, False)
-        out = [_sums(left["fp"].to_numpy(), right["fp"].to_numpy(), right["copies"].to_numpy(), m)]
+        a, b = _least_joined(left["fp"].to_numpy(), right["fp"].to_numpy(), m)
+        out = [_sums(left["fp"].to_numpy(), right["copies"].to_numpy(), a, m)]
         if not same:
-            out.append(_sums(right["fp"].to_numpy(), left["fp"].to_numpy(), left["copies"].to_numpy(), m.T))
+            out.append(_sums(right["fp"].to_numpy(), left["copies"].to_numpy(), b, m.T))
         return pd.concat(out, ignore_index=True)
 
     return dealt.groupBy("cluster", "i", "j").applyInPandas(task, "fp long, links long, other long")
 
 
-def _sums(own: np.ndarray, others: np.ndarray, copies: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+def _least_joined(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row and column of the links, the least node that a chain of links leads to (or itself)."""
+    most = np.iinfo("i8").max
+    while m.size:
+        low = np.minimum(a, np.where(m, b[None, :], most).min(axis=1))
+        far = np.minimum(b, np.where(m, low[:, None], most).min(axis=0))
+        if (low == a).all() and (far == b).all():
+            break
+        a, b = low, far
+    return a, b
+
+
+def _sums(own: np.ndarray, copies: np.ndarray, least: np.ndarray, m: np.ndarray) -> pd.DataFrame:
     on = m.any(axis=1)
-    order = np.argsort(others)
-    first = others[order][m[on][:, order].argmax(axis=1)] if on.any() else np.zeros(0, "i8")
-    return pd.DataFrame({"fp": own[on], "links": (m[on] @ copies.astype("i8")).astype("i8"), "other": first})
+    return pd.DataFrame({"fp": own[on], "links": (m[on] @ copies.astype("i8")).astype("i8"), "other": least[on]})
 
 
 def _dense_keys(frontier: DataFrame, sets: DataFrame, threshold: float, save) -> DataFrame:

@@ -380,6 +380,19 @@ def test_chosen_path_large_groups(spark, monkeypatch):
     assert out == brute_classes(rows)
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_chains_in_a_dense_cluster_are_one_class(spark, monkeypatch, block):
+    """Links 1-5, 5-6, 6-2: the link 5-6 isn't the least of either of its ends."""
+    monkeypatch.setattr(chosenpath, "BLOCK", block)
+    chain = [1, 5, 6, 2, 9, 8, 3]
+    sets = spark.createDataFrame([(fp, list(range(10 * i, 10 * i + 100))) for i, fp in enumerate(chain)], "fp long, tokens array<int>")
+    clusters = sets.selectExpr("1L as cluster", "fp")
+    found = chosenpath._dense_links(clusters, sets, sets.selectExpr("fp", "1L as copies", "100L as size"), 0.8)
+    assert {r["fp"]: r["n"] for r in found.groupBy("fp").agg(F.sum("links").alias("n")).collect()} == {1: 1, 5: 2, 6: 2, 2: 2, 9: 2, 8: 2, 3: 1}
+    labels = chosenpath.components(found.selectExpr("fp as a", "other as b"))
+    assert {tuple(r) for r in labels.collect()} == {(fp, 1) for fp in chain}
+
+
 @pytest.mark.parametrize("taken", [4, 1])
 def test_chosen_path_finds_pairs_of_frequent_passages(spark, taken):
     passages = [" ".join(f"p{i}w{j}" for j in range(240 // taken)) for i in range(3 * taken)]
