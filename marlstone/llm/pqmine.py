@@ -3,8 +3,8 @@
 Each pair of components is coded by the nearest of 256 centroids, and what that leaves
 over by the nearest of another 256 (``LEVELS``); centroids are learned from a bounded
 sample (``SAMPLE`` vectors, drawn by hash). Every row is coded and keeps the norm of
-what its codes leave over. Lookup tables of an anchor's products with the
-centroids give each row's approximate score, and the anchor's norm times the row's
+what its codes leave over. An anchor's products with the centroids that
+a row's codes stand for give its approximate score, and the anchor's norm times the row's
 residual norm bounds the error (Cauchy-Schwarz), so a candidate is left out only if
 it can't belong to the result. Exact integer products of the rest complete each
 anchor's positives and then each positive's window of negatives.
@@ -38,7 +38,7 @@ from .vafile import scaled, usable
 
 #: Vectors of each length from which centroids are learned, centroids of a subspace and level, its width, levels, rounds of k-means.
 SAMPLE, CENTROIDS, WIDTH, LEVELS, ROUNDS = 4096, 256, 2, 2, 8
-#: Rows of a block; its codes are held in memory. Smaller tables are dealt into blocks of ``LEAST_BLOCK`` to use all cores.
+#: Rows of a block; what its codes stand for is held in memory. Smaller tables are dealt into blocks of ``LEAST_BLOCK`` to use all cores.
 BLOCK, LEAST_BLOCK = 65536, 2048
 #: Anchors that are scored at a time: 64 x 65,536 scores of four bytes are 16 MB.
 ANCHORS_AT_ONCE = 64
@@ -96,13 +96,18 @@ def coded(x: np.ndarray, books: list[np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out, axis=1).astype("u1"), np.sqrt((left * left).sum(axis=(1, 2))) * (1 + 1e-9)
 
 
+def decoded(code: np.ndarray, books: list[np.ndarray], dim: int) -> np.ndarray:
+    """(rows x components) what the codes stand for: the sum of their centroids."""
+    subspaces = books[0].shape[0]
+    out = np.zeros((len(code), subspaces, books[0].shape[2]))
+    for level, book in enumerate(books):
+        out += book[np.arange(subspaces), code[:, level * subspaces : (level + 1) * subspaces]]
+    return np.ascontiguousarray(out.reshape(len(code), -1)[:, :dim])
+
+
 def looked_up(q: np.ndarray, code: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
-    """(anchors x rows) approximate scores, from tables of each anchor's products with the centroids."""
-    tables = np.concatenate([np.einsum("qsw,skw->sqk", _parts(q, books[0].shape[2]), book) for book in books])
-    out = np.zeros((len(q), len(code)))
-    for s, table in enumerate(tables):
-        out += table[:, code[:, s]]
-    return out
+    """(anchors x rows) approximate scores: each anchor's products with the rows' centroids, summed."""
+    return q @ decoded(code, books, q.shape[1]).T
 
 
 def slack(q: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -202,8 +207,10 @@ def scanned(codes: DataFrame, anchors: DataFrame, books: Books, blocks: int, sam
         dims = t.column("dim").to_numpy()
         for d in np.unique(dims).tolist():
             p = t.filter(pa.array(dims == d))
-            code = np.frombuffer(b"".join(p.column("code").to_pylist()), "u1").reshape(p.num_rows, -1) if d else np.zeros((p.num_rows, 0), "u1")
-            out[d] = (p.column("id").to_numpy(), p.column("label").to_numpy(), code, p.column("norm").to_numpy())
+            order = np.argsort(p.column("label").to_numpy(), kind="stable")  # a label's rows lie together
+            code = np.frombuffer(b"".join(p.column("code").to_pylist()), "u1").reshape(p.num_rows, -1)[order] if d else np.zeros((p.num_rows, 0), "u1")
+            stand = decoded(code, shared.value[d], d) if d else np.zeros((p.num_rows, 0))
+            out[d] = (p.column("id").to_numpy()[order], p.column("label").to_numpy()[order], stand, p.column("norm").to_numpy()[order])
         return out
 
     def _met(part, held):
@@ -211,24 +218,39 @@ def scanned(codes: DataFrame, anchors: DataFrame, books: Books, blocks: int, sam
         for d in np.unique(dims).tolist():
             if d not in held or not d:
                 continue
-            ids, labels, code, norm = held[d]
+            ids, labels, stand, norm = held[d]
             some = part.filter(pa.array(dims == d))
-            for at in range(0, some.num_rows, ANCHORS_AT_ONCE):
-                p = some.slice(at, ANCHORS_AT_ONCE)
-                q = _vectors(p.column("v"), d)
-                mid, half = looked_up(q, code, shared.value[d]), slack(q, norm)
-                upper, lower = mid + half, mid - half
-                out = [[] for _ in names]
-                for i, (an, aid, label, tops) in enumerate(zip(p.column("an").to_pylist(), p.column("id").to_pylist(), p.column("label").to_pylist(), p.column("tops").to_pylist(), strict=True)):
-                    allowed = (ids != aid) & ((labels == label) if same else (labels != label))
-                    for place, top in enumerate([0] if same else tops):
-                        got = near_best(upper[i], lower[i], allowed, k) if same else in_window(upper[i], lower[i], allowed, top, share, k)
-                        for o, x in zip(out, (np.full(len(got), an), np.full(len(got), aid), np.full(len(got), place, "i4"), ids[got], lower[i][got], upper[i][got]), strict=True):
-                            o.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names)
-
-    both = left.unionByName(right).repartition(blocks, "cb").sortWithinPartitions("cb", "tag")
+            some = some.take(pa.array(np.argsort(some.column("label").to_numpy(), kind="stable")))
+            own = some.column("label").to_numpy()
+            # positives only meet their label's rows
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if same else [0, len(own)]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                lo, hi = np.searchsorted(labels, own[start], "left"), np.searchsorted(labels, own[start], "right")
+                rows = slice(lo, hi) if same else slice(0, len(ids))
+                if rows.stop > rows.start:
+                    for at in range(start, stop, ANCHORS_AT_ONCE):
+                        yield from _scored(some.slice(at, min(ANCHORS_AT_ONCE, stop - at)), d, ids[rows], labels[rows], stand[rows], norm[rows])
+
+    def _scored(p, d, ids, labels, stand, norm):
+        q = _vectors(p.column("v"), d)
+        mid, length, most = q @ stand.T, slack(q, np.ones(1))[:, 0], norm.max()
+        out = [[] for _ in names]
+        for i, (an, aid, label, tops) in enumerate(zip(p.column("an").to_pylist(), p.column("id").to_pylist(), p.column("label").to_pylist(), p.column("tops").to_pylist(), strict=True)):
+            near = np.arange(len(ids))
+            if not same:  # what no window can hold, by the largest of the bounds
+                far = length[i] * most + 1e-6
+                near = np.flatnonzero((mid[i] >= share * min(tops) / 100 - far) & (mid[i] <= max(tops) + far))
+            half = slack(q[i : i + 1], norm[near])[0]
+            upper, lower = mid[i][near] + half, mid[i][near] - half
+            allowed = ids[near] != aid if same else (ids[near] != aid) & (labels[near] != label)
+            for place, top in enumerate([0] if same else tops):
+                got = near_best(upper, lower, allowed, k) if same else in_window(upper, lower, allowed, top, share, k)
+                for o, x in zip(out, (np.full(len(got), an), np.full(len(got), aid), np.full(len(got), place, "i4"), ids[near[got]], lower[got], upper[got]), strict=True):
+                    o.append(x)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names)
+
+    both = left.unionByName(right).repartitionById(blocks, "cb").sortWithinPartitions("cb", "tag")
     return both.mapInArrow(run, _FOUND)
 
 

@@ -137,6 +137,16 @@ def test_bounds_hold():
     assert (pqmine.coded(x, books[:1])[1] > 2 * norm).mean() > 0.9
 
 
+def test_codes_stand_for_their_centroids():
+    """Scores are products with what the codes stand for, made once a block, not a look-up for each pair."""
+    x = np.random.default_rng(6).integers(-90, 90, (300, 7)).astype("f8")
+    books = pqmine.learned(x, 16)
+    code, norm = pqmine.coded(x, books)
+    stand = pqmine.decoded(code, books, 7)
+    assert stand.shape == x.shape and (np.sqrt(((x - stand) ** 2).sum(axis=1)) <= norm).all()
+    assert (np.abs(x @ x.T - pqmine.looked_up(x, code, books)) <= pqmine.slack(x, norm)).all()
+
+
 # --- toxicity
 
 
