@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def meeting(held: DataFrame, passing: DataFrame, schema: str, hold: Callable[[pa.Table], Any], meet: Callable[[Any, pa.RecordBatch], pa.RecordBatch | None], *, tasks: int) -> DataFrame:
+def meeting(held: DataFrame, passing: DataFrame, schema: str, hold: Callable[[pa.Table], Any], meet: Callable[[Any, pa.RecordBatch], pa.RecordBatch | None], *, tasks: int, numbered: bool = False) -> DataFrame:
     """``meet(hold(rows of held), batch of passing)`` for each ``block`` (a long column of both sides).
 
     A block's held rows are in one task's memory together, so they have to be few; passing rows come in Arrow batches, however many
-    there are. Both sides shuffle once, by block; a block with rows of one side only gives nothing."""
+    there are. Both sides shuffle once, by block; a block with rows of one side only gives nothing. ``numbered`` blocks run from 0 below
+    ``tasks`` and have a task each."""
     both = held.withColumn("__side", F.lit(0)).unionByName(passing.withColumn("__side", F.lit(1)), allowMissingColumns=True)
     mine, theirs = held.columns, passing.columns
 
@@ -39,7 +40,8 @@ def meeting(held: DataFrame, passing: DataFrame, schema: str, hold: Callable[[pa
                 if state is not None and (out := meet(state, part.select(theirs))) is not None:
                     yield out
 
-    return both.repartition(tasks, "block").sortWithinPartitions("block", "__side").mapInArrow(run, schema)
+    dealt = both.repartitionById(tasks, F.col("block").cast("int")) if numbered else both.repartition(tasks, "block")
+    return dealt.sortWithinPartitions("block", "__side").mapInArrow(run, schema)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int, kind: str = "f8") -> np.ndarray:

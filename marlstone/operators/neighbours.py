@@ -2,13 +2,17 @@
 
 Vectors are brought to length one, where the nearest by distance are the nearest by
 cosine. Examples are dealt to the nearest of a bounded number of pivots and there into
-rings by their distance to it; a ring with more than ``BLOCK`` rows is split by a hash.
+rings by their distance to it. Blocks of up to about ``BLOCK`` rows take rings in order;
+a ring that runs over a block's end is split by a hash. A query is sent once to a block
+whatever number of its rings it needs, so what is shuffled is queries times blocks.
 What the driver keeps is a row a ring: its distances and its number of rows.
 
 A query first meets one block that is likely to be near, which bounds the distance of
 its k-th neighbour; rings' numbers alone give a bound too. By the triangle inequality
 only rings whose distances to their pivot differ from the query's by no more than the
-bound can hold a neighbour, and the query goes to those. Neither side is broadcast and
+bound can hold a neighbour, and the query goes to their blocks, with the score that it
+has to reach: products in single precision leave out what falls short of it by more
+than their error, the others are scored in double precision. Neither side is broadcast and
 no pair is made outside of a common block. Of equal example vectors only the k + 1
 smallest ids can be among the k nearest, so the others stay behind.
 
@@ -21,6 +25,8 @@ of their own; fewer than ``k`` examples give fewer rows; empty tables give none.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +36,9 @@ from pyspark.sql.window import Window
 from ..sources.shared import written
 from .blocks import matrix, meeting
 
-PIVOTS, RING, BLOCK, SALTS = 64, 0.02, 16384, 32
+PIVOTS, RING, BLOCK, SALTS = 64, 0.02, 65536, 32
+#: Components of a block's vectors, scores that are worked on at a time, queries that are sent on at a time, and rows that are worth a task.
+NUMBERS, SCORES, ROUTED, LEAST = 2**22, 2**22, 512, 1024
 #: Room for rounding in distances; scores are held to nine digits.
 SLACK = 1e-4
 
@@ -83,76 +91,99 @@ def knn_join(queries: DataFrame, examples: DataFrame, k: int, *, query_id: str =
     e = written(e.mapInArrow(placed, "id long, v binary, ring long, d double"), "rings")
     rings = e.groupBy("ring").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).orderBy("ring").toArrow()  # 128 a pivot at most
     ring, n, lo, hi = (rings.column(c).to_numpy() for c in ("ring", "n", "lo", "hi"))
-    parts = -(-n // BLOCK)
-    tasks = max(int(parts.sum()) // 4, min(spark.sparkContext.defaultParallelism, len(ring)), 1)
-    table = spark.sparkContext.broadcast((ring, n, lo, hi, parts))
+    total = int(n.sum())
+    cores = spark.sparkContext.defaultParallelism
+    most = max(1, min(BLOCK, NUMBERS // max(dim, 1)))
+    blocks = max(-(-total // most), min(math.ceil(math.sqrt(cores)), -(-total // LEAST)))
+    slices = max(1, min(-(-cores // blocks), -(-total // LEAST)))  # of the queries; each has the block's rows once more
+    size = -(-total // blocks)
+    starts = np.cumsum(n) - n
+    opens, ends = starts // size, (starts + n - 1) // size  # each ring's first and last block
+    blocks = int(ends[-1]) + 1
+    has = np.arange(blocks)
+    left, right = np.searchsorted(ends, has, "left"), np.searchsorted(opens, has, "right")  # each block's rings
+    table = spark.sparkContext.broadcast((ring, n, lo, hi, starts, opens, ends, left, right))
+    error = 1e-6 + 1.2e-7 * dim  # of a product of unit vectors in single precision, and of rounding
 
     def met(held: pa.Table):
-        return held.column("id").to_numpy(), matrix(held.column("v"), dim)
+        v = matrix(held.column("v"), dim)
+        return held.column("id").to_numpy(), v, v.astype("f4")
 
     def best(state, batch: pa.RecordBatch):
-        ids, v = state
-        q = matrix(batch.column("q"), dim)
-        score = np.round(q @ v.T, 9)
+        step = max(1, SCORES // len(state[0]))
+        out = [_best(state, batch.slice(a, step)) for a in range(0, batch.num_rows, step)]
+        return pa.concat_batches(out)
+
+    def _best(state, batch: pa.RecordBatch):
+        ids, v, single = state
+        q, asker = matrix(batch.column("q"), dim), batch.column("query_id").to_numpy()
+        near = q.astype("f4") @ single.T
+        cut = batch.column("least").to_numpy(zero_copy_only=False).astype("f8") - error
+        for i in np.flatnonzero(np.isnan(cut)).tolist():  # nothing known of this query yet
+            row = np.where(ids == asker[i], np.float32(-np.inf), near[i]) if others else near[i]
+            m = min(k, len(ids))
+            cut[i] = np.partition(row, len(ids) - m)[len(ids) - m] - 2 * error
+        row, col = np.nonzero(near >= cut[:, None].astype("f4") - np.float32(1e-6))
         if others:
-            score[ids[None] == batch.column("query_id").to_numpy()[:, None]] = -np.inf
-        m = min(k, len(ids))
-        cut = np.partition(score, len(ids) - m, axis=1)[:, len(ids) - m]
-        row, col = np.nonzero((score >= cut[:, None]) & np.isfinite(score))
-        order = np.lexsort((ids[col], -score[row, col], row))
-        row, col = row[order], col[order]
+            row, col = (x[ids[col] != asker[row]] for x in (row, col))
+        score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[row[a : a + 65536]], v[col[a : a + 65536]]) for a in range(0, len(row), 65536))]).round(9)
+        order = np.lexsort((ids[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
         first = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, col = row[first], col[first]
-        return pa.RecordBatch.from_arrays([batch.column("qn").take(pa.array(row)), batch.column("query_id").take(pa.array(row)), pa.array(ids[col]), pa.array(score[row, col])], ["qn", "query_id", "example_id", "score"])
+        row, col, score = row[first], col[first], score[first]
+        return pa.RecordBatch.from_arrays([batch.column("qn").take(pa.array(row)), batch.column("query_id").take(pa.array(row)), pa.array(ids[col]), pa.array(score)], ["qn", "query_id", "example_id", "score"])
 
     found = "qn long, query_id long, example_id long, score double"
 
     def dealt(batches):
-        ring, _, _, _, parts = table.value
+        ring, n, _, _, starts, *_ = table.value
         for batch in batches:
-            r = batch.column("ring").to_numpy()
-            mixed = (batch.column("id").to_numpy().astype("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype("i8")
-            yield pa.RecordBatch.from_arrays([pa.array(r * 65536 + mixed % parts[np.searchsorted(ring, r)]), batch.column("id"), batch.column("v")], ["block", "id", "v"])
+            at = np.searchsorted(ring, batch.column("ring").to_numpy())
+            share = (batch.column("mixed").to_numpy().view("u8") >> np.uint64(33)) / 2**31
+            block = (starts[at] + np.minimum((share * n[at]).astype("i8"), n[at] - 1)) // size
+            for s in range(slices):
+                yield pa.RecordBatch.from_arrays([pa.array(block * slices + s), batch.column("id"), batch.column("v")], ["block", "id", "v"])
 
-    held = e.select("ring", "id", "v").mapInArrow(dealt, "block long, id long, v binary")
-    asked = written(_usable(queries, query_id, vec_col).distinct().select(F.xxhash64("id", "v").alias("qn"), F.col("id").alias("query_id"), "v").withColumn("bound", F.lit(None).cast("double")), "asked")
+    held = e.select("ring", "id", "v", F.xxhash64("id", "v").alias("mixed")).mapInArrow(dealt, "block long, id long, v binary")
+    none = F.lit(None).cast("double").alias("least")
+    asked = written(_usable(queries, query_id, vec_col).distinct().select(F.xxhash64("id", "v").alias("qn"), F.col("id").alias("query_id"), "v"), "asked")
 
     def routed(first: bool):
         def run(batches):
-            ring, n, lo, hi, parts = table.value
             for batch in batches:
-                part, v = _rows(batch, dim)
-                if not len(v):
-                    continue
-                d = _distances(v, shared.value)[:, ring // 128]
-                least = np.maximum(np.maximum(lo - d, d - hi), 0)
-                if first:
-                    far = np.argmin(least + d + np.where(n > k, 0, 4), axis=1)
-                    at, row, size = far, np.arange(len(v)), np.ones(len(v), "i8")
-                else:
-                    most = d + hi
-                    order = np.argsort(most, axis=1)
-                    enough = np.cumsum(n[order], axis=1) >= k + 1
-                    kth = np.where(enough[:, -1], most[np.arange(len(v)), order[np.arange(len(v)), enough.argmax(axis=1)]], 4.0)
-                    bound = np.minimum(kth, np.nan_to_num(part.column("bound").to_numpy(zero_copy_only=False).astype("f8"), nan=4.0))
-                    row, at = np.nonzero(least <= bound[:, None] + SLACK)
-                    size = parts[at]
-                total = int(size.sum())
-                row, at = np.repeat(row, size), np.repeat(at, size)
-                s = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-                if first:
-                    s = part.column("qn").to_numpy() % parts[at]
-                for a in range(0, total, 8192):
-                    r = row[a : a + 8192]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ring[at[a : a + 8192]] * 65536 + s[a : a + 8192]), part.column("qn").take(pa.array(r)), part.column("query_id").take(pa.array(r)), pa.array([x.tobytes() for x in v[r]], pa.binary())], ["block", "qn", "query_id", "q"]
-                    )
+                for a in range(0, batch.num_rows, ROUTED):
+                    part, v = _rows(batch.slice(a, ROUTED), dim)
+                    if len(v):
+                        yield sent(part, v)
+
+        def sent(part, v):
+            ring, n, lo, hi, _, opens, ends, left, right = table.value
+            each = np.arange(len(v))
+            qn = part.column("qn").to_numpy()
+            d = _distances(v, shared.value)[:, ring // 128]
+            least = np.maximum(np.maximum(lo - d, d - hi), 0)
+            if first:
+                at = np.argmin(least + d + np.where(n > k, 0, 4), axis=1)
+                row, block = each, opens[at] + qn % (ends[at] - opens[at] + 1)
+            else:
+                most = d + hi
+                order = np.argsort(most, axis=1)
+                enough = np.cumsum(n[order], axis=1) >= k + 1
+                kth = np.where(enough[:, -1], most[each, order[each, enough.argmax(axis=1)]], 4.0)
+                reach = part.column("least").to_numpy(zero_copy_only=False).astype("f8")
+                bound = np.minimum(kth, np.nan_to_num(np.sqrt(np.maximum(2 - 2 * reach, 0)), nan=4.0))
+                needs = np.cumsum(np.pad(least <= bound[:, None] + SLACK, ((0, 0), (1, 0))), axis=1)
+                row, block = np.nonzero(needs[:, right] > needs[:, left])
+            take = pa.array(row)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(block * slices + qn[row] % slices), part.column("qn").take(take), part.column("query_id").take(take), part.column("least").take(take), pa.array([x.tobytes() for x in v[row]], pa.binary())], ["block", "qn", "query_id", "least", "q"]
+            )
 
         return run
 
-    wants = "block long, qn long, query_id long, q binary"
-    near = meeting(held, asked.mapInArrow(routed(True), wants), found, met, best, tasks=tasks)
-    bounds = near.groupBy("qn").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))).alias("bound"))
-    all_ = meeting(held, asked.drop("bound").join(bounds, "qn", "left").mapInArrow(routed(False), wants), found, met, best, tasks=tasks)
+    wants = "block long, qn long, query_id long, least double, q binary"
+    near = meeting(held, asked.select("*", none).mapInArrow(routed(True), wants), found, met, best, tasks=blocks * slices, numbered=True)
+    bounds = near.groupBy("qn").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    all_ = meeting(held, asked.join(bounds, "qn", "left").mapInArrow(routed(False), wants), found, met, best, tasks=blocks * slices, numbered=True)
     rank = F.row_number().over(Window.partitionBy("qn").orderBy(F.desc("score"), "example_id"))
     return all_.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "example_id", "score")

@@ -154,3 +154,18 @@ def test_text_vectors_are_those_of_a_plain_reading(spark):
         assert (r["vector"] is None) == (want is None) and (want is None or np.array_equal(r["vector"], want))
     near = {r["text"]: np.array(r["vector"]) for r in out if r["vector"]}
     assert (near["The quick brown fox"] == near["the  QUICK\nbrown fox "]).all()
+
+
+def test_a_query_is_sent_once_to_a_block(spark, monkeypatch):
+    """Random directions need nearly all rings; they are sent to blocks, not to rings."""
+    sent, plain = [], neighbours.meeting
+
+    def counted(held, passing, *rest, **how):
+        sent.append((passing.count(), passing.select("block").distinct().count()))
+        return plain(held, passing, *rest, **how)
+
+    monkeypatch.setattr(neighbours, "meeting", counted)
+    rng = np.random.default_rng(5)
+    df = frame(spark, [(i, rng.normal(size=16).tolist()) for i in range(1500)])
+    neighbours.knn_join(df, df, 3)
+    assert sent[0][0] == 1500 and sent[1][0] <= 1500 * 4
