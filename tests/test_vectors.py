@@ -169,3 +169,8 @@ def test_a_query_is_sent_once_to_a_block(spark, monkeypatch):
     df = frame(spark, [(i, rng.normal(size=16).tolist()) for i in range(1500)])
     neighbours.knn_join(df, df, 3)
     assert sent[0][0] == 1500 and sent[1][0] <= 1500 * 4
+
+
+def test_texts_are_encoded_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "of the net"), (2, None)], "doc_id long, text string")
+    assert "Exchange" not in encoding.encoded(df, "text")._jdf.queryExecution().executedPlan().toString()
