@@ -27,6 +27,8 @@ import functools
 import operator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +42,8 @@ DISCOVERY = {"title": 8.0, "topic_aliases_text": 7.0, "keywords": 5.0, "abstract
 PASSAGE = {"title": 5.0, "abstract": 2.0, "content": 1.0}
 BUCKETS, SALTS = 64, 4
 TITLE_PHRASE = 5
+#: Words that are counted at a time; a longer text comes alone.
+WORDS_AT_ONCE = 500_000
 
 
 @dataclass(frozen=True)
@@ -89,12 +93,43 @@ def _dealt(rows: DataFrame, target: str) -> None:
     rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "term").drop("salt").write.partitionBy("bucket").parquet(target)
 
 
+def _posted(words: DataFrame, kind: str) -> DataFrame:
+    """(field, id, row, dl, term, tf, positions) of rows with their words ``w``. Each row's words are counted where it is read: no occurrence is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            ends = np.cumsum(batch.column("w").value_lengths().to_numpy(zero_copy_only=False).astype("i8"))
+            start = 0
+            while start < len(ends):
+                done = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + WORDS_AT_ONCE, "right")))
+                yield counted(batch.slice(start, stop - start))
+                start = stop
+
+    def counted(part):
+        w = part.column("w")
+        dl = w.value_lengths().to_numpy(zero_copy_only=False).astype("i8")
+        coded = w.flatten().dictionary_encode()
+        terms = max(1, len(coded.dictionary))
+        at = np.arange(int(dl.sum())) - np.repeat(np.cumsum(dl) - dl, dl)
+        key = np.repeat(np.arange(len(dl)) * terms, dl) + coded.indices.to_numpy().astype("i8")
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        ends = np.append(first, len(key))
+        row = pa.array(key[first] // terms)
+        found = [part.column(c).take(row) for c in ("field", "id", "row", "dl")]
+        positions = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(at[order].astype("i4")))
+        return pa.RecordBatch.from_arrays([*found, coded.dictionary.take(pa.array(key[first] % terms)), pa.array(np.diff(ends)), positions], ["field", "id", "row", "dl", "term", "tf", "positions"])
+
+    return words.select("field", "id", "row", "dl", "w").mapInArrow(run, f"field string, id {kind}, row long, dl int, term string, tf long, positions array<int>")
+
+
 def _segment(index: Index, df: DataFrame, fields: dict[str, Column]) -> Index:
     rows = df.withColumn("__row", F.monotonically_increasing_id())
     parts = [rows.select(F.lit(n).alias("field"), F.col(f"`{index.id_col}`").alias("id"), F.col("__row").alias("row"), T.words(F.coalesce(c.cast("string"), F.lit(""))).alias("w")) for n, c in fields.items()]
     words = functools.reduce(DataFrame.unionByName, parts).filter("id is not null").withColumn("dl", F.size("w"))
-    each = words.select("field", "id", "row", "dl", F.posexplode("w").alias("at", "term")).groupBy("field", "id", "row", "dl", "term")
-    found = each.agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+    found = _posted(words, index.kind)
     _dealt(found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int")), f"{index.path}/postings/segment={index.segments}")
     words.select("field", "id", "row", "dl").write.parquet(f"{index.path}/lengths/segment={index.segments}")
     return _measured(replace(index, segments=index.segments + 1))

@@ -130,3 +130,14 @@ def test_lexical_match(spark):
     assert {r["q"]: (r["chosen"], r["reason"]) for r in out.collect()} == {
         "a": ("Deep net load", "unique_lexical_winner"), "b": (None, "margin_below_threshold"), "c": (None, "score_below_threshold"), "d": (None, "score_below_threshold"),
     }
+
+
+def test_words_are_counted_where_they_are_read(spark, monkeypatch):
+    monkeypatch.setattr(S, "WORDS_AT_ONCE", 50)
+    rows = [(i, t) for i, t in enumerate(said(9, 60)) if t] + [(90, None), (91, "of of the of")]
+    words = spark.createDataFrame(rows, "id long, text string").select(F.lit("content").alias("field"), "id", F.col("id").alias("row"), T.words(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+    found = S._posted(words, "bigint")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["term"]): (r["tf"], list(r["positions"]), r["dl"]) for r in found.collect()}
+    want = {(i, w): (plain(t).count(w), [at for at, x in enumerate(plain(t)) if x == w], len(plain(t))) for i, t in rows for w in plain(t)}
+    assert got == want
