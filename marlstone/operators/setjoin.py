@@ -3,7 +3,7 @@
 Tokens have one order for both sides: rare ones first, by their counts among the right
 side's sets. Two sets can reach the threshold only if the first few tokens of each
 meet (the prefix filter) and their sizes are near enough, so sets meet on these tokens
-and their exact overlap decides. Only tokens with more than one ten-thousandth of all
+and their exact overlap decides there: a pair that doesn't reach it is never shuffled. Only tokens with more than one ten-thousandth of all
 occurrences have a count of their own in the order, which are ten thousand at most and
 are broadcast; the others count as equally rare and go by hash.
 
@@ -14,12 +14,17 @@ result.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .search import lexical_choice
 
 OWN_COUNT = 10_000
+#: Thresholds by which queries are tried before the one that a choice asks for.
+FIRST = (0.6, 0.4)
 
 
 def _ordered(sets: DataFrame, counts: DataFrame) -> DataFrame:
@@ -37,20 +42,31 @@ def jaccard_join(left: DataFrame, right: DataFrame, least: float, *, left_id: st
     floor = max(2, words.count() // OWN_COUNT)
     counts = words.groupBy("t").count().filter(F.col("count") > floor)
     ceil = lambda n: F.ceil(least * n - 1e-9).cast("int")
-    prefix = lambda s: s.select("id", "n", F.explode(F.slice("tokens", F.lit(1), F.col("n") - ceil(F.col("n")) + 1)).alias("t"))
+    prefix = lambda s: s.select("id", "n", "tokens", F.explode(F.slice("tokens", F.lit(1), F.col("n") - ceil(F.col("n")) + 1)).alias("t"))
     x, y = _ordered(a, counts), _ordered(b, counts)
     met = prefix(x).alias("x").join(prefix(y).alias("y"), F.col("x.t") == F.col("y.t")).filter((F.col("y.n") >= ceil(F.col("x.n"))) & (F.col("x.n") >= ceil(F.col("y.n"))))
-    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    whole = pairs.join(x.select(F.col("id").alias("a"), F.col("tokens").alias("s"), F.col("n").alias("m")), "a").join(y.select(F.col("id").alias("b"), F.col("tokens").alias("t"), "n"), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    out = whole.withColumn("score", common / (F.col("m") + F.col("n") - common)).filter(F.col("score") >= least - 1e-12)
-    return out.select(F.col("a").alias(left_id), F.col("b").alias(right_id), "score")
+    both = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("__m"), F.col("y.n").alias("__n"), F.col("x.t").alias("__t"), F.array_intersect("x.tokens", "y.tokens").alias("__both"))
+    common = F.size("__both")
+    scored = both.withColumn("score", common / (F.col("__m") + F.col("__n") - common))
+    # the first common token of a pair that reaches the threshold is in both prefixes, and the pair counts there
+    return scored.filter((F.col("score") >= least - 1e-12) & (F.get("__both", F.lit(0)) == F.col("__t"))).select(F.col("a").alias(left_id), F.col("b").alias(right_id), "score")
 
 
 def lexical_match(queries: DataFrame, names: DataFrame, *, query: str, name: str, query_tokens: Column, name_tokens: Column, least: float = 0.35, margin: float = 0.10) -> DataFrame:
     """Each query's one best name by Jaccard if it reaches ``least`` and is ``margin`` ahead of the next, else null with the reason.
 
-    Names that are ``margin`` or more below the threshold can't change a choice, so the join takes those above."""
-    near = jaccard_join(queries, names, max(least - margin, 0.05), left_id=query, right_id=name, left_tokens=query_tokens, right_tokens=name_tokens)
-    all_ = queries.select(query).filter(F.col(query).isNotNull()).distinct().join(near.withColumn("score", F.round("score", 9)), query, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return lexical_choice(all_, query=query, item=name, least=least, margin=margin)
+    Names that are ``margin`` or more below the threshold can't change a choice. Queries with the same tokens are asked once, first
+    with high thresholds: where the best name found is ``margin`` above a threshold, no name below that can change the choice."""
+    low = max(least - margin, 0.05)
+    tokens = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.filter(query_tokens, lambda x: x.isNotNull()), F.array().cast("array<string>"))))))
+    asks = written(queries.filter(F.col(query).isNotNull()).groupBy(query).agg(tokens.alias("__s")), "asks")
+    rest, choices = asks.select("__s").distinct(), []
+    for t in [*(t for t in FIRST if t > low), low]:
+        near = written(jaccard_join(rest, names, t, left_id="__s", right_id=name, left_tokens=F.col("__s"), right_tokens=name_tokens).withColumn("score", F.round("score", 9)), "near")
+        if t > low:
+            sure = near.groupBy("__s").agg(F.max("score").alias("best")).filter(F.col("best") >= t + margin + 1e-6).select("__s")
+            near, rest = near.join(sure, "__s", "left_semi"), written(rest.join(sure, "__s", "left_anti"), "rest")
+        else:
+            near = rest.join(near, "__s", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        choices.append(lexical_choice(near.select("__s", name, "score"), query="__s", item=name, least=least, margin=margin))
+    return asks.join(functools.reduce(DataFrame.unionByName, choices), "__s").select(query, "chosen", "reason")

@@ -141,3 +141,12 @@ def test_words_are_counted_where_they_are_read(spark, monkeypatch):
     got = {(r["id"], r["term"]): (r["tf"], list(r["positions"]), r["dl"]) for r in found.collect()}
     want = {(i, w): (plain(t).count(w), [at for at, x in enumerate(plain(t)) if x == w], len(plain(t))) for i, t in rows for w in plain(t)}
     assert got == want
+
+
+def test_pairs_are_judged_where_they_meet(spark):
+    """Only prefixes are joined: one join, and no pair is made distinct or joined with its sets afterwards."""
+    df = spark.createDataFrame([(i, ["a", "b", f"x{i}"]) for i in range(20)], "a long, w array<string>")
+    out = J.jaccard_join(df, df.withColumnRenamed("a", "b"), 0.5, left_id="a", right_id="b", left_tokens=F.col("w"), right_tokens=F.col("w"))
+    assert sorted(tuple(r) for r in out.collect()) == [(i, j, 1.0 if i == j else 0.5) for i in range(20) for j in range(20)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
