@@ -1,12 +1,13 @@
-"""Joins of blocks: the rows of one side are held while those of the other stream by."""
+"""Joins of blocks, in which the rows of one side are held while those of the other stream by, and portions of Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,17 @@ def meeting(held: DataFrame, passing: DataFrame, schema: str, hold: Callable[[pa
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int, kind: str = "f8") -> np.ndarray:
     """Rows of a binary column as vectors."""
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
+
+
+#: Bytes of text that become Python objects at a time.
+PORTION = 1 << 20
+
+
+def portions(batch: pa.RecordBatch, text: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts hold about ``most`` bytes, or one row: a batch holds up to ten thousand texts of any length."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype("i8")
+    upto, a = np.cumsum(size), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - size[a] + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b

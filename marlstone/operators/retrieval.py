@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .blocks import portions
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -34,15 +36,18 @@ def pack_paragraphs(text: str | None, size: int = 512) -> list[str]:
 
 
 def paragraph_chunks(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 512) -> DataFrame:
-    """(id, chunk_index, chunk): each document's packed lines, by Arrow batches."""
-    import pandas as pd
+    """(id, chunk_index, chunk): each document's packed lines, by portions of Arrow batches."""
 
     def run(batches):
-        for pdf in batches:
-            rows = [(i, j, c) for i, t in zip(pdf[id_col], pdf[text_col], strict=True) for j, c in enumerate(pack_paragraphs(t, size))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "chunk"])
-
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, chunk_index int, chunk string")
+        for batch in batches:
+            for part in portions(batch, "text"):
+                made = [pack_paragraphs(t, size) for t in part.column("text").to_pylist()]
+                row = pa.array([i for i, m in enumerate(made) for _ in m], pa.int64())
+                at, chunk = pa.array([j for m in made for j in range(len(m))], pa.int32()), pa.array([c for m in made for c in m], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("id").take(row), at, chunk], ["id", "chunk_index", "chunk"])
+
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, chunk_index int, chunk string").withColumnRenamed("id", id_col)
 
 
 def _is(word: str):
