@@ -19,12 +19,14 @@ def consecutive(df: DataFrame, match: Column, *, keys: list[str], max_gap_us: in
     """Maximal runs of matching samples; a sample that doesn't match or a gap over ``max_gap_us`` breaks a run.
 
     Of samples with the same time the one with the largest ``tie`` counts."""
-    last = df.withColumn("__m", F.coalesce(match, F.lit(False))).groupBy(*keys, time).agg(F.max_by("__m", tie).alias("__m"))
-    w = Window.partitionBy(*keys).orderBy(time)
-    marked = last.withColumn("__new", F.when(F.lag("__m").over(w) & (F.col(time) - F.lag(time).over(w) <= max_gap_us), 0).otherwise(1))
-    run = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("__m")
-    out = run.groupBy(*keys, "__run").agg(F.min(time).alias("start_us"), F.max(time).alias("end_us"), F.count(F.lit(1)).alias("samples"))
-    return out.filter(F.col("end_us") - F.col("start_us") >= min_us).drop("__run")
+    rows = df.select(*keys, F.col(time).alias("start_us"), F.col(tie).alias("__tie"), F.when(F.col(tie).isNotNull(), F.coalesce(match, F.lit(False))).alias("__m")).filter("start_us is not null")
+    w = Window.partitionBy(*keys).orderBy("start_us", "__tie")  # one order for all that follows, so rows are sorted once and nothing is held by key
+    last = rows.withColumn("__next", F.lead("start_us").over(w)).filter("__next is null or __next > start_us").withColumn("__m", F.coalesce("__m", F.lit(False)))
+    goes_on = F.coalesce(F.lag("__m").over(w) & (F.col("start_us") - F.lag("start_us").over(w) <= max_gap_us), F.lit(False))
+    marked = last.withColumns({"__on": F.col("__m") & goes_on, "__n": F.row_number().over(w).cast("long")})
+    ends = marked.withColumn("__last", ~F.coalesce(F.lead("__on").over(w), F.lit(False))).filter("__m and (__last or not __on)")  # a run's first and last sample
+    whole = {"end_us": F.when(F.col("__last"), F.col("start_us")).otherwise(F.lead("start_us").over(w)), "samples": F.when(F.col("__last"), 1).otherwise(F.lead("__n").over(w) - F.col("__n") + 1)}
+    return ends.withColumns(whole).filter(~F.col("__on") & (F.col("end_us") - F.col("start_us") >= min_us)).select(*keys, "start_us", "end_us", "samples")
 
 
 def local_dates(intervals: DataFrame, *, keys: list[str], offset_us: int) -> DataFrame:
@@ -45,25 +47,25 @@ def merged(intervals: DataFrame, *, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys, "__run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("__run")
 
 
-def _swept(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start_us, end_us, na, nb): the stretches between boundaries of the merged sides, and how many of each side cover them."""
-    edge = lambda df, c, d, side: df.select(*keys, F.col(c).alias("at"), F.lit(d if side == "a" else 0).alias("da"), F.lit(d if side == "b" else 0).alias("db"))
-    ma, mb = merged(a, keys=keys), merged(b, keys=keys)
-    points = edge(ma, "start_us", 1, "a").unionByName(edge(ma, "end_us", -1, "a")).unionByName(edge(mb, "start_us", 1, "b")).unionByName(edge(mb, "end_us", -1, "b"))
-    at = points.groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    w = Window.partitionBy(*keys).orderBy("at")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return at.select(*keys, F.col("at").alias("start_us"), F.lead("at").over(w).alias("end_us"), F.sum("da").over(run).alias("na"), F.sum("db").over(run).alias("nb")).filter("end_us is not null")
+def _swept(a: DataFrame, b: DataFrame, keys: list[str], holds: str) -> DataFrame:
+    """(keys, start_us, end_us): the longest stretches in which ``holds`` is true of na and nb, how many intervals of each side cover them.
+
+    Sides need not be merged before: boundaries at which nothing changes drop out. Bounds are sorted once, and nothing is held by key."""
+    edge = lambda df, da, db: df.filter("start_us < end_us").select(*keys, F.explode(F.array(F.struct(F.col("start_us").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.at", (F.col("e.d") * da).alias("da"), (F.col("e.d") * db).alias("db"))
+    w = Window.partitionBy(*keys).orderBy("at")  # sums are over all bounds up to this time, with those at the same time
+    at = edge(a, 1, 0).unionByName(edge(b, 0, 1)).withColumns({"na": F.sum("da").over(w), "nb": F.sum("db").over(w)}).withColumn("on", F.expr(holds))
+    turns = at.withColumn("was", F.coalesce(F.lag("on").over(w), F.lit(False))).filter("on <> was")
+    return turns.withColumn("end_us", F.lead("at").over(w)).filter("on").select(*keys, F.col("at").alias("start_us"), "end_us")
 
 
 def intersection(a: DataFrame, b: DataFrame, *, keys: list[str]) -> DataFrame:
     """Common parts of the merged sides, by a sweep over both sides' boundaries; a long interval is two rows, however long."""
-    return _swept(a, b, keys).filter("na > 0 and nb > 0").select(*keys, "start_us", "end_us")
+    return _swept(a, b, keys, "na > 0 and nb > 0")
 
 
 def difference(a: DataFrame, b: DataFrame, *, keys: list[str]) -> DataFrame:
     """Parts of ``a`` outside ``b``, by the same sweep."""
-    return merged(_swept(a, b, keys).filter("na > 0 and nb = 0").select(*keys, "start_us", "end_us"), keys=keys)
+    return _swept(a, b, keys, "na > 0 and nb = 0")
 
 
 def overlap_ratio(a: DataFrame, b: DataFrame, *, keys: list[str]) -> DataFrame:
