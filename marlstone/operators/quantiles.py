@@ -1,10 +1,12 @@
 """Exact quantiles of large groups, without a group's values meeting in one task.
 
-A first pass counts values in ``BINS`` bins of each group's range; running counts
-tell in which bin a rank lies. A second pass counts the distinct values of these few
-bins only, and a running count inside the bin gives the value. A bin whose rows are
-all of one value is one row; a bin's distinct values are about a ``BINS``-th of the
-group's unless nearly all lie close together.
+A first pass takes each group's range, a second one counts values in ``BINS`` bins of
+it; running counts tell in which bin a rank lies. A third pass counts the distinct values
+of these few bins only, and a running count inside the bin gives the value. A bin whose
+rows are all of one value is one row; a bin's distinct values are about a ``BINS``-th of
+the group's unless nearly all lie close together. Ranges and bins are written to the
+shared folder, so their size is known and few of them go to the rows by broadcast: rows
+are never shuffled by group, and other bins' values are in no hash table.
 
 Cases: null and not-a-number values are left out; a group without a value has null
 quantiles; infinite values count in the outer bins; an empty table gives an empty
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+
 BINS = 4096
 
 
@@ -39,6 +43,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], *,
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(by, g, strict=True)], F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
     finite = F.when(F.abs("__v") < float("inf"), F.col("__v"))
     whole = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.min(finite).alias("__lo"), F.max(finite).alias("__hi"))
+    whole = written(whole, "ranges")  # a row a group
 
     def met(x: DataFrame, y: DataFrame, *more: tuple[str, str]) -> DataFrame:
         """``x`` with the columns of the same group of ``y`` (and with equal ``more`` columns)."""
@@ -54,8 +59,9 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], *,
     wanted = [r for q in qs.values() for r in _ranks(F.col("__n"), q, method)[:2]]
     each = counts.withColumn("__upto", upto).select(*g, F.col("__b").alias("__hb"), (F.col("__upto") - F.col("__c")).alias("__before"), "__upto", F.explode(F.array(*wanted)).alias("__r"))
     hit = each.filter((F.col("__r") > F.col("__before")) & (F.col("__r") <= F.col("__upto"))).select(*g, "__hb", "__before", "__r").distinct()
-    distinct = binned.groupBy(*g, "__b", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    inside = met(distinct, hit.select(*g, "__hb", "__before").distinct(), ("__b", "__hb")).drop("__hb")  # two bins a quantile and group
+    hit = written(hit, "bins")  # two bins a quantile and group
+    near = met(binned.drop("__n", "__lo", "__hi"), hit.select(*g, "__hb", "__before").distinct(), ("__b", "__hb")).drop("__hb")
+    inside = near.groupBy(*g, "__b", "__v").agg(F.count(F.lit(1)).alias("__c"), F.max("__before").alias("__before"))
     in_bin = F.sum("__c").over(Window.partitionBy(*g, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("__to", F.col("__before") + in_bin)
     found = met(inside, hit.select(*g, "__hb", "__r"), ("__b", "__hb")).filter((F.col("__r") > F.col("__to") - F.col("__c")) & (F.col("__r") <= F.col("__to")))
