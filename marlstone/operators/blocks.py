@@ -11,18 +11,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Pairs of a held and a passing row that are looked at at a time: a few arrays of 16 MB.
+PAIRS = 1 << 21
+
 
 def meeting(held: DataFrame, passing: DataFrame, schema: str, hold: Callable[[pa.Table], Any], meet: Callable[[Any, pa.RecordBatch], pa.RecordBatch | None], *, tasks: int, numbered: bool = False) -> DataFrame:
-    """``meet(hold(rows of held), batch of passing)`` for each ``block`` (a long column of both sides).
+    """``meet(hold(rows of held), some rows of passing)`` for each ``block`` (a long column of both sides).
 
     A block's held rows are in one task's memory together, so they have to be few; passing rows come in Arrow batches, however many
-    there are. Both sides shuffle once, by block; a block with rows of one side only gives nothing. ``numbered`` blocks run from 0 below
+    there are, and of these so few at a time that they make about ``PAIRS`` pairs with the held ones. Both sides shuffle once, by
+    block; a block with rows of one side only gives nothing. ``numbered`` blocks run from 0 below
     ``tasks`` and have a task each."""
     both = held.withColumn("__side", F.lit(0)).unionByName(passing.withColumn("__side", F.lit(1)), allowMissingColumns=True)
     mine, theirs = held.columns, passing.columns
 
     def run(batches):
-        block, rows, state = None, [], None
+        block, rows, state, few = None, [], None, 1
         for batch in batches:
             at, side = batch.column("block").to_numpy(), batch.column("__side").to_numpy()
             change = np.flatnonzero((np.diff(at) != 0) | (np.diff(side) != 0)) + 1
@@ -37,9 +41,11 @@ def meeting(held: DataFrame, passing: DataFrame, schema: str, hold: Callable[[pa
                     rows.append(part.select(mine))
                     continue
                 if rows:
+                    few = max(1, PAIRS // sum(x.num_rows for x in rows))
                     state, rows = hold(pa.Table.from_batches(rows)), []
-                if state is not None and (out := meet(state, part.select(theirs))) is not None:
-                    yield out
+                for c in range(0, b - a if state is not None else 0, few):
+                    if (out := meet(state, part.slice(c, few).select(theirs))) is not None:
+                        yield out
 
     dealt = both.repartitionById(tasks, F.col("block").cast("int")) if numbered else both.repartition(tasks, "block")
     return dealt.sortWithinPartitions("block", "__side").mapInArrow(run, schema)

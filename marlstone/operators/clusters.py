@@ -161,14 +161,14 @@ def category_scores(rows: DataFrame, queries: DataFrame) -> DataFrame:
     def hold(t):
         key = np.stack([t.column("label").to_numpy(), t.column("cluster").to_numpy()], axis=1)
         kinds, at = np.unique(key, axis=0, return_inverse=True)
-        return kinds, at.ravel(), t.column("id").to_numpy(), matrix(t.column("v"), dim)
+        order = np.argsort(at.ravel(), kind="stable")
+        return kinds, np.searchsorted(at.ravel()[order], np.arange(len(kinds))), t.column("id").to_numpy()[order], matrix(t.column("v"), dim)[order]
 
     def meet(state, batch):
-        kinds, at, ids, v = state
+        kinds, first, ids, v = state  # rows in order of their kind
         score = np.round(matrix(batch.column("q"), dim) @ v.T, 9)
         score[ids[None] == batch.column("query_id").to_numpy()[:, None]] = -2
-        order = np.argsort(at, kind="stable")
-        best = np.maximum.reduceat(score[:, order], np.searchsorted(at[order], np.arange(len(kinds))), axis=1)
+        best = np.maximum.reduceat(score, first, axis=1)
         row, col = np.nonzero(best > -2)
         return pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), pa.array(kinds[col, 0]), pa.array(kinds[col, 1]), pa.array(best[row, col])], ["query_id", "label", "cluster", "best"])
 
