@@ -49,17 +49,21 @@ class _Fold(StatefulProcessor):
         self.state = handle.getValueState("state", self.schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
-        state = tuple(self.state.get()) if self.state.exists() else self.start
+        parts = list(rows)
+        pdf = (parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)).sort_values(["us", "event_id"], kind="stable")
+        old = self.state.get()  # each question about state goes to the JVM and back, so a new key asks once
+        state = self.start if old is None else tuple(old)
         out = []
         for values in zip(*(pdf[c].tolist() for c in self.reads), strict=True):
             state, answer = self.step(state, *values)
             out.append(answer)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
+        if old is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         until = self.over(state)
         if until is None:
-            self.state.clear()
+            if old is not None:
+                self.state.clear()
         else:
             self.state.update(state)
             self.handle.registerTimer(-(-until // 1000))
