@@ -3,12 +3,13 @@
 ``build`` cuts the fields of a table into words once and writes postings (field,
 term, id, row, positions, dl), dealt by a hash of the term into ``buckets`` folders, and
 the fields' lengths by document. A query reads only its terms' folders, so its cost
-follows the postings of its terms, not the corpus. A frequent term's postings are
-spread over several files by a hash of the id.
+follows the postings of its terms, not the corpus. Postings are sorted and written by
+the task that reads the texts, so none is shuffled, and a frequent term's postings are
+spread over as many files as there are tasks.
 
 An index grows by segments: ``append`` writes the postings of new documents only, and
-notes which ids they replace; ``merged`` writes the live postings of all segments as
-one. ``opened`` keeps a folder's index for the session, until its files change.
+notes which rows they replace, a bit a row; ``merged`` writes the live postings of all
+segments as one, bucket by bucket from the files they are in. ``opened`` keeps a folder's index for the session, until its files change.
 
 Scores are BM25 with the usual constants; a document's score is that of its best
 field, each field weighed by its boost. A phrase is found where its words' positions
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import zlib
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -40,7 +42,12 @@ from .retrieval import K1, RRF_K, B, cosine
 # The fields' weights in the two kinds of search, and limits.
 DISCOVERY = {"title": 8.0, "topic_aliases_text": 7.0, "keywords": 5.0, "abstract": 3.0, "content": 1.0}
 PASSAGE = {"title": 5.0, "abstract": 2.0, "content": 1.0}
-BUCKETS, SALTS = 64, 4
+#: Folders of postings, and files that a bucket of a merged index has at most.
+BUCKETS, FILES = 64, 4
+#: Rows replaced later are noted in words of so many bits (2 to this power).
+WORD = 6
+#: monotonically_increasing_id counts the rows of a partition in so many bits.
+PARTITION = 33
 TITLE_PHRASE = 5
 #: Words that are counted at a time; a longer text comes alone.
 WORDS_AT_ONCE = 500_000
@@ -55,12 +62,14 @@ class Index:
     buckets: int
     segments: int
     stats: dict[str, tuple[int, float]]  # field: documents, mean length
+    rows: int = 0  # the next segment's first row, so that live rows of all segments differ
 
     def _live(self, rows: DataFrame) -> DataFrame:
         if self.segments < 2:
             return rows
-        gone = self.spark.read.schema(f"id {self.kind}, before int").parquet(f"{self.path}/gone").groupBy("id").agg(F.max("before").alias("before"))
-        return rows.join(gone, "id", "left").filter("before is null or segment >= before").drop("before")
+        dead = self.spark.read.schema("segment int, word long, bits long").parquet(f"{self.path}/dead").groupBy("segment", "word").agg(F.bit_or("bits").alias("bits"))
+        found = rows.withColumn("word", F.shiftright("row", WORD)).join(F.broadcast(dead), ["segment", "word"], "left")
+        return found.filter(F.col("bits").isNull() | (F.getbit("bits", _place("row")) == 0)).select(*rows.columns)
 
     @property
     def stored(self) -> DataFrame:
@@ -74,7 +83,7 @@ class Index:
     def of(self, terms: list[str]) -> DataFrame:
         """The terms' postings, from their folders only."""
         rows = [(t,) for t in terms] or [("",)]
-        wanted = [r[0] for r in self.spark.createDataFrame(rows, "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.buckets)).cast("int")).distinct().collect()]
+        wanted = [r[0] for r in self.spark.createDataFrame(rows, "t string").select(F.pmod(F.crc32(F.col("t").cast("binary")), F.lit(self.buckets)).cast("int")).distinct().collect()]
         return self._live(self.stored.filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms or [""])))
 
     def lengths(self) -> DataFrame:
@@ -83,18 +92,25 @@ class Index:
 
 
 def _measured(index: Index) -> Index:
-    sums = index.lengths().groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).collect()
-    return replace(index, stats={r["field"]: (r["n"], r["mean"]) for r in sums})
+    sums = index.lengths().groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), F.max("row").alias("last")).collect()
+    after = max(((r["last"] >> PARTITION) + 1 << PARTITION for r in sums), default=0)
+    return replace(index, stats={r["field"]: (r["n"], r["mean"]) for r in sums}, rows=after)
+
+
+def _place(row: str) -> Column:
+    return F.col(row).bitwiseAND(F.lit((1 << WORD) - 1)).cast("int")
 
 
 def _dealt(rows: DataFrame, target: str) -> None:
-    """Write postings by bucket: one shuffle, no group larger than a bucket's salt."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "term").drop("salt").write.partitionBy("bucket").parquet(target)
+    """Write postings by bucket, each task its own, in the order of terms and rows: rows and ids are stored as differences."""
+    how = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#row": "false", "parquet.enable.dictionary#id": "false"}
+    rows.sortWithinPartitions("bucket", "term", "row").write.options(**how).partitionBy("bucket").parquet(target)
+
 
+def _posted(words: DataFrame, kind: str, buckets: int) -> DataFrame:
+    """(field, id, row, dl, term, tf, positions, bucket) of rows with their words ``w``. Each row's words are counted where it is read: no occurrence is shuffled.
 
-def _posted(words: DataFrame, kind: str) -> DataFrame:
-    """(field, id, row, dl, term, tf, positions) of rows with their words ``w``. Each row's words are counted where it is read: no occurrence is shuffled."""
+    What is counted at a time comes in the order in which it is written, so that sorting is merging."""
 
     def run(batches):
         for batch in batches:
@@ -110,27 +126,32 @@ def _posted(words: DataFrame, kind: str) -> DataFrame:
         w = part.column("w")
         dl = w.value_lengths().to_numpy(zero_copy_only=False).astype("i8")
         coded = w.flatten().dictionary_encode()
-        terms = max(1, len(coded.dictionary))
+        said = [t.encode() for t in coded.dictionary.to_pylist()]
+        ranked = sorted((zlib.crc32(t) % buckets, t, i) for i, t in enumerate(said))
+        terms = coded.dictionary.take(pa.array([i for _, _, i in ranked], "i4"))
+        bucket = pa.array([b for b, _, _ in ranked], "i4")
+        rank = np.empty(len(ranked), "i8")
+        rank[[i for _, _, i in ranked]] = np.arange(len(ranked))
         at = np.arange(int(dl.sum())) - np.repeat(np.cumsum(dl) - dl, dl)
-        key = np.repeat(np.arange(len(dl)) * terms, dl) + coded.indices.to_numpy().astype("i8")
+        rows = max(1, len(dl))
+        key = rank[coded.indices.to_numpy()] * rows + np.repeat(np.arange(len(dl)), dl)
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
         ends = np.append(first, len(key))
-        row = pa.array(key[first] // terms)
+        row, term = pa.array(key[first] % rows), pa.array(key[first] // rows)
         found = [part.column(c).take(row) for c in ("field", "id", "row", "dl")]
         positions = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(at[order].astype("i4")))
-        return pa.RecordBatch.from_arrays([*found, coded.dictionary.take(pa.array(key[first] % terms)), pa.array(np.diff(ends)), positions], ["field", "id", "row", "dl", "term", "tf", "positions"])
+        return pa.RecordBatch.from_arrays([*found, terms.take(term), pa.array(np.diff(ends)), positions, bucket.take(term)], ["field", "id", "row", "dl", "term", "tf", "positions", "bucket"])
 
-    return words.select("field", "id", "row", "dl", "w").mapInArrow(run, f"field string, id {kind}, row long, dl int, term string, tf long, positions array<int>")
+    return words.select("field", "id", "row", "dl", "w").mapInArrow(run, f"field string, id {kind}, row long, dl int, term string, tf long, positions array<int>, bucket int")
 
 
 def _segment(index: Index, df: DataFrame, fields: dict[str, Column]) -> Index:
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    rows = df.withColumn("__row", F.monotonically_increasing_id() + F.lit(index.rows))
     parts = [rows.select(F.lit(n).alias("field"), F.col(f"`{index.id_col}`").alias("id"), F.col("__row").alias("row"), T.words(F.coalesce(c.cast("string"), F.lit(""))).alias("w")) for n, c in fields.items()]
     words = functools.reduce(DataFrame.unionByName, parts).filter("id is not null").withColumn("dl", F.size("w"))
-    found = _posted(words, index.kind)
-    _dealt(found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int")), f"{index.path}/postings/segment={index.segments}")
+    _dealt(_posted(words, index.kind, index.buckets), f"{index.path}/postings/segment={index.segments}")
     words.select("field", "id", "row", "dl").write.parquet(f"{index.path}/lengths/segment={index.segments}")
     return _measured(replace(index, segments=index.segments + 1))
 
@@ -142,15 +163,19 @@ def build(df: DataFrame, fields: dict[str, Column], *, id_col: str = "doc_id", b
 
 def append(index: Index, df: DataFrame, fields: dict[str, Column]) -> Index:
     """The index with a segment of ``df``'s documents; those it holds under the same ids are replaced."""
-    ids = df.select(F.col(f"`{index.id_col}`").alias("id"), F.lit(index.segments).alias("before")).filter("id is not null").distinct()
-    ids.write.mode("append").parquet(f"{index.path}/gone")
+    ids = df.select(F.col(f"`{index.id_col}`").alias("id")).filter("id is not null").distinct()
+    old = index.lengths().select("segment", "row", "id").join(ids, "id", "left_semi")
+    bit = F.expr(f"shiftleft(1L, cast(row & {(1 << WORD) - 1} as int))")
+    dead = old.groupBy("segment", F.shiftright("row", WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    dead.write.mode("append").parquet(f"{index.path}/dead")
     return _segment(index, df, fields)
 
 
 def merged(index: Index) -> Index:
-    """A new index of one segment that holds the live postings; no text is read again."""
+    """A new index of one segment that holds the live postings; no text is read again and nothing is shuffled."""
     new = replace(index, path=table_path(index.spark, "index"), segments=1)
-    _dealt(index.postings.drop("segment"), f"{new.path}/postings/segment=0")
+    buckets = [index._live(index.stored.filter(F.col("bucket") == b).coalesce(FILES)).drop("segment") for b in range(index.buckets)]
+    _dealt(functools.reduce(DataFrame.unionByName, buckets), f"{new.path}/postings/segment=0")
     index.lengths().drop("segment").write.parquet(f"{new.path}/lengths/segment=0")
     return _measured(new)
 

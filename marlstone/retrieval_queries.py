@@ -105,7 +105,9 @@ def phrase_search_grown(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
     field = {"content": F.col("text")}
     first = S.build(docs.filter("doc_id % 3 > 0").withColumn("text", F.when(F.col("doc_id") % 3 == 1, "of the of the").otherwise(F.col("text"))), field)
-    return S.phrase(S.merged(S.append(first, docs.filter("doc_id % 3 < 2"), field)), "of the")
+    index = S.merged(S.append(first, docs.filter("doc_id % 3 < 2"), field))
+    deleted(spark, first.path)
+    return S.phrase(index, "of the")
 
 
 @query(r"""with f as (select doc_id, [x for x in regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:10], ' ')), '[^\p{L}\p{N}]+') if x <> ''] as t, [x for x in regexp_split_to_array(lower(coalesce(source, '')), '[^\p{L}\p{N}]+') if x <> ''] as k from documents),
