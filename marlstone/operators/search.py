@@ -107,7 +107,7 @@ def _dealt(rows: DataFrame, target: str) -> None:
     rows.sortWithinPartitions("bucket", "term", "row").write.options(**how).partitionBy("bucket").parquet(target)
 
 
-def _posted(words: DataFrame, kind: str, buckets: int) -> DataFrame:
+def _posted(words: DataFrame, kind: str, buckets: int = BUCKETS) -> DataFrame:
     """(field, id, row, dl, term, tf, positions, bucket) of rows with their words ``w``. Each row's words are counted where it is read: no occurrence is shuffled.
 
     What is counted at a time comes in the order in which it is written, so that sorting is merging."""
