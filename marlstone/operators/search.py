@@ -174,7 +174,8 @@ def append(index: Index, df: DataFrame, fields: dict[str, Column]) -> Index:
 def merged(index: Index) -> Index:
     """A new index of one segment that holds the live postings; no text is read again and nothing is shuffled."""
     new = replace(index, path=table_path(index.spark, "index"), segments=1)
-    buckets = [index._live(index.stored.filter(F.col("bucket") == b).coalesce(FILES)).drop("segment") for b in range(index.buckets)]
+    stored = index.stored  # its folders are listed once
+    buckets = [index._live(stored.filter(F.col("bucket") == b).coalesce(FILES)).drop("segment") for b in range(index.buckets)]
     _dealt(functools.reduce(DataFrame.unionByName, buckets), f"{new.path}/postings/segment=0")
     index.lengths().drop("segment").write.parquet(f"{new.path}/lengths/segment=0")
     return _measured(new)
